@@ -64,7 +64,7 @@ def _runs(spark, sf):
 
 
 def _baselines(spark, sf):
-    return job_baselines(td.run_slices(spark, sf), AS_OF)
+    return job_baselines(td.run_slices(spark, sf), AS_OF, percentiles=False)
 
 
 def _health(spark, sf):
@@ -170,7 +170,7 @@ def anomalies_t1(spark, sf):
 def anomalies_run_grain(spark, sf):
     slices = td.multi_slices(spark, sf)
     runs = slices.withColumn("duration_ms", elapsed_ms("period_start_time", "period_end_time"))
-    baselines = job_baselines(slices, td.ORDERS_AS_OF, td.ORDERS_DAYS)
+    baselines = job_baselines(slices, td.ORDERS_AS_OF, td.ORDERS_DAYS, percentiles=False)
     return tidy(
         job_anomalies(runs, baselines, td.ORDERS_AS_OF, threshold=1.0, days=365, grain="run")
     )
@@ -219,10 +219,10 @@ def alert_counts(spark, sf):
 
 
 def alerts_rate_limited(spark, sf):
-    candidates = al.failure_alerts(
-        _runs(spark, sf), _jobs(spark, sf), limit=None, at_event_time=True
-    )
-    return tidy(rate_limited(candidates, **LIMITS).drop("metadata"))
+    candidates = al.failed_runs(_runs(spark, sf))
+    sent = rate_limited(candidates, tie_break=["run_id"], **LIMITS)
+    found = al.failure_alerts(sent, _jobs(spark, sf), limit=None, at_event_time=True)
+    return tidy(found.drop("metadata"))
 
 
 def source_counts(spark, sf):

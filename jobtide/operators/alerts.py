@@ -37,6 +37,8 @@ RULES = {
 FAILURE_LIMIT = 10
 HEALTH_LIMIT = 5
 
+SALTS = 16
+
 ALERT_COLUMNS = tuple(f.name for f in TABLES["job_alerts"] if f.name != "channels_sent")
 
 
@@ -72,14 +74,33 @@ def _alert_rows(
     )
 
 
-def _with_name(df: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Add ``_name`` from the job metadata. Both sides share the job keys; jobs are unique."""
+def _with_name(df: DataFrame, jobs: DataFrame, spread_by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``_name`` from the job metadata, which holds one row per job.
+
+    ``spread_by`` salts the join for frames with unboundedly many rows per job: rows
+    of a job are spread by a hash of those columns, names are repeated per salt.
+    """
     names = jobs.select(*JOB_KEYS, F.col("job_name").alias("_job_name"))
-    return df.join(names, list(JOB_KEYS), "left").withColumn(
+    keys = list(JOB_KEYS)
+    if spread_by:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+        names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keys.append("_salt")
+    return df.join(names, keys, "left").withColumn(
         "_name", display_name(F.col("_job_name"), F.col("job_id"))
     )
 
 
+def failed_runs(runs: DataFrame) -> DataFrame:
+    """Failed slices as alert candidates: run columns, ``alert_type``, ``created_at``."""
+    return runs.where(F.col("result_state") == "FAILED").withColumns(
+        {
+            "alert_type": F.lit("job_failure"),
+            "created_at": F.col("period_start_time").cast("timestamp"),
+        }
+    )
+
+
 def failure_alerts(
     runs: DataFrame,
     jobs: DataFrame,
@@ -90,7 +111,8 @@ def failure_alerts(
 ) -> DataFrame:
     """One alert per failed run, the newest ``limit`` only unless it is None.
 
-    The limit comes before the join, so names are looked up for a handful of rows.
+    The limit comes before the join, so names are looked up for a handful of rows;
+    without a limit the join is salted, as one job may own most failures.
     ``at_event_time`` stamps alerts with the run's start instead of ``as_of``.
     """
     if not rule.enabled:
@@ -102,7 +124,10 @@ def failure_alerts(
         failed = failed.orderBy(
             F.col("period_start_time").desc(), *JOB_KEYS, "run_id", "state_message"
         ).limit(limit)
-    named = _with_name(failed, jobs).withColumn("_error", error_text(F.col("state_message")))
+    spread_by = ("run_id", "period_start_time") if limit is None else ()
+    named = _with_name(failed, jobs, spread_by).withColumn(
+        "_error", error_text(F.col("state_message"))
+    )
     return _alert_rows(
         named,
         kind="job_failure",

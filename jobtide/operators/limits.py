@@ -19,6 +19,7 @@ MAX_PER_DAY = 50
 def after_quiet_period(
     alerts: DataFrame,
     minutes: int = COOLDOWN_MINUTES,
+    tie_break: Sequence[str] = (),
     subject: Sequence[str] = ALERT_SUBJECT,
 ) -> DataFrame:
     """Candidates at least ``minutes`` after the previous candidate of their subject.
@@ -39,7 +40,7 @@ def after_quiet_period(
         .withColumn("_slot", F.floor(F.col("_at") / F.lit(width)))
         .groupBy(*subject, "_slot")
         .agg(
-            F.min_by(F.struct("_at", *rest), F.struct("_at", "id", "message")).alias("_first"),
+            F.min_by(F.struct("_at", *rest), F.struct("_at", *tie_break)).alias("_first"),
             F.max("_at").alias("_last"),
         )
     )
@@ -54,14 +55,18 @@ def after_quiet_period(
 
 
 def first_per_period(
-    alerts: DataFrame, unit: str, most: int, scope: Sequence[str] = ()
+    alerts: DataFrame,
+    unit: str,
+    most: int,
+    tie_break: Sequence[str] = (),
+    scope: Sequence[str] = (),
 ) -> DataFrame:
     """The earliest ``most`` alerts of each clock ``unit`` (hour, day).
 
     Ranks below Spark's group-limit threshold are cut before the shuffle too.
     """
     order = Window.partitionBy(*scope, F.date_trunc(unit, "created_at")).orderBy(
-        "created_at", *ALERT_SUBJECT, "id", "message"
+        "created_at", *ALERT_SUBJECT, *tie_break
     )
     return alerts.withColumn("_nth", F.row_number().over(order)).where(
         F.col("_nth") <= most
@@ -69,17 +74,20 @@ def first_per_period(
 
 
 def rate_limited(
-    alerts: DataFrame,
+    candidates: DataFrame,
     cooldown_minutes: int = COOLDOWN_MINUTES,
     max_per_hour: int = MAX_PER_HOUR,
     max_per_day: int = MAX_PER_DAY,
+    tie_break: Sequence[str] = (),
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """Quiet period per subject, then hourly and daily caps on what is left.
 
-    The caps count all alerts together; ``scope`` counts them per those columns.
+    ``candidates`` need the subject columns and ``created_at``; limit failed runs
+    before job names are joined on, so that the join sees only what is sent. The caps
+    count all alerts together; ``scope`` counts them per those columns. ``tie_break``
+    orders candidates of one subject and instant.
     """
-    quiet = after_quiet_period(alerts, cooldown_minutes)
-    return first_per_period(
-        first_per_period(quiet, "hour", max_per_hour, scope), "day", max_per_day, scope
-    )
+    quiet = after_quiet_period(candidates, cooldown_minutes, tie_break)
+    hourly = first_per_period(quiet, "hour", max_per_hour, tie_break, scope)
+    return first_per_period(hourly, "day", max_per_day, tie_break, scope)

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 BUCKET_BITS = 16
 
@@ -24,7 +24,7 @@ def _position(point: float) -> Column:
 
 def _ranks(points: Mapping[str, float]) -> list[Column]:
     return [
-        side(_position(p)).cast("bigint")
+        side(_position(p))
         for p in points.values()
         for side in (F.floor, F.ceil)
     ]
@@ -41,9 +41,8 @@ def _holds(rank: Column, count: str) -> Column:
     return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col(count))
 
 
-def _running(keys: Sequence[str], order: str, count: str) -> Column:
-    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(count).over(earlier), F.lit(0))
+def _earlier(keys: Sequence[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def ranked_percentiles(
@@ -53,6 +52,10 @@ def ranked_percentiles(
 
     Interpolates linearly between neighbouring ranks and ignores null values, like
     the built-in. ``value`` must be an integer column.
+
+    The wanted buckets come back to their values as marker rows in a union instead of
+    a join: a join would push null checks on its keys into one branch only, and the
+    branches would then no longer share the scan and shuffles of ``df``.
     """
     keys = list(keys)
     counted = (
@@ -60,30 +63,43 @@ def ranked_percentiles(
         .select(*keys, F.col(value).cast("bigint").alias("_value"))
         .groupBy(*keys, "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.shiftright("_value", BUCKET_BITS))
+        .select(*keys, F.shiftright("_value", BUCKET_BITS).alias("_bucket"), "_value", "_n")
     )
-    buckets = (
+    # One row per wanted bucket: how many values lie before it, and how many in all.
+    markers = (
         counted.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_bucket_n"))
-        .withColumn("_before", _running(keys, "_bucket", "_bucket_n"))
+        .withColumn(
+            "_before", F.coalesce(F.sum("_bucket_n").over(_earlier(keys, "_bucket")), F.lit(0))
+        )
         .withColumn("_total", F.sum("_bucket_n").over(Window.partitionBy(*keys)))
         .where(_any([_holds(rank, "_bucket_n") for rank in _ranks(points)]))
-        .select(*keys, "_bucket", F.col("_before").alias("_offset"), "_total")
+        .select(
+            *keys,
+            "_bucket",
+            F.lit(None).cast("bigint").alias("_value"),
+            F.col("_before").alias("_n"),
+            "_total",
+        )
     )
-    opened = counted.join(buckets, [*keys, "_bucket"]).withColumn(
-        "_before", F.col("_offset") + _running([*keys, "_bucket"], "_value", "_n")
+    # The marker sorts first in its bucket, so running counts start at its offset.
+    in_bucket = _earlier([*keys, "_bucket"], "_value")
+    opened = (
+        counted.withColumn("_total", F.lit(None).cast("bigint"))
+        .unionByName(markers)
+        .withColumn("_before", F.sum("_n").over(in_bucket))
+        .withColumn("_total", F.first("_total").over(in_bucket))
+        .where(F.col("_total").isNotNull())
     )
     picks, results = [], []
     for name, point in points.items():
         position = _position(point)
-        low = F.max(F.when(_holds(F.floor(position).cast("bigint"), "_n"), F.col("_value")))
-        high = F.max(F.when(_holds(F.ceil(position).cast("bigint"), "_n"), F.col("_value")))
+        low = F.max(F.when(_holds(F.floor(position), "_n"), F.col("_value")))
+        high = F.max(F.when(_holds(F.ceil(position), "_n"), F.col("_value")))
         picks += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}")]
         share = position - F.floor(position)
         results.append(
-            (
-                F.col(f"_low_{name}") * (1 - share) + F.col(f"_high_{name}") * share
-            ).alias(name)
+            (F.col(f"_low_{name}") * (1 - share) + F.col(f"_high_{name}") * share).alias(name)
         )
     return (
         opened.groupBy(*keys)
@@ -95,7 +111,7 @@ def ranked_percentiles(
 def grouped_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]
 ) -> DataFrame:
-    """The same result with the built-in aggregate: one shuffle, for bounded groups."""
+    """The same result from the built-in aggregate: one shuffle, for bounded groups only."""
     return df.groupBy(*keys).agg(
-        *[F.percentile(F.col(value), F.lit(float(p))).alias(name) for name, p in points.items()]
+        *[F.percentile(value, F.lit(float(p))).alias(name) for name, p in points.items()]
     )

@@ -12,13 +12,20 @@ from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.store import Store
 from jobtide.sinks.upsert import upsert_runs
 
+# What may change while a slice is reported more than once.
+CHANGING = ("period_end_time", "result_state", "lifecycle_state", "termination_code")
+
 
 def stream_runs(slices: DataFrame, lateness: str = "1 hour", as_of: AsOf = None) -> DataFrame:
-    """Each slice once, with its duration. Repeats within ``lateness`` are dropped."""
+    """Each state of a slice once, with its duration.
+
+    Repeats within ``lateness`` are dropped; a slice whose end or state has changed
+    passes again and replaces its former row in the upsert.
+    """
     once = (
         slices.withColumn("period_start_time", F.col("period_start_time").cast("timestamp"))
         .withWatermark("period_start_time", lateness)
-        .dropDuplicatesWithinWatermark(list(SLICE_KEYS))
+        .dropDuplicatesWithinWatermark([*SLICE_KEYS, *CHANGING])
     )
     return project_runs(once, as_of)
 
