@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -24,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='jobtide-')}/jobtide-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    """A session setting that catalog inserts take from nowhere else, then put back."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass(frozen=True)
 class Store:
     """Tables ``<database>.<name>`` in the catalog, or ``<folder>/<name>`` as files."""
@@ -62,11 +74,45 @@ class Store:
         table: str,
         mode: str = "overwrite",
         partition_by: Sequence[str] = (),
-        options: Mapping[str, str] | None = None,
     ) -> int:
         """Write ``df`` in one action and return its row count.
 
-        Declared tables are cast to their schema first; further columns are kept.
+        Declared tables are cast to their schema first; further columns are kept. An
+        overwrite replaces the schema too, an append may bring new columns.
+        """
+        counted, df = self._counted(df, table, partition_by)
+        if self.database:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+            if mode == "append" and self.exists(table):
+                self._aligned(df, table).write.insertInto(self.name_of(table))
+                return counted.get["rows"]
+        writer = df.write.format(self.fmt).mode(mode)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        if self.database:
+            writer.saveAsTable(self.name_of(table))
+        else:
+            writer.save(self.name_of(table))
+        return counted.get["rows"]
+
+    def replace_partitions(self, df: DataFrame, table: str, partition_by: Sequence[str]) -> int:
+        """Replace only the partitions that ``df`` has rows for.
+
+        Dynamic overwrite swaps them in when the job commits, so ``df`` may read the
+        table itself.
+        """
+        counted, df = self._counted(df, table, partition_by)
+        if self.database:
+            with _setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+                self._aligned(df, table).write.insertInto(self.name_of(table), overwrite=True)
+        else:
+            writer = df.write.format(self.fmt).mode("overwrite").partitionBy(*partition_by)
+            writer.option("partitionOverwriteMode", "dynamic").save(self.name_of(table))
+        return counted.get["rows"]
+
+    def _counted(self, df: DataFrame, table: str, partition_by: Sequence[str]):
+        """The frame to write, with a row counter in its last stage.
+
         Partitioned output is rebalanced by Spark at run time, which splits a hot
         partition value over several tasks and merges small ones.
         """
@@ -75,19 +121,15 @@ class Store:
         if partition_by:
             df = df.hint("rebalance", *[F.col(c) for c in partition_by])
         counted = Observation()
-        writer = self._writer(
-            df.observe(counted, F.count(F.lit(1)).alias("rows")), mode, partition_by, options
-        )
-        if self.folder:
-            writer.save(self.name_of(table))
-        else:
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
-            writer.saveAsTable(self.name_of(table))
-        return counted.get["rows"]
-
-    def _writer(self, df, mode, partition_by, options) -> DataFrameWriter:
-        writer = df.write.format(self.fmt).mode(mode).options(**(options or {}))
-        return writer.partitionBy(*partition_by) if partition_by else writer
+        return counted, df.observe(counted, F.count(F.lit(1)).alias("rows"))
+
+    def _aligned(self, df: DataFrame, table: str) -> DataFrame:
+        """``df`` in the stored column order; columns new to the table are added to it."""
+        known = set(self.read(table).columns)
+        added = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in known]
+        if added:
+            self.spark.sql(f"ALTER TABLE {self.name_of(table)} ADD COLUMNS ({', '.join(added)})")
+        return conform(df, self.read(table).schema, fill_missing=True)
 
     def write_if_any(self, df: DataFrame, table: str, persist: bool = True, **how) -> int:
         """Write ``df`` unless it has no rows; an existing table then stays as it is.

@@ -30,20 +30,13 @@ def upsert_partitions(
     ``partition`` must follow from ``keys``, so that both versions of a row share a
     partition. The dates in ``new`` prune the scan of the old rows: the filter is a
     list of at most one literal per date, computed by a distinct on the new rows.
-    Dynamic overwrite swaps the partitions in when the job commits.
     """
     dates = [r[0] for r in new.select(partition).distinct().collect()]
     if not dates:
         return 0
     old = store.read(table).where(F.col(partition).isin(dates))
     merged = upserted(old, new, keys)
-    return store.write(
-        merged,
-        table,
-        mode="overwrite",
-        partition_by=[partition],
-        options={"partitionOverwriteMode": "dynamic"},
-    )
+    return store.replace_partitions(merged, table, [partition])
 
 
 def high_water_mark(stored: DataFrame, column: str = "period_start_time") -> str | None:
