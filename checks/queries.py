@@ -319,11 +319,8 @@ def runs_upsert(spark, sf):
     open_since = taken - F.make_dt_interval(days=F.lit(2))
     state = F.when(F.col("period_start_time") < open_since, F.col("result_state"))
     snapshot = project_runs(slices.where(F.col("period_start_time") < taken), SNAPSHOT)
-    dated = snapshot.withColumn("result_state", state).withColumn(
-        "run_date", F.to_date("period_start_time")
-    )
-    store.write(dated, "job_runs", partition_by=["run_date"])
-    mark = high_water_mark(store.read("job_runs"))
+    upsert_runs(store, snapshot.withColumn("result_state", state))
+    mark = high_water_mark(store.read("job_runs"), partition="run_date")
     upsert_runs(store, project_runs(newer_slices(slices, mark, 2), AS_OF))
     return tidy(store.read("job_runs").drop("collected_at"))
 

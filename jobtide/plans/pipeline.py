@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from jobtide.functions.scores import HEALTH_WEIGHTS
 from jobtide.operators.alerts import (
@@ -29,7 +28,7 @@ from jobtide.operators.routing import alert_history
 from jobtide.operators.runs import job_runs, project_runs
 from jobtide.sinks.runlog import append_run_log, run_record
 from jobtide.sinks.store import Store
-from jobtide.sinks.upsert import high_water_mark, newer_slices, upsert_runs
+from jobtide.sinks.upsert import high_water_mark, newer_slices, stored_runs, upsert_runs
 from jobtide.sources.probe import require_sources
 
 
@@ -52,6 +51,8 @@ class Settings:
     channels: Sequence[str] = ()
     tie_break: Sequence[str] = ()
     environment: str = "development"
+    incremental_runs: bool = False
+    overlap_days: int = 1
 
 
 def fixed_as_of(as_of=None) -> str:
@@ -68,6 +69,8 @@ def collect_tables(
     Every stage reads its inputs back from the tables just written, so nothing is
     computed twice and a lost executor costs one stage. Run slices are a plain scan
     and are not persisted; the other outputs hold one row per job or cluster day.
+    With ``incremental_runs`` the run table is kept by date and only brought up to
+    date, and later stages read the window's partitions of it.
     """
     done: dict[str, tuple[int, DataFrame]] = {}
 
@@ -80,7 +83,13 @@ def collect_tables(
     s = settings
     slices = sources["run_slices"]
     jobs = stage("jobs_metadata", latest_jobs(sources["job_changes"], as_of, s.tie_break))
-    runs = stage("job_runs", job_runs(slices, as_of, s.collection_window_days), persist=False)
+    if s.incremental_runs:
+        rows = collect_incremental(store, slices, as_of, s.collection_window_days, s.overlap_days)
+        runs = stored_runs(store, as_of, s.collection_window_days)
+        done["job_runs"] = (rows, runs)
+    else:
+        window = job_runs(slices, as_of, s.collection_window_days)
+        runs = stage("job_runs", window, persist=False)
     stage("job_metrics", daily_metrics(sources["node_samples"], as_of, s.metrics_days))
     covered = s.baseline_days <= s.collection_window_days
     baselines = stage(
@@ -149,7 +158,10 @@ def run_collection(
         failed = run_record(
             **facts, status="failed", end_time=datetime.now(UTC), errors=[str(error)]
         )
-        append_run_log(store, failed)
+        try:
+            append_run_log(store, failed)
+        except Exception as log_error:
+            error.add_note(f"the failed run could not be logged: {log_error}")
         raise
     record = run_record(
         **facts,
@@ -177,9 +189,9 @@ def collect_incremental(
     mark less ``overlap_days`` and upsert by slice key, touching only those dates.
     """
     now = fixed_as_of(as_of)
-    if not store.exists(table):
-        runs = job_runs(slices, now, first_days)
-        dated = runs.withColumn("run_date", F.to_date("period_start_time"))
-        return store.write(dated, table, partition_by=["run_date"])
-    fresh = newer_slices(slices, high_water_mark(store.read(table)), overlap_days)
-    return upsert_runs(store, project_runs(fresh, now), table)
+    if store.exists(table):
+        mark = high_water_mark(store.read(table), partition="run_date")
+        fresh = project_runs(newer_slices(slices, mark, overlap_days), now)
+    else:
+        fresh = job_runs(slices, now, first_days)
+    return upsert_runs(store, fresh, table)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.functions.clock import within_days
+from jobtide.functions.clock import AsOf, moment, within_days
 from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.store import Store
 
@@ -39,8 +39,16 @@ def upsert_partitions(
     return store.replace_partitions(merged, table, [partition])
 
 
-def high_water_mark(stored: DataFrame, column: str = "period_start_time") -> str | None:
-    """Largest stored ``column`` value as text in session time, None for an empty table."""
+def high_water_mark(
+    stored: DataFrame, column: str = "period_start_time", partition: str | None = None
+) -> str | None:
+    """Largest stored ``column`` value as text in session time, None for an empty table.
+
+    Where ``partition`` is the date of ``column``, only the newest partition is read.
+    """
+    if partition:
+        newest = stored.agg(F.max(partition)).first()[0]
+        stored = stored.where(F.col(partition) == F.lit(newest))
     return stored.agg(F.max(column).cast("string")).first()[0]
 
 
@@ -51,7 +59,25 @@ def newer_slices(slices: DataFrame, mark: str | None, overlap_days: int = 0) ->
     return slices.where(within_days(slices, "period_start_time", mark, overlap_days))
 
 
+def dated(runs: DataFrame) -> DataFrame:
+    """Run slices with the ``run_date`` their table is partitioned by."""
+    return runs.withColumn("run_date", F.to_date("period_start_time"))
+
+
 def upsert_runs(store: Store, runs: DataFrame, table: str = "job_runs") -> int:
-    """Upsert run slices by slice key into a run table partitioned by ``run_date``."""
-    dated = runs.withColumn("run_date", F.to_date("period_start_time"))
-    return upsert_partitions(store, table, dated, SLICE_KEYS, "run_date")
+    """Upsert run slices by slice key into a run table partitioned by ``run_date``.
+
+    The first call creates the table. Returns the rows of the rewritten dates.
+    """
+    if not store.exists(table):
+        return store.write(dated(runs), table, partition_by=["run_date"])
+    return upsert_partitions(store, table, dated(runs), SLICE_KEYS, "run_date")
+
+
+def stored_runs(store: Store, as_of: AsOf, days: int, table: str = "job_runs") -> DataFrame:
+    """The last ``days`` of a date-partitioned run table; older partitions are pruned."""
+    runs = store.read(table)
+    first_date = F.date_sub(moment(as_of).cast("date"), days)
+    return runs.where(
+        (F.col("run_date") >= first_date) & within_days(runs, "period_start_time", as_of, days)
+    ).drop("run_date")

@@ -48,13 +48,8 @@ def start_runs(
     def absorb(batch: DataFrame, _batch_id: int) -> None:
         fresh = latest_per_key(batch, SLICE_KEYS, ["period_end_time", "collected_at"]).persist()
         try:
-            if fresh.isEmpty():
-                return
-            if store.exists(table):
+            if not fresh.isEmpty():
                 upsert_runs(store, fresh, table)
-            else:
-                dated = fresh.withColumn("run_date", F.to_date("period_start_time"))
-                store.write(dated, table, partition_by=["run_date"])
         finally:
             fresh.unpersist()
 
