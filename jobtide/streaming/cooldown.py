@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,18 +15,10 @@ from jobtide.operators.limits import ALERT_SUBJECT, COOLDOWN_MINUTES
 OUTPUT = "alert_type STRING, workspace_id STRING, job_id STRING, second BIGINT"
 
 
-def _sendable(seconds, last_sent: int | None, quiet: int) -> list[int]:
-    """Greedy choice over rising seconds: each is ``quiet`` or more after the one before."""
-    sent = []
-    for second in seconds:
-        if last_sent is None or second - last_sent >= quiet:
-            sent.append(int(second))
-            last_sent = int(second)
-    return sent
-
-
 def _cooldown(minutes: int):
+    """The per-subject function. It is self-contained, so workers need no copy of this package."""
     quiet = minutes * 60
+    columns = [*ALERT_SUBJECT, "second"]
 
     def decide(
         key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
@@ -34,20 +27,23 @@ def _cooldown(minutes: int):
             state.remove()
             return
         # Candidates arrive in any order; distinct seconds bound what is kept here.
-        seconds = pd.Series([], dtype="int64")
+        seconds = np.array([], dtype="int64")
         for chunk in chunks:
-            seconds = pd.concat([seconds, chunk["second"]]).drop_duplicates()
+            seconds = np.union1d(seconds, chunk["second"].to_numpy())
         last_sent = state.get[0] if state.exists else None
-        sent = _sendable(seconds.sort_values(), last_sent, quiet)
-        if sent:
-            state.update((sent[-1],))
-        elif state.exists:
+        sent = []
+        # The next alert is the first candidate once the last one's silence is over.
+        i = 0 if last_sent is None else int(np.searchsorted(seconds, last_sent + quiet))
+        while i < len(seconds):
+            last_sent = int(seconds[i])
+            sent.append(last_sent)
+            i = int(np.searchsorted(seconds, last_sent + quiet))
+        if last_sent is not None:
             state.update((last_sent,))
-        if state.exists:
-            expiry = (state.get[0] + quiet) * 1000
+            expiry = (last_sent + quiet) * 1000
             state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         if sent:
-            yield pd.DataFrame([(*key, s) for s in sent], columns=[*ALERT_SUBJECT, "second"])
+            yield pd.DataFrame([(*key, s) for s in sent], columns=columns)
 
     return decide
 
