@@ -70,10 +70,14 @@ def ranked_percentiles(
     markers = (
         counted.groupBy(*keys, "_bucket")
         .agg(F.sum("_n").alias("_bucket_n"))
-        .withColumn(
-            "_before", F.coalesce(F.sum("_bucket_n").over(_earlier(keys, "_bucket")), F.lit(0))
+        .withColumns(
+            {
+                "_before": F.coalesce(
+                    F.sum("_bucket_n").over(_earlier(keys, "_bucket")), F.lit(0)
+                ),
+                "_total": F.sum("_bucket_n").over(Window.partitionBy(*keys)),
+            }
         )
-        .withColumn("_total", F.sum("_bucket_n").over(Window.partitionBy(*keys)))
         .where(_any([_holds(rank, "_bucket_n") for rank in _ranks(points)]))
         .select(
             *keys,
@@ -88,8 +92,9 @@ def ranked_percentiles(
     opened = (
         counted.withColumn("_total", F.lit(None).cast("bigint"))
         .unionByName(markers)
-        .withColumn("_before", F.sum("_n").over(in_bucket))
-        .withColumn("_total", F.first("_total").over(in_bucket))
+        .withColumns(
+            {"_before": F.sum("_n").over(in_bucket), "_total": F.first("_total").over(in_bucket)}
+        )
         .where(F.col("_total").isNotNull())
     )
     picks, results = [], []
