@@ -11,35 +11,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 BUCKET_BITS = 20
 
 
-def _position(point: float) -> Column:
-    """Zero-based, possibly fractional, rank of a percentile among ``_total`` values."""
-    return F.lit(float(point)) * (F.col("_total") - 1)
+def _position(point: float) -> str:
+    """SQL for the zero-based, possibly fractional, rank of a percentile."""
+    return f"({float(point)}D * (_total - 1))"
 
 
-def _ranks(points: Mapping[str, float]) -> list[Column]:
-    return [
-        side(_position(p))
-        for p in points.values()
-        for side in (F.floor, F.ceil)
-    ]
-
-
-def _any(conditions: Sequence[Column]) -> Column:
-    found = conditions[0]
-    for condition in conditions[1:]:
-        found = found | condition
-    return found
-
-
-def _holds(rank: Column, count: str) -> Column:
-    return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col(count))
+def _holds(rank: str, count: str) -> str:
+    """SQL predicate: the rank falls among the ``count`` values after ``_before``."""
+    return f"({rank} >= _before AND {rank} < _before + {count})"
 
 
 def _earlier(keys: Sequence[str], order: str) -> WindowSpec:
@@ -66,6 +52,11 @@ def ranked_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.shiftright("_value", BUCKET_BITS).alias("_bucket"), "_value", "_n")
     )
+    wanted = [
+        _holds(f"{side}{_position(p)}", "_bucket_n")
+        for p in points.values()
+        for side in ("floor", "ceil")
+    ]
     # One row per wanted bucket: how many values lie before it, and how many in all.
     markers = (
         counted.groupBy(*keys, "_bucket")
@@ -78,14 +69,8 @@ def ranked_percentiles(
                 "_total": F.sum("_bucket_n").over(Window.partitionBy(*keys)),
             }
         )
-        .where(_any([_holds(rank, "_bucket_n") for rank in _ranks(points)]))
-        .select(
-            *keys,
-            "_bucket",
-            F.lit(None).cast("bigint").alias("_value"),
-            F.col("_before").alias("_n"),
-            "_total",
-        )
+        .where(" OR ".join(wanted))
+        .selectExpr(*keys, "_bucket", "cast(null AS bigint) AS _value", "_before AS _n", "_total")
     )
     # The marker sorts first in its bucket, so running counts start at its offset.
     in_bucket = _earlier([*keys, "_bucket"], "_value")
@@ -100,17 +85,15 @@ def ranked_percentiles(
     picks, results = [], []
     for name, point in points.items():
         position = _position(point)
-        low = F.max(F.when(_holds(F.floor(position), "_n"), F.col("_value")))
-        high = F.max(F.when(_holds(F.ceil(position), "_n"), F.col("_value")))
-        picks += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}")]
-        share = position - F.floor(position)
-        results.append(
-            (F.col(f"_low_{name}") * (1 - share) + F.col(f"_high_{name}") * share).alias(name)
-        )
+        for side in ("floor", "ceil"):
+            held = _holds(f"{side}{position}", "_n")
+            picks.append(F.expr(f"max(CASE WHEN {held} THEN _value END) AS _{side}_{name}"))
+        share = f"({position} - floor{position})"
+        results.append(f"_floor_{name} * (1 - {share}) + _ceil_{name} * {share} AS {name}")
     return (
         opened.groupBy(*keys)
         .agg(F.max("_total").alias("_total"), *picks)
-        .select(*keys, *results)
+        .selectExpr(*keys, *results)
     )
 
 

@@ -6,22 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.clock import AsOf, elapsed_ms, moment, within_days
+from jobtide.schemas import SOURCES
 
-SLICE_COLUMNS = (
-    "workspace_id",
-    "job_id",
-    "run_id",
-    "run_name",
-    "run_type",
-    "trigger_type",
-    "creator_email",
-    "period_start_time",
-    "period_end_time",
-    "result_state",
-    "lifecycle_state",
-    "state_message",
-    "termination_code",
-)
+SLICE_COLUMNS = tuple(SOURCES["run_slices"].names)
 
 
 def project_runs(slices: DataFrame, as_of: AsOf = None) -> DataFrame:

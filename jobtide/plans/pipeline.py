@@ -43,6 +43,7 @@ class Settings:
     exclude_recent_days: int = 0
     grain: str = "slice"
     min_runs: int = 5
+    bounded_groups: bool = False
     threshold: float = Z_LIMIT
     weights: Mapping[str, float] = field(default_factory=lambda: dict(HEALTH_WEIGHTS))
     rules: Mapping[str, AlertRule] = field(default_factory=lambda: dict(RULES))
@@ -100,6 +101,7 @@ def collect_tables(
             s.baseline_days,
             s.min_runs,
             exclude_recent_days=s.exclude_recent_days,
+            bounded_groups=s.bounded_groups,
         ),
     )
     stage("job_health", job_health(jobs, runs, baselines, as_of, s.weights))

@@ -6,8 +6,6 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-SOURCE_NAMES = ("job_changes", "run_slices", "node_samples", "usage")
-
 
 def read_source(spark: SparkSession, location: str, fmt: str = "parquet") -> DataFrame:
     """A catalog table, or files when ``location`` looks like a path."""
