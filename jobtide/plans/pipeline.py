@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
+from jobtide.functions.clock import within_calendar_days
 from jobtide.functions.scores import HEALTH_WEIGHTS
 from jobtide.operators.alerts import (
     RULES,
@@ -16,11 +17,13 @@ from jobtide.operators.alerts import (
     alert_counts,
     anomaly_alerts,
     combine_alerts,
+    cost_alerts,
     failure_alerts,
     health_alerts,
 )
 from jobtide.operators.anomalies import RECENT_DAYS, Z_LIMIT, job_anomalies
 from jobtide.operators.baselines import job_baselines
+from jobtide.operators.costs import cost_spikes, daily_costs
 from jobtide.operators.health import job_health
 from jobtide.operators.jobs import latest_jobs
 from jobtide.operators.metrics import daily_metrics
@@ -49,6 +52,8 @@ class Settings:
     rules: Mapping[str, AlertRule] = field(default_factory=lambda: dict(RULES))
     alerting_enabled: bool = True
     anomaly_alerts: bool = False
+    costs: bool = False
+    cost_alert_days: int = 1
     channels: Sequence[str] = ()
     tie_break: Sequence[str] = ()
     environment: str = "development"
@@ -65,7 +70,9 @@ def fixed_as_of(as_of=None) -> str:
 def collect_tables(
     store: Store, sources: Mapping[str, DataFrame], as_of: str, settings: Settings
 ) -> dict[str, tuple[int, DataFrame]]:
-    """Compute and write the six result tables; row count and frame of each.
+    """Compute and write the result tables; row count and frame of each.
+
+    Six of them, and ``job_costs`` where the settings ask for costs.
 
     Every stage reads its inputs back from the tables just written, so nothing is
     computed twice and a lost executor costs one stage. Run slices are a plain scan
@@ -109,6 +116,8 @@ def collect_tables(
         "job_anomalies",
         job_anomalies(runs, baselines, as_of, s.threshold, s.recent_days, s.grain),
     )
+    if s.costs:
+        stage("job_costs", daily_costs(sources["usage"]))
     return done
 
 
@@ -125,6 +134,12 @@ def collect_alerts(
     if settings.anomaly_alerts:
         found = tables["job_anomalies"]
         kinds.append(anomaly_alerts(found, jobs, as_of, rules["performance_anomaly"]))
+    if settings.costs:
+        costs = tables["job_costs"]
+        recent = within_calendar_days(costs, "usage_date", as_of, settings.cost_alert_days)
+        rule = rules["cost_spike"]
+        spikes = cost_spikes(costs.where(recent), rule.threshold)
+        kinds.append(cost_alerts(spikes, jobs, as_of, rule))
     return combine_alerts(kinds, settings.alerting_enabled)
 
 

@@ -22,6 +22,16 @@ def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return untouched.unionByName(new, allowMissingColumns=True)
 
 
+def upsert_copy(
+    store: Store, table: str, new: DataFrame, keys: Sequence[str], target: str
+) -> int:
+    """Upsert an unpartitioned table into a table of another name, which readers move to.
+
+    A plain file table cannot replace itself while it is being read.
+    """
+    return store.write(upserted(store.read(table), new, keys), target)
+
+
 def upsert_partitions(
     store: Store, table: str, new: DataFrame, keys: Sequence[str], partition: str
 ) -> int:

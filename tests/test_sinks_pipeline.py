@@ -12,7 +12,14 @@ from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
 from jobtide.schemas import SLICE_KEYS, TABLES
 from jobtide.sinks.runlog import append_run_log, run_record
 from jobtide.sinks.store import Store, shared_folder
-from jobtide.sinks.upsert import high_water_mark, newer_slices, stored_runs, upsert_runs, upserted
+from jobtide.sinks.upsert import (
+    high_water_mark,
+    newer_slices,
+    stored_runs,
+    upsert_copy,
+    upsert_runs,
+    upserted,
+)
 from jobtide.sources import testdata as td
 from jobtide.sources.probe import count_sources, probe_sources, require_sources
 from jobtide.sources.tables import read_source, read_sources
@@ -96,6 +103,14 @@ def table_rows(store):
     return sorted((r.run_id, r.result_state, str(r.run_date)) for r in store.read("job_runs").collect())
 
 
+def test_upsert_copy_leaves_the_old_table(spark, store):
+    store.write(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "t1")
+    fresh = spark.createDataFrame([("b", 9)], "k string, v int")
+    assert upsert_copy(store, "t1", fresh, ["k"], "t2") == 2
+    assert sorted(map(tuple, store.read("t2").collect())) == [("a", 1), ("b", 9)]
+    assert store.read("t1").where("v = 2").count() == 1
+
+
 def files_of(store, run_id):
     stored = store.read("job_runs").where(F.col("run_id") == run_id)
     return {r[0] for r in stored.select("_metadata.file_path").collect()}
@@ -195,6 +210,16 @@ def test_incremental_pipeline_equals_the_full_one(spark, store):
     assert store.read("pipeline_runs").count() == 2
 
 
+def test_pipeline_with_costs(spark, store):
+    as_of = td.usage(spark, SF).agg(F.max("usage_date").cast("string")).first()[0] + " 00:00:00"
+    settings = Settings(tie_break=["change_id"], costs=True, cost_alert_days=60)
+    record = run_collection(store, loaders(spark), as_of, settings)
+    costs = store.read("job_costs")
+    assert json.loads(record["records_processed"])["job_costs"] == costs.count() > 0
+    late = costs.where(f"cost_ratio > 1.5 AND usage_date >= date_sub('{as_of[:10]}', 60)").count()
+    assert json.loads(record["alerts_sent"])["cost_spike"] == late > 0
+
+
 def test_pipeline_logs_a_failure_and_raises(spark, store):
     broken = {**loaders(spark), "usage": lambda: spark.table("no.such")}
     with pytest.raises(PermissionError):
