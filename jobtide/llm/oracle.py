@@ -2,4 +2,34 @@
 
 from __future__ import annotations
 
+import string
+
+#: Space and U+0009 to U+000D, as a DuckDB expression.
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op6_line_dedup"] = f"""
+WITH cut AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, {_SPACES}), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key
+  FROM cut
+), shared AS (
+  SELECT key, max(doc_id) AS last_id
+  FROM keyed
+  WHERE length(key) >= 40
+  GROUP BY key
+  HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT k.doc_id,
+       count(*) AS n_lines,
+       count(*) FILTER (WHERE s.key IS NOT NULL AND k.doc_id <> s.last_id) AS n_dropped,
+       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos)
+              FILTER (WHERE s.key IS NULL OR k.doc_id = s.last_id), '')) AS kept_sha256
+FROM keyed AS k LEFT JOIN shared AS s ON k.key = s.key
+GROUP BY k.doc_id
+"""
