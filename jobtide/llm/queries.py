@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.llm import langid
+from jobtide.llm import sentencepieces as sp
+from jobtide.llm.batches import bound_batches
 from jobtide.llm.linededup import dedup_lines
 from jobtide.llm.mixing import mix
 from jobtide.llm.simhash import near_duplicates
@@ -16,6 +19,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """The vocabulary file of the registered queries; operators take its path as an argument."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _crc(n: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _crc(3) == 1
+    model = langid.fit(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: digests of both, and whether the text came back."""
+    bound_batches(spark)
+    table = sp.load_pieces(piece_model())
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.withColumn("found", sp.round_trip(F.col("text"), table))
+    return found.select(
+        "doc_id",
+        "found.*",
+        (F.col("found.decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)).alias("lossless"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and the digest of the kept text, of every document."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select(
@@ -44,4 +80,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_line_dedup, op8_mix_sources, op9_simhash_near_dedup,)}
+    return {f.__name__: f for f in (
+            op1_language_id,
+            op2_sentencepiece,
+            op6_line_dedup,
+            op8_mix_sources,
+            op9_simhash_near_dedup,
+        )}
