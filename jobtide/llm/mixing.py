@@ -263,3 +263,43 @@ def mix(
     )
     named = uses.join(quotas.select("sid", "source"), "sid").select("slot", "shard", "source", "block", "used")
     return mixed, named
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` repeated as often as the mix takes them; columns stay.
+
+    A document is taken ``taken / size`` times; the fraction is rounded up or down by a hash, in
+    proportion, so sums stay near the targets and a document stays whole. Documents
+    without words have no place in the mix and go.
+    """
+    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
+    mixed, _ = mix(docs, text_col=text_col, **options)
+    seed = options.get("seed", SEED)
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "text_id"), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor(F.col("taken") / F.col("size")) + (
+        F.col("taken") % F.col("size") / F.col("size") > chance
+    ).cast("int")
+    counted = (
+        mixed.where("size > 0")
+        .groupBy("id", "text_id", "source", "size")
+        .agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+        .withColumn("taken", F.col("taken") / F.col("rows"))
+        .select("id", "text_id", "source", times.cast("int").alias("times"))
+        .where("times > 0")
+    )
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(id_col).alias("row_id"),
+        F.col(source_col).cast("string").alias("row_source"),
+        text_hash(whole(text_col)).alias("row_text"),
+    )
+    same = (
+        rows.row_id.eqNullSafe(counted.id)
+        & (rows.row_text == counted.text_id)
+        & rows.row_source.eqNullSafe(counted.source)
+    )
+    return (
+        rows.join(counted, same)
+        .select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time"))
+        .select("row.*")
+    )

@@ -4,7 +4,12 @@ A text is cut into words, each a run of space marks and what follows it; no piec
 over such a border. The distinct words of a batch are searched by length: words of one
 length advance together. At each position the hashes of the substrings that end there
 probe the sorted hashes of the pieces, and the maximum over them stores a backpointer.
-The result is the segmentation with the greatest sum of piece scores; of equals the one with the longer last piece.
+
+For a unigram model the maximum is of score sums, with the longer last piece first among equals.
+A merge (BPE) model has ranks and no probabilities: there the trellis has steps
+between compatible pieces only, those that merging the two pieces' text by rank leaves as they are. Of
+all segmentations just one has only compatible neighbours, the one that merging the
+whole word gives, so both kinds return the ids that the model itself defines.
 """
 
 from __future__ import annotations
@@ -35,12 +40,15 @@ BATCH_CHARS = 4 << 20
 
 @dataclass
 class PieceTable:
-    """A vocabulary as arrays: bounded by its size, not by the input."""
+    """A vocabulary as arrays: bounded by its size, not by the input.
+
+    Searchable pieces are numbered in the order of their hashes.
+    """
 
-    keys: np.ndarray  # sorted hashes of the searchable pieces
+    keys: np.ndarray  # sorted hashes
     ids: np.ndarray
     scores: np.ndarray
-    points: np.ndarray  # their code points, padded with zeros
+    points: np.ndarray  # code points, padded with zeros
     maybe: np.ndarray  # which leading bits of a hash occur
     max_length: int
     byte_ids: np.ndarray  # of every byte, or the unknown id 256 times
@@ -48,6 +56,18 @@ class PieceTable:
     unknown_score: float
     out: np.ndarray  # bytes of all pieces in a row
     out_start: np.ndarray
+    merges: Merges | None  # None for a unigram model
+
+
+@dataclass
+class Merges:
+    """How pieces of a merge model come about: rank, and both halves of the last merge."""
+
+    rank: np.ndarray  # -1 for a single character
+    left: np.ndarray
+    right: np.ndarray
+    pair_keys: np.ndarray  # left * size + right of all pairs that merge, sorted
+    pair_ranks: np.ndarray
 
 
 def _mixed(points: np.ndarray) -> np.ndarray:
@@ -67,27 +87,33 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 
 def load_pieces(path: str) -> PieceTable:
     """Read a SentencePiece model file; its path is the caller's."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    words, ids, scores, out = [], [], [], []
-    byte_ids = np.full(256, model.unk_id(), np.int32)
-    for i in range(model.vocab_size()):
-        piece = model.id_to_piece(i)
-        if model.is_byte(i):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    kinds = proto.ModelProto.SentencePiece
+    unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
+    by_merges = model.trainer_spec.model_type == proto.TrainerSpec.BPE
+    score_of, ids, out = {}, {}, []
+    byte_ids = np.full(256, unknown, np.int32)
+    for i, entry in enumerate(model.pieces):
+        piece = entry.piece
+        if entry.type == kinds.BYTE:
             byte_ids[int(piece[1:-1], 16)] = i
             out.append(bytes([int(piece[1:-1], 16)]))
-        elif model.is_control(i) or model.is_unused(i):
+        elif entry.type in (kinds.CONTROL, kinds.UNUSED):
             out.append(b"")
-        elif model.is_unknown(i):
+        elif entry.type == kinds.UNKNOWN:
             out.append(" ⁇ ".encode())
         else:
             if chr(MARK) in piece.lstrip(chr(MARK)):
                 raise ValueError(f"piece {piece!r} reaches over a word border")
-            words.append(piece)
-            ids.append(i)
-            scores.append(model.get_score(i))
+            score_of[piece], ids[piece] = entry.score, i
             out.append(piece.replace(chr(MARK), " ").encode())
+    ranks = {p: r for r, p in enumerate(sorted(score_of, key=lambda p: (-score_of[p], ids[p])))}
+    halves = {p: _last_merge(p, ranks) for p in score_of} if by_merges else {}
+    words = [p for p in score_of if not by_merges or halves[p] is not None]
     longest = max(map(len, words))
     points = np.zeros((len(words), longest), np.uint32)
     for row, word in enumerate(words):
@@ -99,21 +125,104 @@ def load_pieces(path: str) -> PieceTable:
         raise ValueError("two pieces have one hash")
     maybe = np.zeros(1 << FILTER_BITS, bool)
     maybe[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    words = [words[i] for i in order]
     return PieceTable(
         keys[order],
-        np.array(ids, np.int32)[order],
-        np.array(scores)[order],
+        np.array([ids[p] for p in words], np.int32),
+        # With merges any piece is better than an unknown character; the borders decide the rest.
+        np.zeros(len(words)) if by_merges else np.array([score_of[p] for p in words]),
         points[order],
         maybe,
         longest,
         byte_ids,
-        bool((byte_ids != model.unk_id()).any()),
-        min(scores) - UNKNOWN_PENALTY,
+        bool((byte_ids != unknown).any()),
+        -1.0 if by_merges else min(score_of.values()) - UNKNOWN_PENALTY,
         np.frombuffer(b"".join(out), np.uint8),
         np.r_[0, np.cumsum([len(x) for x in out])],
+        _merge_table(words, ranks, halves) if by_merges else None,
     )
 
 
+def _last_merge(piece: str, ranks: dict[str, int]) -> tuple[str, str] | None:
+    """Both halves of the merge that completes a piece; None if merging never yields it."""
+    parts = list(piece)
+    last = (piece, "")
+    while len(parts) > 1:
+        found = [(ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return None
+        k = min(found)[1]
+        last = (parts[k], parts[k + 1])
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return last
+
+
+def _merge_table(words: list[str], ranks: dict[str, int], halves: dict[str, tuple[str, str]]) -> Merges:
+    number = {p: i for i, p in enumerate(words)}
+    single = np.array([len(p) == 1 for p in words])
+    rank = np.where(single, -1, [ranks[p] for p in words])
+    left = np.array([number[halves[p][0]] for p in words])
+    right = np.array([i if len(p) == 1 else number[halves[p][1]] for i, p in enumerate(words)])
+    pairs = sorted(
+        (number[p[:k]] * len(words) + number[p[k:]], ranks[p])
+        for p in words
+        for k in range(1, len(p))
+        if p[:k] in number and p[k:] in number
+    )
+    return Merges(rank, left, right, np.array([k for k, _ in pairs]), np.array([r for _, r in pairs]))
+
+
+NEVER = np.iinfo(np.int64).max
+
+
+def _compatible(first: np.ndarray, second: np.ndarray, merges: Merges) -> np.ndarray:
+    """Whether merging the text of two adjacent pieces by rank gives just these two.
+
+    Their own merges are undone from the latest on. If what then meets at the border merges
+    before the undone step (or with it, on the left), the border would not have lasted.
+    """
+    ok = np.ones(len(first), bool)
+    rows, a, b = np.arange(len(first)), first, second
+    limit = np.full(len(first), NEVER)
+    size = len(merges.rank)
+    while len(rows):
+        key = a * size + b
+        place = np.minimum(np.searchsorted(merges.pair_keys, key), len(merges.pair_keys) - 1)
+        bad = (merges.pair_keys[place] == key) & (merges.pair_ranks[place] < limit)
+        ok[rows[bad]] = False
+        rank_a, rank_b = merges.rank[a], merges.rank[b]
+        go = ~bad & ((rank_a >= 0) | (rank_b >= 0))
+        rows, a, b, rank_a, rank_b = rows[go], a[go], b[go], rank_a[go], rank_b[go]
+        undo_a = rank_a > rank_b
+        limit = np.where(undo_a, rank_a, rank_b + 1)
+        a, b = np.where(undo_a, merges.right[a], a), np.where(undo_a, b, merges.left[b])
+    return ok
+
+
+class Borders:
+    """Which pairs of pieces are compatible, with the answers of the latest pairs kept."""
+
+    BITS = 20
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.pair = np.full(1 << self.BITS, -1)
+        self.answer = np.zeros(1 << self.BITS, bool)
+
+    def __call__(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        key = first * len(self.merges.rank) + second
+        slot = (key.astype(np.uint64) * np.uint64(BASE) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        ok = self.answer[slot]
+        new = np.flatnonzero(self.pair[slot] != key)
+        if len(new):
+            ok[new] = _compatible(first[new], second[new], self.merges)
+            self.pair[slot[new]] = key[new]
+            # Of several new pairs of one slot only the one that got it leaves its answer.
+            kept = new[self.pair[slot[new]] == key[new]]
+            self.answer[slot[kept]] = ok[kept]
+        return ok
+
+
 def _probe(table: PieceTable, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which hashes are those of pieces, and the places of these in the table."""
     rows = np.flatnonzero(table.maybe[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -123,10 +232,10 @@ def _probe(table: PieceTable, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows[hit], place[hit]
 
 
-def _search(table: PieceTable, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _search(table: PieceTable, words: np.ndarray, borders: Borders | None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of words of one length (a matrix of code points), and each word's number.
 
-    A token is a piece id, or minus the code point less one where no piece fits.
+    A token is a piece's number, or minus the code point less one where no piece fits.
     """
     n, length = words.shape
     prefix = np.zeros((length + 1, n), np.uint64)
@@ -147,6 +256,12 @@ def _search(table: PieceTable, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
             exact = (table.points[place, :size] == words[rows, start:end]).all(axis=1)
             if size < table.max_length:
                 exact &= table.points[place, size] == 0
+            if borders is not None:
+                before = token[start, rows]
+                exact &= np.isfinite(best[start, rows])
+                if start:
+                    open_ = np.flatnonzero(exact & (before >= 0))
+                    exact[open_] = borders(before[open_], place[open_])
             rows, place = rows[exact], place[exact]
             score = best[start, rows] + table.scores[place]
             # A piece for the single character always replaces the unknown one.
@@ -154,7 +269,7 @@ def _search(table: PieceTable, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
             rows, place = rows[better], place[better]
             best[end, rows] = score[better]
             width[end, rows] = size
-            token[end, rows] = table.ids[place]
+            token[end, rows] = place
     at = np.full(n, length)
     found, rows = [], np.arange(n)
     while len(rows):
@@ -168,25 +283,35 @@ def _search(table: PieceTable, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tokens[order], np.bincount(owner, minlength=n)
 
 
-def _search_long(table: PieceTable, word: np.ndarray) -> np.ndarray:
+def _search_long(table: PieceTable, word: np.ndarray, borders: Borders | None) -> np.ndarray:
     """Tokens of one long word."""
     n = len(word)
     prefix = np.r_[np.uint64(0), np.cumsum(_mixed(word) * _powers(BASE, n))]
     inverse = _powers(_INVERSE, n)
-    matches: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]
-    for size in range(table.max_length, 0, -1):
-        if size > n:
-            continue
+    matches: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    for size in range(min(n, table.max_length), 0, -1):
         starts, place = _probe(table, (prefix[size:] - prefix[:-size]) * inverse[: n - size + 1])
         for start, p in zip(starts.tolist(), place.tolist(), strict=True):
             if (table.points[p, :size] == word[start : start + size]).all() and not table.points[p, size:].any():
-                matches[start + size].append((size, float(table.scores[p]), int(table.ids[p])))
-    best, back = [0.0] * (n + 1), [(0, 0)] * (n + 1)
+                matches[start + size].append((size, p))
+    known: dict[tuple[int, int], bool] = {}
+
+    def fits(a: int, b: int) -> bool:
+        if borders is None or a < 0:
+            return True
+        if (a, b) not in known:
+            known[a, b] = bool(borders(np.array([a]), np.array([b]))[0])
+        return known[a, b]
+
+    best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
     for end in range(1, n + 1):
         top, step = best[end - 1] + table.unknown_score, (1, -1 - int(word[end - 1]))
-        for size, score, token in matches[end]:
-            if best[end - size] + score > top or (size == 1 and step[1] < 0):
-                top, step = best[end - size] + score, (size, token)
+        for size, p in matches[end]:
+            if end > size and not fits(back[end - size][1], p):
+                continue
+            score = best[end - size] + float(table.scores[p])
+            if score > top or (size == 1 and step[1] < 0):
+                top, step = score, (size, p)
         best[end], back[end] = top, step
     out = []
     while n:
@@ -204,7 +329,8 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _with_bytes(tokens: np.ndarray, counts: np.ndarray, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
     """Unknown characters as the ids of their UTF-8 bytes."""
     odd = np.flatnonzero(tokens < 0)
-    point = -1 - tokens[odd]
+    tokens = np.where(tokens < 0, tokens, table.ids[np.maximum(tokens, 0)])
+    point = -1 - tokens[odd].astype(np.int64)
     point[point == LITERAL_MARK] = MARK
     if not table.has_bytes:
         tokens[odd] = table.byte_ids[0]
@@ -224,8 +350,9 @@ def _with_bytes(tokens: np.ndarray, counts: np.ndarray, table: PieceTable) -> tu
     return out.astype(np.int32), np.bincount(owner, weights=repeat, minlength=len(counts)).astype(np.int64)
 
 
-def encode_batch(texts: list[str], table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and ``n + 1`` offsets."""
+def encode_batch(texts: list[str], table: PieceTable, borders: Borders | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and ``n + 1`` offsets. ``borders`` may be kept between batches."""
+    borders = borders or (Borders(table.merges) if table.merges else None)
     spaced = [" " + t if t else "" for t in texts]
     lengths = np.array([len(t) for t in spaced], np.int64)
     points = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -254,14 +381,14 @@ def encode_batch(texts: list[str], table: PieceTable) -> tuple[np.ndarray, np.nd
     while at < len(order):
         size = int(length_of[order[at]])
         if size > LONG_WORD:
-            found = _search_long(table, points[start[order[at]] : start[order[at]] + size])
+            found = _search_long(table, points[start[order[at]] : start[order[at]] + size], borders)
             counts[order[at]] = len(found)
             tokens.append(found)
             at += 1
             continue
         stop = int(np.searchsorted(length_of[order], size, "right"))
         group = order[at:stop]
-        found, number = _search(table, points[start[group][:, None] + np.arange(size)[None, :]])
+        found, number = _search(table, points[start[group][:, None] + np.arange(size)[None, :]], borders)
         tokens.append(found)
         counts[group] = number
         at = stop
@@ -289,11 +416,12 @@ def decode_batch(ids: np.ndarray, offsets: np.ndarray, table: PieceTable) -> lis
 
 
 def _rows(batches: Iterator[pa.Array], table: PieceTable) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    borders = Borders(table.merges) if table.merges else None
     for texts in batches:
         parts = []
         for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
             part = texts[start:stop].to_pylist()
-            parts.append((part, *encode_batch([t or "" for t in part], table)))
+            parts.append((part, *encode_batch([t or "" for t in part], table, borders)))
         yield parts
 
 
