@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobtide.llm import langid
 from jobtide.llm import sentencepieces as sp
 from jobtide.llm.batches import bound_batches
+from jobtide.llm.fingerprint import edited_neighbours
 from jobtide.llm.linededup import dedup_lines
 from jobtide.llm.mixing import mix
 from jobtide.llm.simhash import near_duplicates
@@ -52,6 +53,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    found = edited_neighbours(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and the digest of the kept text, of every document."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select(
@@ -83,6 +90,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
             op1_language_id,
             op2_sentencepiece,
+            op4_fingerprints,
             op6_line_dedup,
             op8_mix_sources,
             op9_simhash_near_dedup,
