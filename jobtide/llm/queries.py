@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import langid
 from jobtide.llm import sentencepieces as sp
+from jobtide.llm import toxicity
 from jobtide.llm.batches import bound_batches
 from jobtide.llm.fingerprint import edited_neighbours
 from jobtide.llm.linededup import dedup_lines
@@ -59,6 +60,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = _crc(4) == 2
+    model = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.with_toxicity(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and the digest of the kept text, of every document."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select(
@@ -91,6 +102,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_language_id,
             op2_sentencepiece,
             op4_fingerprints,
+            op5_toxicity,
             op6_line_dedup,
             op8_mix_sources,
             op9_simhash_near_dedup,
