@@ -14,6 +14,7 @@ from jobtide.llm.batches import bound_batches
 from jobtide.llm.fingerprint import edited_neighbours
 from jobtide.llm.linededup import dedup_lines
 from jobtide.llm.mixing import mix
+from jobtide.llm.repetition import with_repetition
 from jobtide.llm.simhash import near_duplicates
 
 
@@ -80,6 +81,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, repetition shares and verdicts of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_repetition(docs).select("doc_id", "repetition.*")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     mixed, _ = mix(_table(spark, sf_dir, "documents"))
@@ -104,6 +111,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_fingerprints,
             op5_toxicity,
             op6_line_dedup,
+            op7_repetition,
             op8_mix_sources,
             op9_simhash_near_dedup,
         )}
