@@ -33,3 +33,24 @@ SELECT k.doc_id,
 FROM keyed AS k LEFT JOIN shared AS s ON k.key = s.key
 GROUP BY k.doc_id
 """
+
+ORACLE["op10_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL
+  SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+              FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<turn ' || role || '></turn>')
+                + length(replace(replace(text, '\', '\\'), '<', '\<'))) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS attachment_tokens
+FROM turns
+GROUP BY conv_id
+"""

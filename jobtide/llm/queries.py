@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import langid
+from jobtide.llm import chat, langid
 from jobtide.llm import sentencepieces as sp
 from jobtide.llm import toxicity
 from jobtide.llm.batches import bound_batches
@@ -104,6 +104,24 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("copy")
 
 
+#: A conversation whose texts hold what templates use as control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+CONTROL_ID = -7
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one full of control strings, read back from the format."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(CONTROL_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    parts = turns.unionByName(added).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digest_conversations(parts)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
             op1_language_id,
@@ -114,4 +132,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_repetition,
             op8_mix_sources,
             op9_simhash_near_dedup,
+            op10_chat_format,
         )}
