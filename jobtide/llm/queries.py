@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from jobtide.llm import chat, langid
 from jobtide.llm import sentencepieces as sp
-from jobtide.llm import toxicity
+from jobtide.llm import tokenfiles, toxicity
 from jobtide.llm.batches import bound_batches
 from jobtide.llm.fingerprint import edited_neighbours
 from jobtide.llm.linededup import dedup_lines
 from jobtide.llm.mixing import mix
 from jobtide.llm.repetition import with_repetition
 from jobtide.llm.simhash import near_duplicates
+from jobtide.llm.workspace import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document, from flat token files of all of them."""
+    folder = Workspace(spark).path("tokens")
+    end = tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), folder, piece_model())
+    counted = tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder), end)
+    return tokenfiles.numbered_counts(counted)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
     found = edited_neighbours(_table(spark, sf_dir, "documents"))
@@ -126,6 +135,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
             op1_language_id,
             op2_sentencepiece,
+            op3_token_counts,
             op4_fingerprints,
             op5_toxicity,
             op6_line_dedup,
