@@ -22,7 +22,7 @@ from jobtide.llm.batches import bound_batches, pieces
 
 UNDETERMINED = "und"
 #: Bounds of the fit, the same at every size of the input: labelled rows, landmarks,
-#: and a length up to which rows are preferred for the sample.
+#: and characters of a sampled text.
 MAX_TRAIN = 2000
 LANDMARKS = 192
 SHORT_TEXT = 20_000
@@ -107,16 +107,23 @@ def fit(
 ) -> StringKernelModel | None:
     """Fit on at most ``max_train`` rows with text and language; None if there is none.
 
-    The sample is the rows of least text hash, shorter texts first, so it is the same at
-    each run. Landmarks are dealt to the languages in turn.
+    The sample holds distinct texts of least hash, of at most ``SHORT_TEXT`` characters if there
+    are such, and is the same at each run. Only a share of the hash range that holds about as many texts reaches the driver,
+    reduced to one row for each text before. Landmarks are dealt to the languages in turn.
     """
-    rows = (
-        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-        .orderBy(F.char_length("t") > SHORT_TEXT, F.xxhash64("t"), "t", "l")
-        .limit(max_train)
-        .collect()
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+        F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text_col).alias("h")
     )
+    short = known.where(F.char_length("t") <= SHORT_TEXT)
+    n_texts = short.agg(F.approx_count_distinct("h")).first()[0]
+    if n_texts:
+        known = short
+    else:
+        n_texts = known.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 1.5 * max_train / max(1, n_texts))
+    picked = known if share == 1.0 else known.where(F.shiftrightunsigned("h", 11) < int(share * 2**53))
+    found = picked.groupBy("h").agg(F.min(F.struct("t", "l")).alias("row")).select("h", "row.*").collect()
+    rows = sorted(found, key=lambda r: (r.h, r.t))[:max_train]
     if not rows:
         return None
     texts, labels = [r.t for r in rows], [r.l for r in rows]
