@@ -204,7 +204,8 @@ failed AS (
   WHERE result_state = 'FAILED'
 ),
 all_failures AS (
-  SELECT 'job_failure_' || job_id || '_' || CAST(floor(epoch(period_start_time)) AS BIGINT) AS id,
+  SELECT 'job_failure_' || workspace_id || '_' || job_id || '_' || run_id || '_'
+           || (epoch_us(period_start_time) // 1000) || '_' || CAST(floor(epoch(period_start_time)) AS BIGINT) AS id,
          'job_failure' AS alert_type, 'high' AS severity, 'Job Failure: ' || shown AS title,
          'Job ''' || shown || ''' has failed with error: ' || err AS message, job_id,
          shown AS job_name, workspace_id, period_start_time AS created_at,
@@ -212,12 +213,14 @@ all_failures AS (
   FROM failed
 )"""
 
-TOP_FAILED = f"""
+def top_failed(limit: str = "") -> str:
+    return f"""
 top_failed AS (
-  SELECT * FROM failed ORDER BY period_start_time DESC, workspace_id, job_id, run_id LIMIT 10
+  SELECT * FROM failed ORDER BY period_start_time DESC, workspace_id, job_id, run_id {limit}
 ),
 failures AS (
-  SELECT 'job_failure_' || job_id || '_1706659200' AS id, 'job_failure' AS alert_type,
+  SELECT 'job_failure_' || workspace_id || '_' || job_id || '_' || run_id || '_'
+           || (epoch_us(period_start_time) // 1000) || '_1706659200' AS id, 'job_failure' AS alert_type,
          'high' AS severity, 'Job Failure: ' || shown AS title,
          'Job ''' || shown || ''' has failed with error: ' || err AS message, job_id,
          shown AS job_name, workspace_id, {AS_OF} AS created_at,
@@ -225,13 +228,15 @@ failures AS (
   FROM top_failed
 )"""
 
-LOW = f"""
+
+def low(limit: str = "") -> str:
+    return f"""
 lowest AS (
   SELECT *, coalesce(nullif(job_name, ''), 'Job ' || job_id) AS shown FROM health
-  WHERE score < 50 ORDER BY score, workspace_id, job_id LIMIT 5
+  WHERE score < 50 ORDER BY score, workspace_id, job_id {limit}
 ),
 lows AS (
-  SELECT 'health_low_' || job_id || '_1706659200' AS id, 'health_score_low' AS alert_type,
+  SELECT 'health_low_' || workspace_id || '_' || job_id || '_1706659200' AS id, 'health_score_low' AS alert_type,
          'medium' AS severity, 'Low Health Score: ' || shown AS title,
          'Job ''' || shown || ''' has a health score of ' || printf('%.1f', score)
            || ', below threshold of 50' AS message,
@@ -244,8 +249,8 @@ ALERTS = ",".join(
     [
         HEALTH,
         FAILED,
-        TOP_FAILED,
-        LOW,
+        top_failed(),
+        low(),
         r"""
 alerts AS (
   SELECT id, alert_type, severity, title, message, job_id, job_name, workspace_id, created_at,
@@ -278,6 +283,23 @@ FIVE_MINUTES = f"""SELECT cluster_id, time_bucket(INTERVAL '5 minutes', start_ti
 COST_COLUMNS = """workspace_id, job_id, usage_date, round(usage, 6) AS usage,
   round(trailing_avg, 6) AS trailing_avg, round(cost_ratio, 6) AS cost_ratio"""
 
+COUNTED = f"""{HEALTH}, {N}, {FAILED}, {found(RECENT_A, 2.0)}, {C.strip()},
+counted AS (
+  SELECT 1 AS place, 'jobs_metadata' AS name, count(*) AS row_count FROM jobs
+  UNION ALL SELECT 2, 'job_runs', count(*) FROM a WHERE {A_WINDOW}
+  UNION ALL SELECT 3, 'job_metrics', count(*) FROM (
+    SELECT DISTINCT cluster_id, CAST(start_time AS DATE) FROM n WHERE start_time >= TIMESTAMP '2024-01-24')
+  UNION ALL SELECT 4, 'job_window_metrics', count(*) FROM (
+    SELECT DISTINCT cluster_id, time_bucket(INTERVAL '5 minutes', start_time) FROM n
+    WHERE start_time >= TIMESTAMP '2024-01-24')
+  UNION ALL SELECT 5, 'job_baselines', count(*) FROM base
+  UNION ALL SELECT 6, 'job_health', count(*) FROM health
+  UNION ALL SELECT 7, 'job_anomalies', count(*) FROM found
+  UNION ALL SELECT 8, 'job_costs', count(*) FROM costs
+  UNION ALL SELECT 9, 'job_failure', count(*) FROM failed WHERE {A_WINDOW}
+  UNION ALL SELECT 10, 'health_score_low', count(*) FROM health WHERE score < 50
+)"""
+
 ORACLE = {
     "jobs_latest": f"""WITH {J} SELECT workspace_id, job_id, job_name, owned_by, creator_email,
   created_time, {AS_OF} AS collected_at FROM jobs""",
@@ -320,14 +342,16 @@ SELECT {anomaly_columns(AS_OF)} FROM found""",
 SELECT {anomaly_columns(AS_OF)} FROM found""",
     "anomalies_run_grain": f"""WITH {B}, {baselines("b", B_WINDOW)}, {found(RECENT_B, 1.0)}
 SELECT {anomaly_columns("TIMESTAMP '2001-08-02 00:00:00'")} FROM found""",
-    "failure_alerts": f"""WITH {J}, {A}, {FAILED}, {TOP_FAILED}
+    "failure_alerts": f"""WITH {J}, {A}, {FAILED}, {top_failed("LIMIT 10")}
 SELECT {ALERT_LIST}, error_message, rule_threshold FROM failures""",
     "failure_alerts_all": f"""WITH {J}, {A}, {FAILED}
 SELECT {ALERT_LIST}, error_message, rule_threshold FROM all_failures""",
-    "health_alerts": f"""WITH {HEALTH}, {LOW}
+    "health_alerts": f"""WITH {HEALTH}, {low("LIMIT 5")}
+SELECT {ALERT_LIST}, health_score, threshold FROM lows""",
+    "health_alerts_all": f"""WITH {HEALTH}, {low()}
 SELECT {ALERT_LIST}, health_score, threshold FROM lows""",
     "anomaly_alerts": f"""WITH {J}, {A}, {A_BASE}, {found(RECENT_A, 1.0)}
-SELECT 'anomaly_' || job_id || '_1706659200' AS id, 'performance_anomaly' AS alert_type,
+SELECT 'anomaly_' || workspace_id || '_' || job_id || '_1706659200' AS id, 'performance_anomaly' AS alert_type,
   'medium' AS severity, 'Performance Anomaly: ' || shown AS title,
   'Job ''' || shown || ''' runs ' || anomaly_type || ' with an anomaly score of '
     || printf('%.1f', anomaly_score) AS message,
@@ -356,7 +380,7 @@ SELECT id, alert_type, colour,
         json_object('type', 'mrkdwn', 'text', '*Time:* ' || stamp)))),
     'attachments', json_array(json_object('color', colour, 'fields', json_array()))) AS VARCHAR)
     AS chat_payload,
-  '[DataOps Alert] ' || title AS email_subject,
+  '[Job alert] ' || title AS email_subject,
   'Job alert' || chr(10) || chr(10) || 'Title: ' || title || chr(10) || 'Severity: '
     || upper(severity) || chr(10) || 'Message: ' || message || chr(10) || 'Job: ' || job_name
     || chr(10) || 'Time: ' || stamp || chr(10) || chr(10) || 'Additional Details:' || chr(10)
@@ -365,28 +389,52 @@ FROM lined""",
     "alert_history": f"""WITH {ALERTS} SELECT {ALERT_LIST}, 'slack' AS channels_sent FROM alerts""",
     "alert_counts": f"""WITH {ALERTS} SELECT alert_type, count(*) AS alert_count FROM alerts
 GROUP BY 1""",
-    "alerts_rate_limited": f"""WITH {J}, {A}, {FAILED},
-gaps AS (
-  SELECT *, lag(created_at) OVER (PARTITION BY alert_type, workspace_id, job_id
-                                  ORDER BY created_at, id, message) AS before
-  FROM all_failures
+    "alerts_rate_limited": f"""WITH RECURSIVE {A},
+f AS (SELECT *, period_start_time AS created_at, date_trunc('second', period_start_time) AS t,
+  row_number() OVER (PARTITION BY workspace_id, job_id, date_trunc('second', period_start_time)
+                     ORDER BY period_start_time, run_id) AS nth
+  FROM a WHERE result_state = 'FAILED'),
+d AS (SELECT DISTINCT workspace_id, job_id, t FROM f),
+nxt AS (
+  SELECT x.workspace_id, x.job_id, x.t, min(y.t) AS later
+  FROM d x LEFT JOIN d y ON x.workspace_id = y.workspace_id AND x.job_id = y.job_id
+       AND y.t >= x.t + INTERVAL '720 minutes'
+  GROUP BY 1, 2, 3
+),
+sent AS (
+  SELECT workspace_id, job_id, min(t) AS t FROM d GROUP BY 1, 2
+  UNION ALL
+  SELECT nxt.workspace_id, nxt.job_id, nxt.later
+  FROM sent JOIN nxt ON sent.workspace_id = nxt.workspace_id AND sent.job_id = nxt.job_id
+       AND sent.t = nxt.t
+  WHERE nxt.later IS NOT NULL
 ),
 quiet AS (
-  SELECT * FROM gaps WHERE before IS NULL OR created_at - before >= INTERVAL '720 minutes'
+  SELECT f.*, f.nth = 1 AND sent.t IS NOT NULL AS passes
+  FROM f LEFT JOIN sent ON f.workspace_id = sent.workspace_id AND f.job_id = sent.job_id AND f.t = sent.t
 ),
 hourly AS (
-  SELECT * FROM (SELECT *, row_number() OVER (
-      PARTITION BY date_trunc('hour', created_at)
-      ORDER BY created_at, alert_type, workspace_id, job_id, id, message) AS h FROM quiet)
-  WHERE h <= 2
+  SELECT *, passes AND row_number() OVER (
+      PARTITION BY passes, date_trunc('hour', created_at)
+      ORDER BY created_at, workspace_id, job_id, run_id) <= 2 AS in_hour FROM quiet
 ),
 daily AS (
-  SELECT * FROM (SELECT *, row_number() OVER (
-      PARTITION BY date_trunc('day', created_at)
-      ORDER BY created_at, alert_type, workspace_id, job_id, id, message) AS d FROM hourly)
-  WHERE d <= 20
+  SELECT *, in_hour AND row_number() OVER (
+      PARTITION BY in_hour, date_trunc('day', created_at)
+      ORDER BY created_at, workspace_id, job_id, run_id) <= 20 AS in_day FROM hourly
 )
-SELECT {ALERT_LIST} FROM daily""",
+SELECT workspace_id, job_id, run_id, created_at,
+  CASE WHEN NOT passes THEN 'cooldown' WHEN NOT in_hour THEN 'hour' WHEN NOT in_day THEN 'day' END
+    AS suppressed_by
+FROM daily""",
+    "collection_counts": f"""WITH {COUNTED} SELECT name, row_count FROM counted""",
+    "collection_run_log": f"""WITH {COUNTED}
+SELECT 'completed' AS status, 'development' AS environment, 30 AS collection_window_days,
+  (SELECT '{{' || string_agg('"' || name || '": ' || row_count, ', ' ORDER BY place) || '}}'
+   FROM counted WHERE place <= 8) AS records_processed,
+  '{{"job_failure": ' || (SELECT row_count FROM counted WHERE name = 'job_failure')
+  || ', "health_score_low": ' || (SELECT row_count FROM counted WHERE name = 'health_score_low')
+  || ', "performance_anomaly": 0, "cost_spike": 0}}' AS alerts_sent, '[]' AS errors""",
     "source_counts": """SELECT 'job_changes' AS source, count(*) AS row_count FROM orders
 UNION ALL SELECT 'run_slices', count(*) FROM events
 UNION ALL SELECT 'node_samples', count(*) FROM events
@@ -419,7 +467,7 @@ WHERE {A_WINDOW}""",
     "cost_daily": f"WITH {C} SELECT {COST_COLUMNS} FROM costs",
     "cost_spikes": f"WITH {C} SELECT {COST_COLUMNS} FROM costs WHERE cost_ratio > 1.5",
     "cost_alerts": f"""WITH {J}, {C}
-SELECT 'cost_spike_' || job_id || '_' || CAST(epoch(usage_date) AS BIGINT) AS id,
+SELECT 'cost_spike_' || workspace_id || '_' || job_id || '_' || usage_date || '_' || CAST(epoch(usage_date) AS BIGINT) AS id,
   'cost_spike' AS alert_type, 'high' AS severity, 'Cost Spike: ' || shown AS title,
   job_id, shown AS job_name, workspace_id, CAST(usage_date AS TIMESTAMP) AS created_at,
   CAST(usage_date AS VARCHAR) AS usage_date, '1.5' AS threshold
@@ -427,8 +475,7 @@ FROM (SELECT costs.*, coalesce(nullif(job_name, ''), 'Job ' || costs.job_id) AS
       FROM costs LEFT JOIN jobs USING (workspace_id, job_id) WHERE cost_ratio > 1.5)""",
     "runs_upsert": f"""WITH {A} SELECT {RUN_COLUMNS}, CAST(period_start_time AS DATE) AS run_date
 FROM a""",
-    "metrics_stream": f"""WITH {N}, w AS ({FIVE_MINUTES}) SELECT * FROM w
-WHERE window_end <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)""",
+    "metrics_stream": f"""WITH {N}, w AS ({FIVE_MINUTES}) SELECT * FROM w""",
     "runs_stream_dedup": f"""WITH {A} SELECT {RUN_COLUMNS}, {AS_OF} AS collected_at,
   CAST(period_start_time AS DATE) AS run_date FROM a""",
     "alert_cooldown_stream": f"""WITH RECURSIVE {A},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from jobtide.operators.jobs import latest_jobs, sample_jobs
 from jobtide.operators.limits import rate_limited
 from jobtide.operators.metrics import daily_metrics, window_metrics
 from jobtide.operators.routing import alert_history, alert_payloads, route_alerts
-from jobtide.operators.runs import job_runs, project_runs
+from jobtide.operators.runs import job_runs
+from jobtide.plans.pipeline import Settings, collect_incremental, run_collection
 from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
 from jobtide.sinks.store import Store, shared_folder
-from jobtide.sinks.upsert import high_water_mark, newer_slices, upsert_runs
 from jobtide.sources import testdata as td
 from jobtide.sources.probe import count_sources, probe_sources
 from jobtide.streaming.cooldown import start_cooldown
@@ -33,6 +34,7 @@ SNAPSHOT = "2024-01-20 00:00:00"
 CONFIGURED = ("slack", "webhook")
 LIMITS = {"cooldown_minutes": 720, "max_per_hour": 2, "max_per_day": 20}
 COOLDOWN_MINUTES = 720
+LATENESS = "10 days"
 
 
 def places(column: str) -> int:
@@ -177,18 +179,25 @@ def anomalies_run_grain(spark, sf):
 
 
 def failure_alerts(spark, sf):
-    found = al.failure_alerts(_runs(spark, sf), _jobs(spark, sf), AS_OF)
+    rule = replace(al.RULES["job_failure"], limit=10)
+    found = al.failure_alerts(_runs(spark, sf), _jobs(spark, sf), AS_OF, rule)
     return tidy(_flat(found, "error_message", "rule_threshold"))
 
 
 def failure_alerts_all(spark, sf):
     found = al.failure_alerts(
-        _runs(spark, sf), _jobs(spark, sf), limit=None, at_event_time=True
+        _runs(spark, sf), _jobs(spark, sf), at_event_time=True
     )
     return tidy(_flat(found, "error_message", "rule_threshold"))
 
 
 def health_alerts(spark, sf):
+    rule = replace(al.RULES["health_score_low"], limit=5)
+    found = al.health_alerts(_health(spark, sf), AS_OF, rule)
+    return tidy(_flat(found, "health_score", "threshold"))
+
+
+def health_alerts_all(spark, sf):
     return tidy(_flat(al.health_alerts(_health(spark, sf), AS_OF), "health_score", "threshold"))
 
 
@@ -220,9 +229,8 @@ def alert_counts(spark, sf):
 
 def alerts_rate_limited(spark, sf):
     candidates = al.failed_runs(_runs(spark, sf))
-    sent = rate_limited(candidates, tie_break=["run_id"], **LIMITS)
-    found = al.failure_alerts(sent, _jobs(spark, sf), limit=None, at_event_time=True)
-    return tidy(found.drop("metadata"))
+    marked = rate_limited(candidates, tie_break=["run_id"], **LIMITS)
+    return tidy(marked.select("workspace_id", "job_id", "run_id", "created_at", "suppressed_by"))
 
 
 def source_counts(spark, sf):
@@ -311,30 +319,94 @@ def cost_alerts(spark, sf):
     return tidy(_flat(found, "usage_date", "threshold").drop("message"))
 
 
+def _with_repeats(slices: DataFrame, open_since: str) -> DataFrame:
+    """Every third slice twice, first without state and shorter; no states from a moment on."""
+    version = F.explode(
+        F.when(F.col("run_id").cast("long") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    )
+    final = (F.col("_version") == 2) & (F.col("period_start_time") < F.lit(open_since).cast("timestamp_ntz"))
+    second = F.make_dt_interval(secs=F.lit(1).cast("decimal(18,6)"))
+    return (
+        slices.withColumn("_version", version)
+        .withColumns(
+            {
+                "result_state": F.when(final, F.col("result_state")),
+                "period_end_time": F.when(F.col("_version") == 2, F.col("period_end_time")).otherwise(
+                    F.col("period_end_time") - second
+                ),
+            }
+        )
+        .drop("_version")
+    )
+
+
 def runs_upsert(spark, sf):
-    """A snapshot whose last two days still miss their states, then the newer slices."""
+    """A snapshot whose last two days still miss their states, then the newer slices, some in two versions."""
     store = Store(spark, folder=shared_folder(spark))
     slices = td.run_slices(spark, sf)
-    taken = F.lit(SNAPSHOT).cast("timestamp_ntz")
-    open_since = taken - F.make_dt_interval(days=F.lit(2))
-    state = F.when(F.col("period_start_time") < open_since, F.col("result_state"))
-    snapshot = project_runs(slices.where(F.col("period_start_time") < taken), SNAPSHOT)
-    upsert_runs(store, snapshot.withColumn("result_state", state))
-    mark = high_water_mark(store.read("job_runs"), partition="run_date")
-    upsert_runs(store, project_runs(newer_slices(slices, mark, 2), AS_OF))
+    collect_incremental(store, _with_repeats(slices, "2024-01-18 00:00:00"), SNAPSHOT, 30)
+    collect_incremental(store, _with_repeats(slices, "2100-01-01 00:00:00"), AS_OF, overlap_days=2)
     return tidy(store.read("job_runs").drop("collected_at"))
 
 
-def _event_stream(spark, sf):
-    schema = td.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _collection(spark, sf) -> Store:
+    """A store with everything that one collection writes."""
+    store = Store(spark, folder=shared_folder(spark))
+    loaders = {
+        "job_changes": lambda: td.job_changes(spark, sf),
+        "run_slices": lambda: td.run_slices(spark, sf),
+        "node_samples": lambda: td.node_samples(spark, sf),
+        "usage": lambda: td.usage(spark, sf),
+    }
+    settings = Settings(channels=CONFIGURED, tie_break=["change_id"], costs=True, metrics_width="5 minutes")
+    run_collection(store, loaders, AS_OF, settings)
+    return store
+
+
+def collection_counts(spark, sf):
+    """Rows of every table that a collection writes, and its alerts by kind, read back."""
+    store = _collection(spark, sf)
+    tables = ["jobs_metadata", "job_runs", "job_metrics", "job_window_metrics", "job_baselines"]
+    tables += ["job_health", "job_anomalies", "job_costs"]
+    counts = [
+        store.read(t).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("name"), "row_count")
+        for t in tables
+    ]
+    alerts = al.alert_counts(store.read("job_alerts")).toDF("name", "row_count")
+    return reduce(DataFrame.unionByName, [*counts, alerts])
+
+
+def collection_run_log(spark, sf):
+    """The record that a collection appends to its run log."""
+    log = _collection(spark, sf).read("pipeline_runs")
+    return log.select(
+        "status", "environment", "collection_window_days", "records_processed", "alerts_sent", "errors"
+    )
+
+
+def _event_stream(spark, sf, place):
+    """The events written quarter by quarter of their time, and read file by file.
+
+    Several micro-batches come of it; a quarter is shorter than the streams' lateness.
+    """
+    events = td.table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 4
+    for k in range(4):
+        part = F.col("ts") >= F.lit(first + k * step).cast("timestamp_ntz")
+        if k < 3:
+            part &= F.col("ts") < F.lit(first + (k + 1) * step).cast("timestamp_ntz")
+        events.where(part).write.mode("append").parquet(f"{place}/events")
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{place}/events")
 
 
 def metrics_stream(spark, sf):
     place = shared_folder(spark)
-    samples = td.event_samples(_event_stream(spark, sf))
-    start_metrics(samples, f"{place}/out", f"{place}/checkpoint").awaitTermination()
-    return tidy(spark.read.parquet(f"{place}/out"))
+    store = Store(spark, folder=place)
+    samples = td.event_samples(_event_stream(spark, sf, place))
+    start_metrics(samples, store, f"{place}/checkpoint", lateness=LATENESS).awaitTermination()
+    return tidy(store.read("job_window_metrics").drop("day"))
 
 
 def runs_stream_dedup(spark, sf):
@@ -342,7 +414,7 @@ def runs_stream_dedup(spark, sf):
     place = shared_folder(spark)
     store = Store(spark, folder=place)
     copies = F.expr("explode(CASE WHEN event_id % 3 = 0 THEN array(1, 2) ELSE array(1) END)")
-    events = _event_stream(spark, sf).withColumn("_copy", copies).drop("_copy")
+    events = _event_stream(spark, sf, place).withColumn("_copy", copies).drop("_copy")
     slices = td.event_slices(events)
     start_runs(slices, store, f"{place}/checkpoint", as_of=AS_OF).awaitTermination()
     return tidy(store.read("job_runs"))
@@ -351,7 +423,7 @@ def runs_stream_dedup(spark, sf):
 def alert_cooldown_stream(spark, sf):
     place = shared_folder(spark)
     candidates = (
-        td.event_slices(_event_stream(spark, sf))
+        td.event_slices(_event_stream(spark, sf, place))
         .where("result_state = 'FAILED'")
         .select(
             F.lit("job_failure").alias("alert_type"),
@@ -361,7 +433,7 @@ def alert_cooldown_stream(spark, sf):
         )
     )
     start_cooldown(
-        candidates, f"{place}/out", f"{place}/checkpoint", COOLDOWN_MINUTES
+        candidates, f"{place}/out", f"{place}/checkpoint", COOLDOWN_MINUTES, LATENESS
     ).awaitTermination()
     return tidy(spark.read.parquet(f"{place}/out"))
 
@@ -387,6 +459,7 @@ QUERIES = {
     "failure_alerts": failure_alerts,
     "failure_alerts_all": failure_alerts_all,
     "health_alerts": health_alerts,
+    "health_alerts_all": health_alerts_all,
     "anomaly_alerts": anomaly_alerts,
     "alerts_routed": alerts_routed,
     "alert_payloads": alert_payloads_query,
@@ -395,6 +468,8 @@ QUERIES = {
     "alerts_rate_limited": alerts_rate_limited,
     "source_counts": source_counts,
     "source_probe": source_probe,
+    "collection_counts": collection_counts,
+    "collection_run_log": collection_run_log,
     "top_unhealthy": top_unhealthy,
     "recent_pipeline_runs": recent_pipeline_runs_query,
     "write_read_roundtrip": write_read_roundtrip,

@@ -15,7 +15,7 @@ SEVERITY_COLOURS = {
 DEFAULT_COLOUR = "#ff9500"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss 'UTC'"
 TITLE_ICON = "\U0001f6a8 "
-SUBJECT_PREFIX = "[DataOps Alert] "
+SUBJECT_PREFIX = "[Job alert] "
 BLOCK_TYPE = (
     "STRUCT<type: STRING, text: STRUCT<type: STRING, text: STRING>,"
     " fields: ARRAY<STRUCT<type: STRING, text: STRING>>>"

@@ -34,14 +34,16 @@ def days_before(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
 
 
 def within_days(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
-    """Predicate: ``column`` is at most ``days`` times 24 hours older than ``as_of``."""
-    return F.col(column) >= days_before(df, column, as_of, days)
+    """Predicate: ``column`` is at most ``days`` times 24 hours older than ``as_of``, and not later."""
+    latest = moment(as_of, _type_of(df, column))
+    return (F.col(column) >= days_before(df, column, as_of, days)) & (F.col(column) <= latest)
 
 
 def within_calendar_days(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
-    """Predicate: ``column`` is on or after the midnight ``days`` dates before ``as_of``."""
+    """Predicate: from the midnight ``days`` dates before ``as_of`` up to ``as_of``."""
     day = F.date_sub(moment(as_of).cast("date"), days)
-    return F.col(column) >= day.cast(_type_of(df, column))
+    kind = _type_of(df, column)
+    return (F.col(column) >= day.cast(kind)) & (F.col(column) <= moment(as_of, kind))
 
 
 def elapsed_ms(start: str, end: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,28 +16,26 @@ from jobtide.schemas import JOB_KEYS, TABLES
 
 @dataclass(frozen=True)
 class AlertRule:
-    """When an alert kind fires, how severe it is, and where it goes.
+    """From which value on an alert kind fires, how severe it is, and where it goes.
 
-    ``channels=None`` means every configured channel.
+    ``channels=None`` means every configured channel. ``limit`` keeps the first alerts of the
+    kind only, the newest failures or the lowest scores; by default all are kept.
     """
 
+    threshold: float
+    severity: str
+    channels: tuple[str, ...] | None
+    limit: int | None = None
     enabled: bool = True
-    threshold: float = 0.0
-    severity: str = "medium"
-    channels: tuple[str, ...] | None = ()
 
 
-# Default rules and the most alerts of a kind per collection.
+# Default rules.
 RULES = {
-    "job_failure": AlertRule(threshold=1, severity="high", channels=("slack", "email")),
-    "health_score_low": AlertRule(threshold=50, severity="medium", channels=("slack",)),
-    "performance_anomaly": AlertRule(threshold=2.0, severity="medium", channels=("slack",)),
-    "cost_spike": AlertRule(threshold=1.5, severity="high", channels=("slack", "email")),
+    "job_failure": AlertRule(1, "high", ("slack", "email")),
+    "health_score_low": AlertRule(50, "medium", ("slack",)),
+    "performance_anomaly": AlertRule(2.0, "medium", ("slack",)),
+    "cost_spike": AlertRule(1.5, "high", ("slack", "email")),
 }
-FAILURE_LIMIT = 10
-HEALTH_LIMIT = 5
-
-SALTS = 16
 
 ALERT_COLUMNS = tuple(f.name for f in TABLES["job_alerts"] if f.name != "channels_sent")
 
@@ -57,11 +55,22 @@ def _alert_rows(
     message: Column,
     metadata: Mapping[str, Column],
     created_at: Column,
+    subject: Sequence[Column] = (),
 ) -> DataFrame:
-    """Alert columns over a frame that has the job keys and ``_name``."""
+    """Alert columns over a frame that has the job keys and ``_name``.
+
+    An id holds the workspace, the job, what else the alert is about (``subject``) and the second.
+    """
     pairs = [x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))]
     return df.withColumn("_at", created_at).select(
-        F.concat_ws("_", F.lit(id_prefix), "job_id", epoch_seconds(F.col("_at"))).alias("id"),
+        F.concat_ws(
+            "_",
+            F.lit(id_prefix),
+            "workspace_id",
+            "job_id",
+            *(c.cast("string") for c in subject),
+            epoch_seconds(F.col("_at")).cast("string"),
+        ).alias("id"),
         F.lit(kind).alias("alert_type"),
         F.lit(rule.severity).alias("severity"),
         F.concat(F.lit(f"{title}: "), "_name").alias("title"),
@@ -74,19 +83,13 @@ def _alert_rows(
     )
 
 
-def _with_name(df: DataFrame, jobs: DataFrame, spread_by: tuple[str, ...] = ()) -> DataFrame:
+def _with_name(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """Add ``_name`` from the job metadata, which holds one row per job.
 
-    ``spread_by`` salts the join for frames with unboundedly many rows per job: rows
-    of a job are spread by a hash of those columns, names are repeated per salt.
+    A job with very many rows is split by Spark's skew handling: names are the unique side.
     """
     names = jobs.select(*JOB_KEYS, F.col("job_name").alias("_job_name"))
-    keys = list(JOB_KEYS)
-    if spread_by:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
-        names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys.append("_salt")
-    return df.join(names, keys, "left").withColumn(
+    return df.join(names, list(JOB_KEYS), "left").withColumn(
         "_name", display_name(F.col("_job_name"), F.col("job_id"))
     )
 
@@ -106,13 +109,11 @@ def failure_alerts(
     jobs: DataFrame,
     as_of: AsOf = None,
     rule: AlertRule = RULES["job_failure"],
-    limit: int | None = FAILURE_LIMIT,
     at_event_time: bool = False,
 ) -> DataFrame:
-    """One alert per failed run, the newest ``limit`` only unless it is None.
+    """One alert per failed run; the newest of them where the rule has a limit.
 
-    The limit comes before the join, so names are looked up for a handful of rows;
-    without a limit the join is salted, as one job may own most failures.
+    The limit comes before the join, so names are looked up for a handful of rows.
     ``at_event_time`` stamps alerts with the run's start instead of ``as_of``.
     """
     if not rule.enabled:
@@ -120,12 +121,11 @@ def failure_alerts(
     failed = runs.where(F.col("result_state") == "FAILED").select(
         *JOB_KEYS, "run_id", "period_start_time", "state_message"
     )
-    if limit is not None:
+    if rule.limit is not None:
         failed = failed.orderBy(
             F.col("period_start_time").desc(), *JOB_KEYS, "run_id", "state_message"
-        ).limit(limit)
-    spread_by = ("run_id", "period_start_time") if limit is None else ()
-    named = _with_name(failed, jobs, spread_by).withColumn(
+        ).limit(rule.limit)
+    named = _with_name(failed, jobs).withColumn(
         "_error", error_text(F.col("state_message"))
     )
     return _alert_rows(
@@ -141,6 +141,10 @@ def failure_alerts(
         created_at=F.col("period_start_time").cast("timestamp")
         if at_event_time
         else moment(as_of),
+        subject=[
+            F.col("run_id"),
+            F.unix_millis(F.col("period_start_time").cast("timestamp")),
+        ],
     )
 
 
@@ -148,17 +152,16 @@ def health_alerts(
     health: DataFrame,
     as_of: AsOf = None,
     rule: AlertRule = RULES["health_score_low"],
-    limit: int | None = HEALTH_LIMIT,
 ) -> DataFrame:
-    """One alert per job scoring below the rule's threshold, the lowest ``limit`` only."""
+    """One alert per job scoring below the rule's threshold; the lowest where it has a limit."""
     if not rule.enabled:
         return no_alerts(health.sparkSession)
-    low = health.where(F.col("health_score") < rule.threshold).select(
-        *JOB_KEYS, "job_name", "health_score"
+    name = display_name(F.col("job_name"), F.col("job_id"))
+    named = health.where(F.col("health_score") < rule.threshold).select(
+        *JOB_KEYS, "health_score", name.alias("_name")
     )
-    if limit is not None:
-        low = low.orderBy("health_score", *JOB_KEYS).limit(limit)
-    named = low.withColumn("_name", display_name(F.col("job_name"), F.col("job_id")))
+    if rule.limit is not None:
+        named = named.orderBy("health_score", *JOB_KEYS).limit(rule.limit)
     return _alert_rows(
         named,
         kind="health_score_low",
@@ -243,6 +246,7 @@ def cost_alerts(
             "threshold": F.lit(str(rule.threshold)),
         },
         created_at=F.col("usage_date").cast("timestamp") if as_of is None else moment(as_of),
+        subject=[F.col("usage_date")],
     )
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The function below reaches the Python workers whole: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ALERT_SUBJECT = ("alert_type", "workspace_id", "job_id")
 
 # Default limits.
@@ -16,41 +23,76 @@ MAX_PER_HOUR = 10
 MAX_PER_DAY = 50
 
 
+#: Buckets in which an hour or day is ranked before the survivors are ranked together.
+RANK_BUCKETS = 64
+
+
+def _greedy(width: int, n_keys: int):
+    """For ``mapInArrow`` over (subject, second) in order: the seconds at which an alert is sent.
+
+    The next alert is the first candidate once the last one's silence is over. One number
+    goes from batch to batch, whatever the number of candidates.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject, last = None, None
+        for batch in batches:
+            seconds = batch.column(n_keys).to_numpy()
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True))
+            picked, at = [], 0
+            while at < len(keys):
+                stop = at
+                while stop < len(keys) and keys[stop] == keys[at]:
+                    stop += 1
+                if keys[at] != subject:
+                    subject, last = keys[at], None
+                own = seconds[at:stop]
+                i = 0 if last is None else int(np.searchsorted(own, last + width))
+                while i < len(own):
+                    last = int(own[i])
+                    picked.append(at + i)
+                    i = int(np.searchsorted(own, last + width))
+                at = stop
+            yield batch.take(pa.array(picked, pa.int64()))
+
+    return run
+
+
 def after_quiet_period(
     alerts: DataFrame,
     minutes: int = COOLDOWN_MINUTES,
     tie_break: Sequence[str] = (),
     subject: Sequence[str] = ALERT_SUBJECT,
 ) -> DataFrame:
-    """Candidates at least ``minutes`` after the previous candidate of their subject.
+    """``alerts`` with ``suppressed_by``: null for those sent, ``cooldown`` for the others.
 
-    Time is cut into slots as wide as the quiet period. Two candidates of one slot
-    are closer than that, so only the first of a slot can pass, and it passes if the
-    last candidate of an earlier slot is old enough. One aggregation per slot keeps
-    first and last; the comparison then sees at most one row per slot, however many
-    candidates a hot subject has.
+    An alert is sent if its subject's last sent one is at least ``minutes`` old, to the second; of one
+    second the first by time and ``tie_break``. This is what the stream form does. Candidates become
+    distinct seconds first; a subject's seconds are then one sorted run in one task, read in batches.
     """
     if minutes <= 0:
-        return alerts
-    width = minutes * 60 * 1_000_000
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    rest = [c for c in alerts.columns if c not in subject]
-    slots = (
-        alerts.withColumn("_at", at)
-        .withColumn("_slot", F.floor(F.col("_at") / F.lit(width)))
-        .groupBy(*subject, "_slot")
-        .agg(
-            F.min_by(F.struct("_at", *rest), F.struct("_at", *tie_break)).alias("_first"),
-            F.max("_at").alias("_last"),
-        )
+        return alerts.withColumn("suppressed_by", F.lit(None).cast("string"))
+    subject = list(subject)
+    second = F.unix_seconds(F.col("created_at").cast("timestamp"))
+    timed = alerts.withColumn("_second", second)
+    firsts = timed.groupBy(*subject, "_second").agg(
+        F.min(F.struct("created_at", *tie_break)).alias("_first")
     )
-    previous = F.lag("_last").over(Window.partitionBy(*subject).orderBy("_slot"))
-    return (
-        slots.withColumn("_gap", F.col("_first._at") - previous)
-        .where(F.col("_gap").isNull() | (F.col("_gap") >= width))
-        .select(
-            *[F.col(c) if c in subject else F.col(f"_first.{c}").alias(c) for c in alerts.columns]
-        )
+    schema = ", ".join(f"`{c}` {alerts.schema[c].dataType.simpleString()}" for c in subject)
+    sent = (
+        firsts.select(*subject, "_second")
+        .repartition(*subject)
+        .sortWithinPartitions(*subject, "_second")
+        .mapInArrow(_greedy(minutes * 60, len(subject)), f"{schema}, _second bigint")
+    )
+    keyed = firsts.join(sent, [*subject, "_second"], "left_semi")
+    keyed = keyed.select(*(F.col(c).alias(f"_{c}") for c in subject), F.col("_second").alias("_at"), "_first")
+    same = [timed[c].eqNullSafe(keyed[f"_{c}"]) for c in subject]
+    same += [timed["_second"] == keyed["_at"]]
+    first = F.struct("created_at", *tie_break).eqNullSafe(F.col("_first"))
+    marked = timed.join(keyed, same, "left").withColumn("_passes", F.coalesce(first, F.lit(False)))
+    return marked.select(
+        *alerts.columns, F.when(~F.col("_passes"), F.lit("cooldown")).alias("suppressed_by")
     )
 
 
@@ -61,16 +103,24 @@ def first_per_period(
     tie_break: Sequence[str] = (),
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """The earliest ``most`` alerts of each clock ``unit`` (hour, day).
+    """Mark all but the earliest ``most`` unsuppressed alerts of each clock ``unit`` (hour, day).
 
-    Ranks below Spark's group-limit threshold are cut before the shuffle too.
+    A period is ranked in buckets first; only the first ``most`` of each are ranked together.
     """
-    order = Window.partitionBy(*scope, F.date_trunc(unit, "created_at")).orderBy(
-        "created_at", *ALERT_SUBJECT, *tie_break
+    open_ = alerts.where("suppressed_by is null")
+    order = ["created_at", *ALERT_SUBJECT, *tie_break]
+    period = [*scope, F.date_trunc(unit, "created_at")]
+    bucket = F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS))
+    ranked = open_.withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(*period, bucket).orderBy(*order))
+    )
+    late = ranked.where(F.col("_nth") > most).withColumn("suppressed_by", F.lit(unit))
+    near = ranked.where(F.col("_nth") <= most).withColumn(
+        "_nth", F.row_number().over(Window.partitionBy(*period).orderBy(*order))
     )
-    return alerts.withColumn("_nth", F.row_number().over(order)).where(
-        F.col("_nth") <= most
-    ).drop("_nth")
+    near = near.withColumn("suppressed_by", F.when(F.col("_nth") > most, F.lit(unit)))
+    rest = alerts.where("suppressed_by is not null")
+    return near.unionByName(late).drop("_nth").unionByName(rest)
 
 
 def rate_limited(
@@ -81,12 +131,12 @@ def rate_limited(
     tie_break: Sequence[str] = (),
     scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Quiet period per subject, then hourly and daily caps on what is left.
+    """All candidates, with the limit that keeps each from being sent in ``suppressed_by``.
 
-    ``candidates`` need the subject columns and ``created_at``; limit failed runs
-    before job names are joined on, so that the join sees only what is sent. The caps
+    Quiet period per subject (``cooldown``), then hourly and daily caps (``hour``, ``day``) on
+    what is left. ``candidates`` need the subject columns and ``created_at``. The caps
     count all alerts together; ``scope`` counts them per those columns. ``tie_break``
-    orders candidates of one subject and instant.
+    orders candidates of one subject and instant and has to tell them apart.
     """
     quiet = after_quiet_period(candidates, cooldown_minutes, tie_break)
     hourly = first_per_period(quiet, "hour", max_per_hour, tie_break, scope)

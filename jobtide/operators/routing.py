@@ -29,11 +29,14 @@ def route_alerts(
     configured: Sequence[str],
     rules: Mapping[str, AlertRule] = RULES,
 ) -> DataFrame:
-    """One row per alert and channel; ``deliverable`` if the channel is configured."""
+    """One row per alert and channel; ``deliverable`` if the channel is configured.
+
+    An alert of a kind without a rule, or of a rule without channels, has one row without channel.
+    """
     channels = _channels_of(F.col("alert_type"), rules, configured)
     ready = F.array(*[F.lit(c) for c in configured]).cast("array<string>")
-    return alerts.withColumn("channel", F.explode(channels)).withColumn(
-        "deliverable", F.array_contains(ready, F.col("channel"))
+    return alerts.withColumn("channel", F.explode_outer(channels)).withColumn(
+        "deliverable", F.coalesce(F.array_contains(ready, F.col("channel")), F.lit(False))
     )
 
 
@@ -63,10 +66,14 @@ def alert_history(
     configured: Sequence[str],
     rules: Mapping[str, AlertRule] = RULES,
 ) -> DataFrame:
-    """Alerts with the list of channels that can take them, for an append-only table."""
+    """Alerts with the list of channels that can take them, for an append-only table.
+
+    Where limits have marked alerts, the mark stays with them.
+    """
     ready = F.array(*[F.lit(c) for c in configured]).cast("array<string>")
     wanted = _channels_of(F.col("alert_type"), rules, configured)
     return alerts.select(
         *ALERT_COLUMNS,
+        *(c for c in ("suppressed_by",) if c in alerts.columns),
         F.array_sort(F.array_intersect(wanted, ready)).alias("channels_sent"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ from jobtide.schemas import SOURCES
 SLICE_COLUMNS = tuple(SOURCES["run_slices"].names)
 
 
-def project_runs(slices: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Run columns, ``duration_ms`` and the load stamp; works on streams too."""
+def project_runs(slices: DataFrame, as_of: AsOf = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Run columns, ``extra`` ones, ``duration_ms`` and the load stamp; works on streams too."""
     return slices.select(
         *SLICE_COLUMNS,
+        *extra,
         elapsed_ms("period_start_time", "period_end_time").alias("duration_ms"),
         moment(as_of).alias("collected_at"),
     )

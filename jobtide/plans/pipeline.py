@@ -6,10 +6,13 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobtide.functions.clock import within_calendar_days
+from jobtide.functions.clock import days_before, moment, within_calendar_days, within_days
 from jobtide.functions.scores import HEALTH_WEIGHTS
 from jobtide.operators.alerts import (
     RULES,
@@ -25,13 +28,20 @@ from jobtide.operators.anomalies import RECENT_DAYS, Z_LIMIT, job_anomalies
 from jobtide.operators.baselines import job_baselines
 from jobtide.operators.costs import cost_spikes, daily_costs
 from jobtide.operators.health import job_health
-from jobtide.operators.jobs import latest_jobs
-from jobtide.operators.metrics import daily_metrics
+from jobtide.operators.jobs import latest_jobs, latest_per_key
+from jobtide.operators.limits import (
+    COOLDOWN_MINUTES,
+    MAX_PER_DAY,
+    MAX_PER_HOUR,
+    rate_limited,
+)
+from jobtide.operators.metrics import daily_metrics, window_metrics
 from jobtide.operators.routing import alert_history
 from jobtide.operators.runs import job_runs, project_runs
+from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.runlog import append_run_log, run_record
 from jobtide.sinks.store import Store
-from jobtide.sinks.upsert import high_water_mark, newer_slices, stored_runs, upsert_runs
+from jobtide.sinks.upsert import VERSION, high_water_mark, newer_slices, stored_runs, upsert_runs
 from jobtide.sources.probe import require_sources
 
 
@@ -46,7 +56,6 @@ class Settings:
     exclude_recent_days: int = 0
     grain: str = "slice"
     min_runs: int = 5
-    bounded_groups: bool = False
     threshold: float = Z_LIMIT
     weights: Mapping[str, float] = field(default_factory=lambda: dict(HEALTH_WEIGHTS))
     rules: Mapping[str, AlertRule] = field(default_factory=lambda: dict(RULES))
@@ -59,6 +68,19 @@ class Settings:
     environment: str = "development"
     incremental_runs: bool = False
     overlap_days: int = 1
+    changed_column: str | None = None
+    metrics_width: str | None = None
+    rate_limits: bool = False
+    cooldown_minutes: int = COOLDOWN_MINUTES
+    max_per_hour: int = MAX_PER_HOUR
+    max_per_day: int = MAX_PER_DAY
+
+
+def require_utc(spark: SparkSession) -> None:
+    """All moments are naive UTC; a session in another zone would shift every window."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}, not UTC")
 
 
 def fixed_as_of(as_of=None) -> str:
@@ -75,16 +97,16 @@ def collect_tables(
     Six of them, and ``job_costs`` where the settings ask for costs.
 
     Every stage reads its inputs back from the tables just written, so nothing is
-    computed twice and a lost executor costs one stage. Run slices are a plain scan
-    and are not persisted; the other outputs hold one row per job or cluster day.
+    computed twice and a lost executor costs one stage. A stage without rows leaves an
+    empty table: what a former collection found does not stand on.
     With ``incremental_runs`` the run table is kept by date and only brought up to
     date, and later stages read the window's partitions of it.
     """
     done: dict[str, tuple[int, DataFrame]] = {}
 
-    def stage(table: str, df: DataFrame, persist: bool = True) -> DataFrame:
-        rows = store.write_if_any(df, table, persist=persist)
-        kept = store.read(table) if rows else df
+    def stage(table: str, df: DataFrame) -> DataFrame:
+        rows = store.write(df, table)
+        kept = store.read(table)
         done[table] = (rows, kept)
         return kept
 
@@ -92,13 +114,19 @@ def collect_tables(
     slices = sources["run_slices"]
     jobs = stage("jobs_metadata", latest_jobs(sources["job_changes"], as_of, s.tie_break))
     if s.incremental_runs:
-        rows = collect_incremental(store, slices, as_of, s.collection_window_days, s.overlap_days)
+        rows = collect_incremental(
+            store, slices, as_of, s.collection_window_days, s.overlap_days, s.changed_column
+        )
         runs = stored_runs(store, as_of, s.collection_window_days)
         done["job_runs"] = (rows, runs)
     else:
         window = job_runs(slices, as_of, s.collection_window_days)
-        runs = stage("job_runs", window, persist=False)
+        runs = stage("job_runs", window)
     stage("job_metrics", daily_metrics(sources["node_samples"], as_of, s.metrics_days))
+    if s.metrics_width:
+        samples = sources["node_samples"]
+        recent = samples.where(within_calendar_days(samples, "start_time", as_of, s.metrics_days))
+        stage("job_window_metrics", window_metrics(recent, s.metrics_width))
     covered = s.baseline_days <= s.collection_window_days
     baselines = stage(
         "job_baselines",
@@ -108,7 +136,6 @@ def collect_tables(
             s.baseline_days,
             s.min_runs,
             exclude_recent_days=s.exclude_recent_days,
-            bounded_groups=s.bounded_groups,
         ),
     )
     stage("job_health", job_health(jobs, runs, baselines, as_of, s.weights))
@@ -124,7 +151,10 @@ def collect_tables(
 def collect_alerts(
     tables: Mapping[str, DataFrame], as_of: str, settings: Settings
 ) -> DataFrame:
-    """Alerts of one collection, from its result tables."""
+    """All alerts of one collection, from its result tables.
+
+    With rate limits ``suppressed_by`` names the limit that keeps an alert from being sent; it stays a row.
+    """
     rules = settings.rules
     jobs = tables["jobs_metadata"]
     kinds = [
@@ -140,7 +170,12 @@ def collect_alerts(
         rule = rules["cost_spike"]
         spikes = cost_spikes(costs.where(recent), rule.threshold)
         kinds.append(cost_alerts(spikes, jobs, as_of, rule))
-    return combine_alerts(kinds, settings.alerting_enabled)
+    alerts = combine_alerts(kinds, settings.alerting_enabled)
+    if not settings.rate_limits:
+        return alerts.withColumn("suppressed_by", F.lit(None).cast("string"))
+    return rate_limited(
+        alerts, settings.cooldown_minutes, settings.max_per_hour, settings.max_per_day, ["id"]
+    )
 
 
 def run_collection(
@@ -161,16 +196,20 @@ def run_collection(
         "collection_window_days": settings.collection_window_days,
     }
     try:
+        require_utc(store.spark)
         require_sources(store.spark, loaders)
         now = fixed_as_of(as_of)
         done = collect_tables(store, {n: load() for n, load in loaders.items()}, now, settings)
         alerts = collect_alerts({t: df for t, (_, df) in done.items()}, now, settings).persist()
-        sent = {kind: 0 for kind in settings.rules}
-        sent.update({r["alert_type"]: r["alert_count"] for r in alert_counts(alerts).collect()})
-        if sum(sent.values()):
-            history = alert_history(alerts, settings.channels, settings.rules)
-            store.write(history, "job_alerts", mode="append")
-        alerts.unpersist()
+        try:
+            sent = {kind: 0 for kind in settings.rules}
+            passed = alert_counts(alerts.where("suppressed_by is null"))
+            sent.update({r["alert_type"]: r["alert_count"] for r in passed.collect()})
+            if not alerts.isEmpty():
+                history = alert_history(alerts, settings.channels, settings.rules)
+                store.write(history, "job_alerts", mode="append")
+        finally:
+            alerts.unpersist()
     except Exception as error:
         failed = run_record(
             **facts, status="failed", end_time=datetime.now(UTC), errors=[str(error)]
@@ -198,17 +237,41 @@ def collect_incremental(
     as_of=None,
     first_days: int = 30,
     overlap_days: int = 1,
+    changed: str | None = None,
     table: str = "job_runs",
 ) -> int:
     """Bring the date-partitioned run table up to date; rows in the rewritten dates.
 
-    The first call loads ``first_days``; later ones read from the stored high-water
-    mark less ``overlap_days`` and upsert by slice key, touching only those dates.
+    The first call loads ``first_days``. Later ones read from the stored high-water mark and upsert
+    the latest version of each slice. With ``changed``, a column of the source that says when
+    a row came or changed, the mark is of that column, which is stored along, and no late change is missed.
+    Without it the mark is the latest start and reaches back ``overlap_days``; changes later than
+    that have to wait for ``late_slices`` to show them.
     """
     now = fixed_as_of(as_of)
+    kept = [changed] if changed else []
+    column = changed or "period_start_time"
     if store.exists(table):
-        mark = high_water_mark(store.read(table), partition="run_date")
-        fresh = project_runs(newer_slices(slices, mark, overlap_days), now)
+        mark = high_water_mark(
+            store.read(table), column, None if changed else "run_date", as_of=now
+        )
+        new = newer_slices(slices, mark, 0 if changed else overlap_days, column)
+        new = new.where(F.col("period_start_time") <= moment(now, new.schema["period_start_time"].dataType.simpleString()))
     else:
-        fresh = job_runs(slices, now, first_days)
-    return upsert_runs(store, fresh, table)
+        new = slices.where(within_days(slices, "period_start_time", now, first_days))
+    fresh = project_runs(new, now, kept)
+    return upsert_runs(store, latest_per_key(fresh, SLICE_KEYS, [*kept, *VERSION]), table)
+
+
+def late_slices(
+    store: Store, slices: DataFrame, as_of=None, overlap_days: int = 1, table: str = "job_runs"
+) -> int:
+    """Source slices older than the overlap that the stored table lacks."""
+    mark = high_water_mark(store.read(table), partition="run_date", as_of=fixed_as_of(as_of))
+    older = slices.where(F.col("period_start_time") < days_before(slices, "period_start_time", mark, overlap_days))
+    stored = store.read(table)
+    first = stored.agg(F.min("period_start_time")).first()[0]
+    older = older.where(F.col("period_start_time") >= F.lit(first)).select(*SLICE_KEYS)
+    known = stored.select(*(F.col(k).alias(f"_{k}") for k in SLICE_KEYS))
+    same = reduce(and_, (older[k].eqNullSafe(known[f"_{k}"]) for k in SLICE_KEYS))
+    return older.join(known, same, "left_anti").count()

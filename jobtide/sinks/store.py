@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
@@ -17,12 +16,24 @@ from jobtide.schemas import TABLES, conform
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared ``spark.checkpoint.dir``.
+    """The name of a new folder that driver and executors see alike.
 
-    Only where that is unset, as in local tests, a temporary folder is used.
+    It lies below ``spark.checkpoint.dir``, or, where that is unset, below the warehouse, which tables share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='jobtide-')}/jobtide-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/jobtide-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Error classes of a table or folder that is not there, or holds nothing.
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 @contextmanager
@@ -64,8 +75,10 @@ class Store:
     def exists(self, table: str) -> bool:
         try:
             self.read(table)
-        except AnalysisException:
-            return False
+        except AnalysisException as error:
+            if error.getCondition() in ABSENT:
+                return False
+            raise
         return True
 
     def write(

@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from jobtide.functions.clock import AsOf, moment, within_days
+from jobtide.functions.clock import AsOf, days_before, moment, within_days
+from jobtide.operators.jobs import latest_per_key
 from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.store import Store
 
 
+#: What tells versions of one slice apart, the later one last.
+VERSION = ("period_end_time", "collected_at")
+
+
 def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` with the rows of ``new`` added or put in place of equal keys.
 
-    ``new`` must hold one row per key. Columns only one side has become null.
+    ``new`` must hold one row per key. Null keys equal each other. Columns only one
+    side has become null.
     """
-    keys = list(keys)
-    untouched = existing.join(new.select(*keys), keys, "left_anti")
+    marks = new.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+    same = reduce(and_, (existing[k].eqNullSafe(marks[f"_new_{k}"]) for k in keys))
+    untouched = existing.join(marks, same, "left_anti")
     return untouched.unionByName(new, allowMissingColumns=True)
 
 
@@ -33,40 +43,78 @@ def upsert_copy(
 
 
 def upsert_partitions(
-    store: Store, table: str, new: DataFrame, keys: Sequence[str], partition: str
+    store: Store,
+    table: str,
+    new: DataFrame,
+    keys: Sequence[str],
+    partition: str,
+    version: Sequence[str] = (),
 ) -> int:
     """Upsert ``new`` into a stored, date-partitioned table, rewriting touched dates only.
 
     ``partition`` must follow from ``keys``, so that both versions of a row share a
-    partition. The dates in ``new`` prune the scan of the old rows: the filter is a
-    list of at most one literal per date, computed by a distinct on the new rows.
+    partition. ``new`` is computed once, into the workspace's memory and disk. Its first and
+    last date prune the scan of the old rows; of those between, dates without new rows are
+    left out by a semi join. With ``version`` columns the later of both versions of a row
+    stays, by these columns in order, nulls first; of equal ones the new row.
     """
-    dates = [r[0] for r in new.select(partition).distinct().collect()]
-    if not dates:
-        return 0
-    old = store.read(table).where(F.col(partition).isin(dates))
-    merged = upserted(old, new, keys)
-    return store.replace_partitions(merged, table, [partition])
+    kept = new.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first, last, missing = kept.agg(
+            F.min(partition), F.max(partition), F.count_if(F.col(partition).isNull())
+        ).first()
+        if first is None and not missing:
+            return 0
+        between = F.col(partition).between(F.lit(first), F.lit(last))
+        old = store.read(table).where(F.coalesce(between, F.col(partition).isNull()))
+        dates = kept.select(F.col(partition).alias("_date")).distinct()
+        old = old.join(dates, old[partition].eqNullSafe(dates["_date"]), "left_semi")
+        if not version:
+            return store.replace_partitions(upserted(old, kept, keys), table, [partition])
+        both = old.withColumn("_new", F.lit(0)).unionByName(
+            kept.withColumn("_new", F.lit(1)), allowMissingColumns=True
+        )
+        merged = latest_per_key(both, keys, [*version, "_new"]).drop("_new")
+        return store.replace_partitions(merged, table, [partition])
+    finally:
+        kept.unpersist()
 
 
 def high_water_mark(
-    stored: DataFrame, column: str = "period_start_time", partition: str | None = None
+    stored: DataFrame,
+    column: str = "period_start_time",
+    partition: str | None = None,
+    as_of: AsOf = None,
 ) -> str | None:
-    """Largest stored ``column`` value as text in session time, None for an empty table.
+    """Largest stored ``column`` value up to ``as_of``, as text in session time; None without one.
 
-    Where ``partition`` is the date of ``column``, only the newest partition is read.
+    A value ahead of ``as_of`` is no mark: it would keep all later rows out. Where ``partition`` is
+    the date of ``column``, only the newest partition up to then is read.
     """
+    if as_of is not None:
+        stored = stored.where(F.col(column) <= moment(as_of, stored.schema[column].dataType.simpleString()))
     if partition:
+        if as_of is not None:
+            stored = stored.where(F.col(partition) <= moment(as_of).cast("date"))
         newest = stored.agg(F.max(partition)).first()[0]
         stored = stored.where(F.col(partition) == F.lit(newest))
     return stored.agg(F.max(column).cast("string")).first()[0]
 
 
-def newer_slices(slices: DataFrame, mark: str | None, overlap_days: int = 0) -> DataFrame:
-    """Slices after the mark, reaching back ``overlap_days`` for late changes."""
+def newer_slices(
+    slices: DataFrame,
+    mark: str | None,
+    overlap_days: int = 0,
+    column: str = "period_start_time",
+) -> DataFrame:
+    """Slices from the mark on, reaching back ``overlap_days`` for late changes.
+
+    ``column`` is what the mark was taken of: the time of the last change if the source has
+    one, which leaves no change out, or the start time.
+    """
     if mark is None:
         return slices
-    return slices.where(within_days(slices, "period_start_time", mark, overlap_days))
+    return slices.where(F.col(column) >= days_before(slices, column, mark, overlap_days))
 
 
 def dated(runs: DataFrame) -> DataFrame:
@@ -74,14 +122,16 @@ def dated(runs: DataFrame) -> DataFrame:
     return runs.withColumn("run_date", F.to_date("period_start_time"))
 
 
-def upsert_runs(store: Store, runs: DataFrame, table: str = "job_runs") -> int:
+def upsert_runs(
+    store: Store, runs: DataFrame, table: str = "job_runs", version: Sequence[str] = ()
+) -> int:
     """Upsert run slices by slice key into a run table partitioned by ``run_date``.
 
     The first call creates the table. Returns the rows of the rewritten dates.
     """
     if not store.exists(table):
         return store.write(dated(runs), table, partition_by=["run_date"])
-    return upsert_partitions(store, table, dated(runs), SLICE_KEYS, "run_date")
+    return upsert_partitions(store, table, dated(runs), SLICE_KEYS, "run_date", version)
 
 
 def stored_runs(store: Store, as_of: AsOf, days: int, table: str = "job_runs") -> DataFrame:

@@ -7,7 +7,6 @@ fixed rule; there are no row filters, so work grows with the tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-02 00:00:00"
@@ -53,15 +52,9 @@ SAMPLE_COLUMNS = (
 )
 
 
-_known_schemas: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; its schema is inferred once per path, which costs a small job."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _known_schemas:
-        _known_schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_known_schemas[path]).parquet(path)
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

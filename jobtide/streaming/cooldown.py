@@ -27,9 +27,8 @@ def _cooldown(minutes: int):
             state.remove()
             return
         # Candidates arrive in any order; distinct seconds bound what is kept here.
-        seconds = np.array([], dtype="int64")
-        for chunk in chunks:
-            seconds = np.union1d(seconds, chunk["second"].to_numpy())
+        parts = [np.array([], dtype="int64"), *(c["second"].to_numpy() for c in chunks)]
+        seconds = np.unique(np.concatenate(parts))
         last_sent = state.get[0] if state.exists else None
         sent = []
         # The next alert is the first candidate once the last one's silence is over.

@@ -1,33 +1,15 @@
-"""Run feed: a stream of slices, deduplicated, projected and upserted."""
+"""Run feed: a stream of slices, projected and upserted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from jobtide.functions.clock import AsOf
 from jobtide.operators.jobs import latest_per_key
 from jobtide.operators.runs import project_runs
 from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.store import Store
-from jobtide.sinks.upsert import upsert_runs
-
-# What may change while a slice is reported more than once.
-CHANGING = ("period_end_time", "result_state", "lifecycle_state", "termination_code")
-
-
-def stream_runs(slices: DataFrame, lateness: str = "1 hour", as_of: AsOf = None) -> DataFrame:
-    """Each state of a slice once, with its duration.
-
-    Repeats within ``lateness`` are dropped; a slice whose end or state has changed
-    passes again and replaces its former row in the upsert.
-    """
-    once = (
-        slices.withColumn("period_start_time", F.col("period_start_time").cast("timestamp"))
-        .withWatermark("period_start_time", lateness)
-        .dropDuplicatesWithinWatermark([*SLICE_KEYS, *CHANGING])
-    )
-    return project_runs(once, as_of)
+from jobtide.sinks.upsert import VERSION, upsert_runs
 
 
 def start_runs(
@@ -35,26 +17,26 @@ def start_runs(
     store: Store,
     checkpoint: str,
     table: str = "job_runs",
-    lateness: str = "1 hour",
     as_of: AsOf = None,
     trigger: dict | None = None,
 ):
     """Upsert the feed into the date-partitioned run table; the running query.
 
-    An upsert by key gives the same table when a micro-batch is replayed after a
-    failure, and it also absorbs repeats older than the watermark.
+    No event-time deduplication comes before the upsert: it would drop the final state of every slice
+    longer than its watermark. Each micro-batch is reduced to one row per slice; the stored row stays
+    if its version is later, so repeats, replays and old states that come late change nothing.
     """
 
     def absorb(batch: DataFrame, _batch_id: int) -> None:
-        fresh = latest_per_key(batch, SLICE_KEYS, ["period_end_time", "collected_at"]).persist()
+        fresh = latest_per_key(batch, SLICE_KEYS, VERSION).persist()
         try:
             if not fresh.isEmpty():
-                upsert_runs(store, fresh, table)
+                upsert_runs(store, fresh, table, VERSION)
         finally:
             fresh.unpersist()
 
     return (
-        stream_runs(slices, lateness, as_of)
+        project_runs(slices, as_of)
         .writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

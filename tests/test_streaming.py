@@ -33,19 +33,31 @@ def feed(spark, frames, tmp_path):
     )
 
 
-def test_metrics_stream_equals_batch_for_closed_windows(spark, tmp_path):
+def test_metrics_stream_equals_batch(spark, tmp_path):
     events = td.table(spark, SF, "events")
-    parts = [events.where(f"ts >= '2024-01-{a:02d}' AND ts < '2024-01-{b:02d}'")
-             for a, b in ((1, 10), (10, 20), (20, 31))]
+    parts = [events.where(f"ts >= '2024-01-{a:02d}' AND ts < '2024-02-{b:02d}' AND ts < '2024-01-{c:02d}'")
+             for a, b, c in ((1, 1, 10), (10, 1, 20))] + [events.where("ts >= '2024-01-20'")]
     stream = td.event_samples(feed(spark, parts, tmp_path))
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    start_metrics(stream, out, checkpoint).awaitTermination()
-    got = spark.read.parquet(out)
-    end = events.agg(F.max("ts") - F.expr("INTERVAL 10 MINUTES")).first()[0]
-    want = window_metrics(td.node_samples(spark, SF)).where(F.col("window_end") <= F.lit(str(end)).cast("timestamp_ntz"))
+    store = Store(spark, folder=str(tmp_path / "store"))
+    start_metrics(stream, store, str(tmp_path / "cp"), lateness="1 day").awaitTermination()
     cols = ["cluster_id", "window_start", "metric_points"]
-    naive = got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    assert sorted(naive.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    got = store.read("job_window_metrics").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    want = window_metrics(td.node_samples(spark, SF))
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_run_feed_keeps_late_final_states(spark, slices, tmp_path):
+    """A slice of 400 minutes, one first seen late, and an old state that comes again."""
+    frames = [
+        slices(("j1", "long", 2, 1, None)),
+        slices(("j1", "other", 1, 1, "SUCCESS")),
+        slices(("j1", "long", 2, 400, "FAILED")),
+        slices(("j1", "unseen", 20, 3, "SUCCESS"), ("j1", "long", 2, 1, None)),
+    ]
+    store = Store(spark, folder=shared_folder(spark))
+    start_runs(feed(spark, frames, tmp_path), store, str(tmp_path / "cp")).awaitTermination()
+    got = sorted((r.run_id, r.result_state) for r in store.read("job_runs").collect())
+    assert got == [("long", "FAILED"), ("other", "SUCCESS"), ("unseen", "SUCCESS")]
 
 
 def test_run_feed_drops_repeats_and_takes_changes(spark, slices, tmp_path):
