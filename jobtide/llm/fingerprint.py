@@ -151,7 +151,8 @@ def edited_neighbours(
         every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return firsts.select("s", F.coalesce(F.lead(name).over(along), F.first(name).over(every)).alias("ahead"))
 
-    heads = keyed.groupBy("s").agg(F.max("id").alias("head"))
+    # A stored table of one row for each stretch: Spark knows its size and need not shuffle the texts.
+    heads = space.save(keyed.groupBy("s").agg(F.max("id").alias("head")), "heads")
     border = (
         keyed.join(heads.withColumnRenamed("s", "hs"), (F.col("s") == F.col("hs")) & F.col("id").eqNullSafe(F.col("head")))
         .withColumn("k", F.row_number().over(inside))
