@@ -10,7 +10,7 @@ if importlib.util.find_spec("corpus_pipeline") is None:
 
 import corpus_pipeline  # noqa: E402
 import sentencepiece  # noqa: E402
-from test_dedup import components, plain_lines, simhash  # noqa: E402
+from llm.test_dedup import components, plain_lines, simhash  # noqa: E402
 
 from jobtide.llm.queries import piece_model  # noqa: E402
 
