@@ -29,7 +29,7 @@ class LineRuns:
     """Runs ``h1, h2, n_docs, last_id, fresh`` by level, as bucketed tables in a workspace.
 
     ``fresh`` marks a key that no earlier run held. Tables share one number of buckets, so joins
-    with a run and compactions move no row of it. ``close`` drops them all.
+    with a run move no row of it; a compaction moves the rows of the runs that it merges. ``close`` drops them all.
     """
 
     def __init__(self, space: Workspace, fan_out: int = FAN_OUT, buckets: int | None = None):
@@ -85,24 +85,30 @@ class LineRuns:
         while level < len(self.levels):
             full = self.levels[level]
             if len(full) >= self.fan_out:
-                self._store(self._merged([self.spark.table(t) for t in full]), level + 1)
+                self._store(self._merged(full), level + 1)
                 self.levels[level] = []
                 for table in full:
                     self._drop(table)
             level += 1
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.union(run)
+    def _merged(self, tables: list[str]) -> DataFrame:
+        """One row for each key of several runs.
+
+        A union is made of the files, not of the tables: Spark takes a union of bucketed scans for
+        bucketed but lines their partitions up one after another, so equal keys would stay apart.
+        """
+        if len(tables) == 1:
+            merged = self.spark.table(tables[0])
+        else:
+            schema = self.spark.table(tables[0]).schema
+            merged = self.spark.read.schema(schema).parquet(*map(self.space.path, tables))
         return merged.groupBy(*KEY).agg(
             F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.max("fresh").alias("fresh")
         )
 
     def shared(self, min_docs: int) -> DataFrame:
         """``h1, h2, last_id`` of the keys that at least ``min_docs`` documents hold."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
+        return self._merged([t for level in self.levels for t in level]).where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
 
     def close(self) -> None:
         for level in self.levels:

@@ -28,10 +28,8 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
-        return self.read(name)
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        # An empty partitioned table has no file to take a schema from.
+        return self.spark.read.schema(frame.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
