@@ -5,7 +5,7 @@ both share one hierarchy of continuation counts, so an expression that is rare i
 class falls back to what all labelled text says, and where neither class
 knows a 5-gram only their back-off masses differ. A word's evidence is the difference of its
 two log-likelihoods. A document has the mean over its words (the length-normalised difference) and
-its strongest words; a logistic function of these, fitted across two halves, is the score.
+its strongest words; a logistic function of these, fitted on texts that its models have not seen, is the score.
 """
 
 from __future__ import annotations
@@ -30,7 +30,11 @@ SYMBOL_BITS = 6
 LETTERS, OTHER_LETTER, NO_LETTER, END = 60, 61, 62, 63
 WORD_LIMIT = 8.0
 STRONGEST = 3
+#: Parts of the sample; each is weighed by models of the others when the score is calibrated.
+FOLDS = 5
 THRESHOLD = 0.3
+#: Texts that the driver takes up at once while it fits.
+FIT_ROWS, FIT_CHARS = 512, 1 << 19
 BATCH_ROWS = 2048
 BATCH_CHARS = 2 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -152,15 +156,20 @@ def _language_models(texts: list[str], labels: np.ndarray, symbols: np.ndarray):
     """Sorted 5-grams and contexts, with the toxic less the ordinary log-probability."""
     counted = []
     for label in (0, 1):
-        points, offsets = code_points(pa.array([t for t, y in zip(texts, labels, strict=True) if y == label], pa.string()))
-        if not len(points):
-            counted.append((np.empty(0, np.int64), np.empty(0)))
-            continue
-        start, length, _ = _words(points, offsets)
-        first, which = _distinct(points, start, length)
-        code, begin = _grams(points, start[first], length[first], symbols)
-        number = np.repeat(np.bincount(which, minlength=len(first)), np.diff(np.r_[begin, len(code)]))
-        counted.append(_totals(code, number.astype(float)))
+        own = pa.array([t for t, y in zip(texts, labels, strict=True) if y == label], pa.string())
+        keys, counts = np.empty(0, np.int64), np.empty(0)
+        for a, b in pieces(own, FIT_ROWS, FIT_CHARS):
+            points, offsets = code_points(own[a:b])
+            if not len(points):
+                continue
+            start, length, _ = _words(points, offsets)
+            first, which = _distinct(points, start, length)
+            if not len(first):
+                continue
+            code, begin = _grams(points, start[first], length[first], symbols)
+            number = np.repeat(np.bincount(which, minlength=len(first)), np.diff(np.r_[begin, len(code)]))
+            keys, counts = _totals(np.r_[keys, code], np.r_[counts, number])
+        counted.append((keys, counts))
     grams = np.union1d(counted[0][0], counted[1][0])
     contexts = np.unique(grams >> SYMBOL_BITS)
     below = _shared(grams, grams & ((1 << SYMBOL_BITS * (ORDER - 1)) - 1), ORDER - 1)
@@ -270,17 +279,19 @@ def fit(
         return None
     texts = [r.t for r in rows]
     symbols = _letters(texts)
-    half = np.array([(r.h >> 5) & 1 for r in rows])
+    fold = np.array([(r.h >> 5) % FOLDS for r in rows])
     empty = np.empty(0)
     x = np.zeros((len(rows), STRONGEST + 2))
-    for side in (0, 1):
-        train, test = np.flatnonzero(half != side), np.flatnonzero(half == side)
+    for side in range(FOLDS):
+        train, test = np.flatnonzero(fold != side), np.flatnonzero(fold == side)
         if len(set(labels[train])) < 2:
             train = np.arange(len(rows))
         tables = _language_models([texts[i] for i in train], labels[train], symbols)
         part = ToxicityModel(symbols, *tables, empty, empty, empty, 0.0)
         if len(test):
-            x[test] = features(pa.array([texts[i] for i in test], pa.string()), part)
+            own = pa.array([texts[i] for i in test], pa.string())
+            found = [features(own[a:b], part) for a, b in pieces(own, FIT_ROWS, FIT_CHARS)]
+            x[test] = np.concatenate(found)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     share = np.array([sizes[y][0] / (labels == y).sum() for y in (0, 1)])
     weight = share[labels] * len(rows) / share[labels].sum()
