@@ -26,6 +26,7 @@ NO_ID = 1 << 14
 BLOCK_TOKENS = 1 << 18
 #: A file is read as a whole before it is cut; larger ones are refused, not cut short.
 MAX_FILE_BYTES = 512 << 20
+FILE_DOCS = 5000
 BATCH_ROWS = 1024
 BATCH_CHARS = 1 << 20
 
@@ -87,6 +88,7 @@ def write_token_files(docs: DataFrame, folder: str, model_path: str, id_col: str
         docs.select(tokens(F.col(id_col).cast("long"), F.col(text_col), model).cast("string").alias("value"))
         .write.option("lineSep", np.array([end], DTYPE).tobytes().decode())
         .option("compression", "gzip")
+        .option("maxRecordsPerFile", FILE_DOCS)
         .text(folder)
     )
     return end
