@@ -237,16 +237,15 @@ def mix(
         F.max(F.when(F.col("used") < F.col("length"), F.col("used")).otherwise(F.lit(0))).alias("part"),
     )
     bits = max(0, (n_docs // SCAN_ROWS).bit_length())
-    placed = sized.join(
+    known = sized.join(
         quotas.select("sid", F.col("source").alias("_source"), "source_size", "target"),
         F.col("source").eqNullSafe(F.col("_source")),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "id", "text_id"))
+    )
+    placed = known.where("size > 0").withColumn("h", F.xxhash64(F.lit(seed), "id", "text_id"))
     stretch = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
     placed = before(placed, ["sid"], stretch, ["h", "id", "text_id"], "size", "start")
     first, last = f"start div {block_words}", f"(start + size - 1) div {block_words}"
-    pieces = placed.withColumn(
-        "block", F.explode(F.when(F.col("size") > 0, F.sequence(F.expr(first), F.expr(last))).otherwise(F.array(F.lit(-1).cast("long"))))
-    ).withColumns(
+    pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(first), F.expr(last)))).withColumns(
         {
             "lo": F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0)),
             "hi": F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)),
@@ -255,12 +254,14 @@ def mix(
     part = F.greatest(F.least("hi", "part") - F.col("lo"), F.lit(0))
     taken = F.coalesce(F.col("whole") * (F.col("hi") - F.col("lo")) + part, F.lit(0))
     names = ["id", "text_id", "source", "size", "source_size", "target"]
-    mixed = (
+    worded = (
         pieces.join(by_block, ["sid", "block"], "left")
         .groupBy(*names, "sid", "start")
         .agg(F.sum(taken).alias("taken"))
         .select(*names, "taken")
     )
+    # Rows without words have no place of their own in the running sum, so equal ones must not be grouped.
+    mixed = worded.union(known.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
     named = uses.join(quotas.select("sid", "source"), "sid").select("slot", "shard", "source", "block", "used")
     return mixed, named
 
