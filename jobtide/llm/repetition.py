@@ -19,8 +19,8 @@ from jobtide.llm.batches import bound_batches, code_points, pieces
 from jobtide.llm.wordscan import is_space, mixed, range_hashes, spans
 
 #: Greatest share of word characters inside duplicated n-grams of each length, and inside lines that repeat an earlier one.
-MAX_COVERED = {5: 0.45, 7: 0.40, 10: 0.35}
-MAX_LINE_SHARE = 0.30
+MAX_COVERED = {5: 0.15, 7: 0.13, 10: 0.10}
+MAX_LINE_SHARE = 0.20
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
