@@ -10,6 +10,7 @@ as products of whole batches with the landmark and coefficient matrices.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from jobtide.llm.batches import bound_batches, pieces
 
 UNDETERMINED = "und"
-#: Bounds of the fit, the same at every size of the input: labelled rows, landmarks,
-#: and characters of a sampled text.
+#: Bounds of the fit, the same at every size of the input: labelled rows, shared out over the
+#: languages, the least share of a language that has so many, and landmarks.
 MAX_TRAIN = 2000
+MIN_TRAIN = 8
 LANDMARKS = 192
-SHORT_TEXT = 20_000
 RIDGE = 1e-3
 #: Letters with a symbol of their own; 0 stands for all that is no letter.
 ALPHABET = 60
@@ -97,6 +98,53 @@ def presence(texts: list[str], symbols: np.ndarray) -> np.ndarray:
     return seen
 
 
+def quotas(sizes: dict[str, int], total: int, least: int = MIN_TRAIN) -> dict[str, int]:
+    """Equal shares of ``total``; what a small language leaves goes to the larger ones."""
+    out: dict[str, int] = {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(least, (total - sum(out.values())) // (len(sizes) - k)))
+    return out
+
+
+def _letter_shares(text: Column) -> Column:
+    """``code, share`` of the letters of a text in lower case, as shares of its letters."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for text in texts:
+                points = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+                code, n = np.unique(points, return_counts=True)
+                letter = np.array([chr(c).isalpha() for c in code], bool)
+                share = n[letter] / max(1, n[letter].sum())
+                out.append([{"code": int(c), "share": float(x)} for c, x in zip(code[letter], share, strict=True)])
+            yield pa.array(out, pa.list_(pa.struct([("code", pa.int32()), ("share", pa.float64())])))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<struct<code: int, share: double>>")(text)
+
+
+def _gram_set(text: Column, symbols: np.ndarray) -> Column:
+    """The n-grams of a text as bits, compressed: bounded by the alphabet, not by the text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = []
+            for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
+                seen = presence([t or "" for t in texts[start:stop].to_pylist()], symbols)
+                out += [zlib.compress(bits.tobytes(), 1) for bits in np.packbits(seen, axis=1)]
+            yield pa.array(out, pa.binary())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(text)
+
+
+def _seen(sets: list[bytes]) -> np.ndarray:
+    """As ``presence``, from compressed sets."""
+    bits = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in sets])
+    return np.unpackbits(bits, axis=1, count=N_GRAMS)
+
+
 def fit(
     labelled: DataFrame,
     text_col: str = "text",
@@ -105,49 +153,57 @@ def fit(
     n_landmarks: int = LANDMARKS,
     ridge: float = RIDGE,
 ) -> StringKernelModel | None:
-    """Fit on at most ``max_train`` rows with text and language; None if there is none.
+    """Fit on about ``max_train`` rows with text and language; None if there is none.
 
-    The sample holds distinct texts of least hash, of at most ``SHORT_TEXT`` characters if there
-    are such, and is the same at each run. Only a share of the hash range that holds about as many texts reaches the driver,
-    reduced to one row for each text before. Landmarks are dealt to the languages in turn.
+    The sample holds distinct texts of least hash, by ``quotas`` for each language, texts of any length,
+    and is the same at each run. Only a share of a language's hash range that holds somewhat more texts than its quota
+    is read closely, and a text reaches the driver as the set of its n-grams. Landmarks are dealt to the languages in turn.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text_col).alias("h")
     )
-    short = known.where(F.char_length("t") <= SHORT_TEXT)
-    n_texts = short.agg(F.approx_count_distinct("h")).first()[0]
-    if n_texts:
-        known = short
-    else:
-        n_texts = known.agg(F.approx_count_distinct("h")).first()[0]
-    share = min(1.0, 1.5 * max_train / max(1, n_texts))
-    picked = known if share == 1.0 else known.where(F.shiftrightunsigned("h", 11) < int(share * 2**53))
-    found = picked.groupBy("h").agg(F.min(F.struct("t", "l")).alias("row")).select("h", "row.*").collect()
-    rows = sorted(found, key=lambda r: (r.h, r.t))[:max_train]
-    if not rows:
+    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
         return None
-    texts, labels = [r.t for r in rows], [r.l for r in rows]
-    languages = sorted(set(labels))
-    letters: dict[str, int] = {}
-    for text in texts:
-        for char in text.lower():
-            if char.isalpha():
-                letters[char] = letters.get(char, 0) + 1
+    spark = labelled.sparkSession
+    bound_batches(spark)
+    # The counts are approximate, so small languages are taken whole.
+    wanted = quotas({lang: 2 * n for lang, n in sizes.items()}, max_train)
+    bounds = [
+        (lang, int(min(1.0, (1.5 * wanted[lang] + 16) / max(1, n)) * 2**53)) for lang, n in sizes.items()
+    ]
+    bound = F.broadcast(spark.createDataFrame(bounds, "l string, bound long"))
+    near = known.join(bound, "l").where(F.shiftrightunsigned("h", 11) < F.col("bound"))
+    # Copies are one text before Python sees them.
+    near = near.groupBy("h").agg(F.min(F.struct("l", "t")).alias("row")).select("h", "row.*")
+    found = near.select("h", "l", _letter_shares(F.col("t")).alias("letters")).collect()
+    left, rows = dict(wanted), []
+    for r in sorted(found, key=lambda r: r.h):
+        if left[r.l] > 0:
+            left[r.l] -= 1
+            rows.append(r)
+    letters: dict[str, float] = {}
+    for r in rows:
+        for x in r.letters:
+            letters[chr(x.code)] = letters.get(chr(x.code), 0.0) + x.share
     symbols = symbol_table(sorted(letters, key=lambda c: (-letters[c], c)))
+    grams = {r.h: r.grams for r in near.select("h", _gram_set(F.col("t"), symbols).alias("grams")).collect()}
+    texts, labels = [grams[r.h] for r in rows], [r.l for r in rows]
+    languages = sorted(set(labels))
     turn: dict[str, int] = {}
     order = []
     for i, label in enumerate(labels):
         order.append((turn.setdefault(label, 0), i))
         turn[label] += 1
     chosen = [i for _, i in sorted(order)[:n_landmarks]]
-    marked = presence([texts[i] for i in chosen], symbols)
+    marked = _seen([texts[i] for i in chosen])
     vocabulary = np.flatnonzero(marked.any(axis=0))
     landmarks = np.ascontiguousarray(marked[:, vocabulary].T)
     model = StringKernelModel(
         languages, symbols, vocabulary, landmarks, np.sqrt(marked.sum(axis=1, dtype=np.float64)), np.empty(0), np.empty(0)
     )
     across = np.concatenate(
-        [kernel(texts[i : i + BATCH_ROWS], model)[0] for i in range(0, len(texts), BATCH_ROWS)]
+        [kernel(_seen(texts[i : i + BATCH_ROWS]), model)[0] for i in range(0, len(texts), BATCH_ROWS)]
     ).astype(np.float64)
     value, vector = np.linalg.eigh(across[chosen])
     keep = value > 1e-8 * value[-1]
@@ -163,9 +219,8 @@ def fit(
     return model
 
 
-def kernel(texts: list[str], model: StringKernelModel) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel of texts with the landmarks, and which texts have a letter."""
-    seen = presence(texts, model.symbols)
+def kernel(seen: np.ndarray, model: StringKernelModel) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel of texts with the landmarks by their ``presence``, and which texts have a letter."""
     own = np.sqrt(seen.sum(axis=1, dtype=np.float64))
     both = seen[:, model.vocabulary].astype(np.float32) @ model.landmarks.astype(np.float32)
     return both / (own[:, None] * model.norms[None, :]).astype(np.float32), seen[:, 1:SYMBOLS].any(axis=1)
@@ -187,7 +242,7 @@ def predict(text: Column, model: StringKernelModel | None) -> Column:
                     langs += [UNDETERMINED] * len(part)
                     scores += [0.0] * len(part)
                     continue
-                values, lettered = kernel(part, model)
+                values, lettered = kernel(presence(part, model.symbols), model)
                 values = values @ model.weights + model.bias
                 best = values.argmax(axis=1)
                 top = np.clip(values[np.arange(len(part)), best], 0, 1)
