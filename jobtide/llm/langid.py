@@ -27,6 +27,11 @@ UNDETERMINED = "und"
 MAX_TRAIN = 2000
 MIN_TRAIN = 8
 LANDMARKS = 192
+#: A text fits while the known share of its n-grams is at least this part of what all but a few
+#: labelled texts outside of the sample reach; with fewer such texts a language is not judged.
+FIT_PART = 0.75
+FIT_QUANTILE = 0.05
+MIN_JUDGED = 20
 RIDGE = 1e-3
 #: Letters with a symbol of their own; 0 stands for all that is no letter.
 ALPHABET = 60
@@ -48,6 +53,8 @@ class StringKernelModel:
     norms: np.ndarray  # root of each landmark's number of n-grams
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    known: np.ndarray  # languages x n-grams that several texts have, as bits
+    floors: np.ndarray  # least known share of a text's n-grams, by language
 
 
 def symbol_table(letters: list[str]) -> np.ndarray:
@@ -145,6 +152,45 @@ def _seen(sets: list[bytes]) -> np.ndarray:
     return np.unpackbits(bits, axis=1, count=N_GRAMS)
 
 
+def _calibrated(sets: list[bytes], labels: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each language's n-grams from half of its texts, and its floor from the other half."""
+    known = np.zeros((len(languages), N_GRAMS // 8), np.uint8)
+    floors = np.zeros(len(languages))
+    for k, lang in enumerate(languages):
+        own = [x for x, label in zip(sets, labels, strict=True) if label == lang]
+        learned, judged = own[::2], own[1::2]
+        if len(judged) < MIN_JUDGED:
+            continue
+        number = np.zeros(N_GRAMS, np.int32)
+        for i in range(0, len(learned), BATCH_ROWS):
+            number += _seen(learned[i : i + BATCH_ROWS]).sum(axis=0, dtype=np.int32)
+        known[k] = np.packbits(number > 1)
+        several = number > 1
+        shares = np.concatenate(
+            [_known_share(_seen(judged[i : i + BATCH_ROWS]), several) for i in range(0, len(judged), BATCH_ROWS)]
+        )
+        floors[k] = FIT_PART * np.quantile(shares, FIT_QUANTILE)
+    return known, floors
+
+
+def _known_share(seen: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return (seen & known).sum(axis=1, dtype=np.int64) / np.maximum(seen.sum(axis=1, dtype=np.int64), 1)
+
+
+def fitting(seen: np.ndarray, values: np.ndarray, model: StringKernelModel) -> np.ndarray:
+    """Whether texts fit their best language: by the share of their n-grams that it or the second best knows.
+
+    The share does not depend on the other languages, unlike the scores, which sum to 1. The second is there
+    for texts in two languages.
+    """
+    first = values.argmax(axis=1)
+    rest = values.copy()
+    rest[np.arange(len(values)), first] = -np.inf
+    known = model.known[first] | model.known[rest.argmax(axis=1)]
+    shares = [_known_share(seen[i : i + 1], np.unpackbits(bits, count=N_GRAMS))[0] for i, bits in enumerate(known)]
+    return np.array(shares) >= model.floors[first]
+
+
 def fit(
     labelled: DataFrame,
     text_col: str = "text",
@@ -200,7 +246,8 @@ def fit(
     vocabulary = np.flatnonzero(marked.any(axis=0))
     landmarks = np.ascontiguousarray(marked[:, vocabulary].T)
     model = StringKernelModel(
-        languages, symbols, vocabulary, landmarks, np.sqrt(marked.sum(axis=1, dtype=np.float64)), np.empty(0), np.empty(0)
+        languages, symbols, vocabulary, landmarks, np.sqrt(marked.sum(axis=1, dtype=np.float64)), np.empty(0), np.empty(0),
+        *_calibrated(texts, labels, languages),
     )
     across = np.concatenate(
         [kernel(_seen(texts[i : i + BATCH_ROWS]), model)[0] for i in range(0, len(texts), BATCH_ROWS)]
@@ -226,8 +273,8 @@ def kernel(seen: np.ndarray, model: StringKernelModel) -> tuple[np.ndarray, np.n
     return both / (own[:, None] * model.norms[None, :]).astype(np.float32), seen[:, 1:SYMBOLS].any(axis=1)
 
 
-def predict(text: Column, model: StringKernelModel | None) -> Column:
-    """``struct<lang, score>`` of a text column.
+def predict(text: Column, model: StringKernelModel | None, judge: bool = False) -> Column:
+    """``struct<lang, score, fits>`` of a text column; ``fits`` is null unless ``judge``.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. The score is the
     ridge regression's value for the language, cut to 0 to 1.
@@ -235,31 +282,41 @@ def predict(text: Column, model: StringKernelModel | None) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            langs, scores = [], []
+            langs, scores, fits = [], [], []
             for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
                 part = [t or "" for t in texts[start:stop].to_pylist()]
                 if model is None:
                     langs += [UNDETERMINED] * len(part)
                     scores += [0.0] * len(part)
+                    fits += [None] * len(part)
                     continue
-                values, lettered = kernel(presence(part, model.symbols), model)
+                seen = presence(part, model.symbols)
+                values, lettered = kernel(seen, model)
                 values = values @ model.weights + model.bias
                 best = values.argmax(axis=1)
                 top = np.clip(values[np.arange(len(part)), best], 0, 1)
                 langs += [model.languages[b] if some else UNDETERMINED for b, some in zip(best, lettered, strict=True)]
                 scores += np.where(lettered, top, 0.0).tolist()
+                fits += (lettered & fitting(seen, values, model)).tolist() if judge else [None] * len(part)
             yield pa.StructArray.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"]
+                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())],
+                names=["lang", "score", "fits"],
             )
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang string, score double")(text)
+    return F.arrow_udf(run, "lang string, score double, fits boolean")(text)
 
 
-def identify(docs: DataFrame, model: StringKernelModel | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns, with ``lang_pred`` and ``score``; only the text is looked at."""
+def identify(
+    docs: DataFrame, model: StringKernelModel | None, text_col: str = "text", fits_col: str | None = None
+) -> DataFrame:
+    """All rows and columns, with ``lang_pred`` and ``score``; only the text is looked at.
+
+    ``fits_col`` names one more column: whether the text fits the language (see ``fitting``). Null without a model.
+    """
     bound_batches(docs.sparkSession)
-    found = predict(F.col(text_col), model)
-    return docs.withColumn("_lang", found).withColumns(
-        {"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}
-    ).drop("_lang")
+    found = predict(F.col(text_col), model, fits_col is not None)
+    named = {"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}
+    if fits_col is not None:
+        named[fits_col] = F.col("_lang.fits")
+    return docs.withColumn("_lang", found).withColumns(named).drop("_lang")
