@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.llm import chat, langid
+from jobtide.llm import chat, interactions, langid
 from jobtide.llm import sentencepieces as sp
 from jobtide.llm import tokenfiles, toxicity
 from jobtide.llm.batches import bound_batches
 from jobtide.llm.fingerprint import edited_neighbours
+from jobtide.llm.lexical import ranked_search
 from jobtide.llm.linededup import dedup_lines
+from jobtide.llm.maxscore import top_products
 from jobtide.llm.mixing import mix
 from jobtide.llm.repetition import with_repetition
 from jobtide.llm.simhash import near_duplicates
@@ -131,6 +133,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(parts)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five greatest inner products of every fiftieth vector with the others."""
+    return top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters does at each step of all their orders, by source."""
+    counts = interactions.survivors(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return interactions.order_report(counts)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
             op1_language_id,
@@ -143,4 +161,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_mix_sources,
             op9_simhash_near_dedup,
             op10_chat_format,
+            op11_lexical_search,
+            op12_exact_top_k,
+            op13_filter_audit,
         )}
