@@ -136,7 +136,9 @@ stable AS (
 )"""
 
 
-def health(trend: str = "CAST(0.6 AS DOUBLE)", extra_join: str = "") -> str:
+def health(
+    trend: str = "CAST(0.6 AS DOUBLE)", extra_join: str = "", used: str = "CAST(0.7 AS DOUBLE)"
+) -> str:
     return f"""
 scored AS (
   SELECT workspace_id, job_id, job_name, owned_by, total_runs, successful_runs, success_rate,
@@ -144,7 +146,7 @@ scored AS (
          (coalesce(success_rate_score, 0) * CAST(0.3 AS DOUBLE)
           + coalesce(stability_score, 0) * CAST(0.25 AS DOUBLE)
           + CAST(0.8 AS DOUBLE) * CAST(0.2 AS DOUBLE)
-          + CAST(0.7 AS DOUBLE) * CAST(0.15 AS DOUBLE)
+          + {used} * CAST(0.15 AS DOUBLE)
           + {trend} * CAST(0.1 AS DOUBLE)) * 100 AS score
   FROM jobs LEFT JOIN rates USING (workspace_id, job_id)
             LEFT JOIN stable USING (workspace_id, job_id) {extra_join}
@@ -300,9 +302,118 @@ counted AS (
   UNION ALL SELECT 10, 'health_score_low', count(*) FROM health WHERE score < 50
 )"""
 
+MIDWAY = "TIMESTAMP '1998-06-17 00:00:00'"
+J_MIDWAY = J.replace("FROM orders", f"FROM orders WHERE o_orderdate <= {MIDWAY}", 1)
+
+TREND = f"""
+trend AS (
+  SELECT workspace_id, job_id,
+         coalesce(sign(regr_slope(duration_ms, floor(epoch(period_start_time)))), 0) AS t
+  FROM a WHERE {A_WINDOW} GROUP BY 1, 2
+)"""
+TREND_SCORE = """(CASE WHEN t = -1 THEN CAST(1.0 AS DOUBLE) WHEN t = 1 THEN CAST(0.2 AS DOUBLE)
+            ELSE CAST(0.6 AS DOUBLE) END)"""
+
+# Every pair of a slice and a sample of its cluster that overlap, in microseconds.
+UTILISED = f"""
+pairs AS (
+  SELECT workspace_id, job_id, cpu_user + cpu_system AS cpu,
+         epoch_us(least(period_end_time, start_time + INTERVAL '600 seconds'))
+           - epoch_us(greatest(period_start_time, start_time)) AS overlap
+  FROM a JOIN n ON cluster_id = 'cl-' || (CAST(substr(job_id, 5) AS BIGINT) % 20)
+       AND start_time < period_end_time AND start_time + INTERVAL '600 seconds' > period_start_time
+  WHERE {A_WINDOW}
+),
+utilised AS (
+  SELECT workspace_id, job_id, sum(overlap) / 1e6 AS covered, sum(overlap * cpu) / sum(overlap) AS busy
+  FROM pairs GROUP BY 1, 2
+),
+with_slices AS (
+  SELECT DISTINCT workspace_id, job_id FROM a WHERE {A_WINDOW} AND period_end_time > period_start_time
+)"""
+
+RUN_COSTS = """
+whole AS (
+  SELECT workspace_id, job_id, run_id, result_state,
+         period_start_time + INTERVAL '1410 minutes' AS s,
+         period_start_time + INTERVAL '1410 minutes' + duration_ms * INTERVAL '1 millisecond' AS e
+  FROM b
+),
+cut AS (
+  SELECT *, CAST(unnest(range(CAST(s AS DATE), CAST(e - INTERVAL '1 microsecond' AS DATE) + 1, INTERVAL '1 day')) AS DATE) AS usage_date
+  FROM whole WHERE e > s
+),
+pieces AS (
+  SELECT workspace_id, job_id, run_id, usage_date, bool_or(result_state = 'SUCCESS') AS succeeded,
+         CAST(sum(epoch_ms(least(e, CAST(usage_date + 1 AS TIMESTAMP))) - epoch_ms(greatest(s, CAST(usage_date AS TIMESTAMP)))) AS BIGINT) AS run_ms
+  FROM cut GROUP BY 1, 2, 3, 4
+),
+units AS (
+  SELECT 'ws-' || (o_custkey % 3) AS workspace_id, 'job-' || o_custkey AS job_id, CAST(o_orderdate AS DATE) AS usage_date,
+         CAST(round(sum(o_totalprice) * 1000000) AS HUGEINT) AS units
+  FROM orders GROUP BY 1, 2, 3
+),
+upto AS (
+  SELECT *, sum(run_ms) OVER (PARTITION BY workspace_id, job_id, usage_date) AS total,
+         sum(run_ms) OVER (PARTITION BY workspace_id, job_id, usage_date ORDER BY substr(md5(run_id), 1, 2), run_id
+                           ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM pieces WHERE run_ms > 0
+),
+shares AS (
+  SELECT workspace_id, job_id, usage_date, run_id, run_ms, succeeded,
+         CAST((units * so_far) // total - (units * (so_far - run_ms)) // total AS BIGINT) AS cost_units
+  FROM upto JOIN units USING (workspace_id, job_id, usage_date)
+  UNION ALL
+  SELECT workspace_id, job_id, usage_date, NULL, 0, NULL, CAST(units AS BIGINT)
+  FROM units ANTI JOIN upto USING (workspace_id, job_id, usage_date)
+)"""
+
+
+def collections(moments: list[str], cooldown: int, per_hour: int, per_day: int) -> str:
+    """CTEs of what each collection adds to the alert history: failures since the one before, held to the limits."""
+    parts, before = [], []
+    for k, moment in enumerate(moments, 1):
+        now = f"TIMESTAMP '{moment}'"
+        since = f"period_start_time > TIMESTAMP '{moments[k - 2]}'" if k > 1 else f"period_start_time >= {now} - INTERVAL '30 days'"
+        earlier = " UNION ALL ".join(f"SELECT * FROM s{j}" for j in before) or "SELECT * FROM none"
+        parts.append(f"""
+e{k} AS ({earlier}),
+n{k} AS (
+  SELECT id || '_' || CAST(epoch({now}) AS BIGINT) AS id, workspace_id, job_id, {now} AS created_at,
+         row_number() OVER (PARTITION BY workspace_id, job_id ORDER BY id) = 1
+         AND NOT EXISTS (SELECT 1 FROM e{k} WHERE e{k}.workspace_id = f.workspace_id AND e{k}.job_id = f.job_id
+                         AND e{k}.created_at > {now} - INTERVAL '{cooldown} minutes') AS quiet
+  FROM f WHERE {since} AND period_start_time <= {now}
+),
+h{k} AS (
+  SELECT *, quiet AND row_number() OVER (PARTITION BY quiet ORDER BY workspace_id, job_id, id)
+            <= {per_hour} - (SELECT count(*) FROM e{k} WHERE date_trunc('hour', created_at) = date_trunc('hour', {now})) AS in_hour
+  FROM n{k}
+),
+d{k} AS (
+  SELECT *, in_hour AND row_number() OVER (PARTITION BY in_hour ORDER BY workspace_id, job_id, id)
+            <= {per_day} - (SELECT count(*) FROM e{k} WHERE date_trunc('day', created_at) = date_trunc('day', {now})) AS in_day
+  FROM h{k}
+),
+s{k} AS (SELECT workspace_id, job_id, created_at FROM d{k} WHERE in_day)""")
+        before.append(k)
+    rows = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in before)
+    return ",".join(parts) + f""",
+history AS (
+  SELECT id, workspace_id, job_id, created_at,
+         CASE WHEN NOT quiet THEN 'cooldown' WHEN NOT in_hour THEN 'hour' WHEN NOT in_day THEN 'day' END AS suppressed_by,
+         CAST(created_at AS DATE) AS alert_date
+  FROM ({rows})
+)"""
+
+
+COLLECTIONS = ["2024-01-20 00:00:00", "2024-01-20 00:05:00", "2024-01-20 11:00:00", "2024-01-20 12:30:00"]
+
 ORACLE = {
     "jobs_latest": f"""WITH {J} SELECT workspace_id, job_id, job_name, owned_by, creator_email,
   created_time, {AS_OF} AS collected_at FROM jobs""",
+    "jobs_latest_midway": f"""WITH {J_MIDWAY} SELECT workspace_id, job_id, job_name, owned_by, creator_email,
+  created_time, job_type, {MIDWAY} AS collected_at FROM jobs""",
     "job_type": f"WITH {J} SELECT workspace_id, job_id, job_type FROM jobs",
     "jobs_sample": f"""WITH {J} SELECT workspace_id, job_id, job_name, owned_by, created_time
   FROM jobs ORDER BY workspace_id, job_id LIMIT 10""",
@@ -321,18 +432,25 @@ ORACLE = {
     "baselines_exclude_recent": f"""WITH {A}, {baselines("a", A_WINDOW
         + " AND period_start_time < TIMESTAMP '2024-01-24'")} SELECT {BASELINE_COLUMNS},
   {AS_OF} AS calculated_at FROM base""",
+    "baselines_20_days": f"""WITH {A}, {baselines("a", "period_start_time >= TIMESTAMP '2024-01-11'")}
+SELECT {BASELINE_COLUMNS}, {AS_OF} AS calculated_at FROM base""",
+    "job_baselines_merged": f"""WITH {A}, {baselines("a", A_WINDOW).replace("quantile_cont", "quantile_disc")}
+SELECT {BASELINE_COLUMNS}, {AS_OF} AS calculated_at FROM base""",
     "success_rate": f"""WITH {A}, {RATES} SELECT workspace_id, job_id, total_runs, successful_runs,
   round(success_rate, 6) AS success_rate, success_rate_score FROM rates""",
     "stability": f"""WITH {A}, {A_BASE}, {STABLE} SELECT workspace_id, job_id, stability_score,
   round(cv, 6) AS coefficient_of_variation FROM stable""",
     "job_health": f"WITH {HEALTH} SELECT {HEALTH_COLUMNS} FROM health",
-    "job_health_trend": f"""WITH {J}, {A}, {A_BASE}, {RATES}, {STABLE},
-trend AS (
-  SELECT workspace_id, job_id,
-         coalesce(sign(regr_slope(duration_ms, floor(epoch(period_start_time)))), 0) AS t
-  FROM a WHERE {A_WINDOW} GROUP BY 1, 2
-), {health('''(CASE WHEN t = -1 THEN CAST(1.0 AS DOUBLE) WHEN t = 1 THEN CAST(0.2 AS DOUBLE)
-            ELSE CAST(0.6 AS DOUBLE) END)''', "LEFT JOIN trend USING (workspace_id, job_id)")}
+    "job_health_trend": f"""WITH {J}, {A}, {A_BASE}, {RATES}, {STABLE}, {TREND},
+{health(TREND_SCORE, "LEFT JOIN trend USING (workspace_id, job_id)")}
+SELECT workspace_id, job_id, round(score, 6) AS health_score, health_category FROM health""",
+    "job_utilisation": f"""WITH {A}, {N}, {UTILISED}
+SELECT workspace_id, job_id, round(coalesce(covered, 0), 6) AS covered_seconds, round(busy, 8) AS busy_percent,
+  CASE WHEN busy IS NOT NULL THEN round(greatest(0, least(1, busy / 60)), 6) END AS score
+FROM with_slices LEFT JOIN utilised USING (workspace_id, job_id)""",
+    "job_health_components": f"""WITH {J}, {A}, {N}, {A_BASE}, {RATES}, {STABLE}, {TREND}, {UTILISED},
+{health(TREND_SCORE, "LEFT JOIN trend USING (workspace_id, job_id) LEFT JOIN utilised USING (workspace_id, job_id)",
+        "CASE WHEN busy IS NULL THEN CAST(0.7 AS DOUBLE) ELSE greatest(0, least(1, busy / 60)) END")}
 SELECT workspace_id, job_id, round(score, 6) AS health_score, health_category FROM health""",
     "recent_stats": f"""WITH {A} SELECT workspace_id, job_id,
   round(recent_avg_duration, 3) AS recent_avg_duration, recent_run_count FROM ({RECENT_A})""",
@@ -346,6 +464,55 @@ SELECT {anomaly_columns("TIMESTAMP '2001-08-02 00:00:00'")} FROM found""",
 SELECT {ALERT_LIST}, error_message, rule_threshold FROM failures""",
     "failure_alerts_all": f"""WITH {J}, {A}, {FAILED}
 SELECT {ALERT_LIST}, error_message, rule_threshold FROM all_failures""",
+    "failures_named_at_start": f"""WITH {J}, {B},
+failed AS (
+  SELECT DISTINCT workspace_id, job_id, run_id, period_start_time FROM b
+  WHERE result_state = 'FAILED' AND period_start_time <= {MIDWAY} AND period_start_time >= {MIDWAY} - INTERVAL '365 days'
+),
+named AS (
+  SELECT failed.*, j.job_name AS name, row_number() OVER (PARTITION BY failed.workspace_id, failed.job_id, run_id, period_start_time
+           ORDER BY change_time DESC NULLS LAST, change_id DESC) AS nth
+  FROM failed LEFT JOIN j ON failed.workspace_id = j.workspace_id AND failed.job_id = j.job_id
+       AND change_time + INTERVAL '45 days' <= period_start_time
+)
+SELECT 'job_failure_' || workspace_id || '_' || job_id || '_' || run_id || '_' || (epoch_us(period_start_time) // 1000)
+         || '_' || CAST(floor(epoch(period_start_time)) AS BIGINT) AS id,
+  workspace_id, job_id, coalesce(name, 'Job ' || job_id) AS job_name,
+  'Job Failure: ' || coalesce(name, 'Job ' || job_id) AS title, period_start_time AS created_at
+FROM named WHERE nth = 1""",
+    "alerts_across_collections": f"""WITH {A},
+f AS (
+  SELECT *, 'job_failure_' || workspace_id || '_' || job_id || '_' || run_id || '_'
+           || (epoch_us(period_start_time) // 1000) AS id
+  FROM a WHERE result_state = 'FAILED'
+),
+none AS (SELECT workspace_id, job_id, period_start_time AS created_at FROM f WHERE false), {collections(COLLECTIONS, 720, 25, 40)}
+SELECT * FROM history""",
+    "alert_colours": f"""WITH {HEALTH}, {FAILED}, {top_failed()}, {low()}, {found(RECENT_A, 1.0)},
+shown AS (
+  SELECT id, 'job_failure' AS alert_type, '#8b0000' AS colour, title, workspace_id, job_id FROM failures
+  UNION ALL SELECT id, 'health_score_low', '#36a64f', title, workspace_id, job_id FROM lows
+  UNION ALL
+  SELECT 'anomaly_' || workspace_id || '_' || job_id || '_1706659200', 'performance_anomaly', '#ff9500',
+         'Performance Anomaly: ' || coalesce(nullif(job_name, ''), 'Job ' || job_id), workspace_id, job_id
+  FROM found LEFT JOIN (SELECT workspace_id, job_id, job_name FROM jobs) USING (workspace_id, job_id)
+  WHERE anomaly_score > 2.0
+),
+digests AS (
+  SELECT alert_type, count(*) || ' alerts' AS title, 'Jobs: ' || count(DISTINCT (workspace_id, job_id)) AS message
+  FROM shown GROUP BY 1
+)
+SELECT id, colour, NULL AS chat_payload, '[Job alert] ' || title AS email_subject FROM shown
+UNION ALL
+SELECT 'digest_' || alert_type, '#ff0000',
+  CAST(json_object('text', title, 'channel', '#alerts', 'username', 'alerts',
+    'icon_emoji', ':warning:', 'blocks', json_array(
+      json_object('type', 'header', 'text',
+                  json_object('type', 'plain_text', 'text', chr(128680) || ' ' || title)),
+      json_object('type', 'section', 'text', json_object('type', 'mrkdwn', 'text', message))),
+    'attachments', json_array(json_object('color', '#ff0000', 'fields', json_array()))) AS VARCHAR),
+  '[Job alert] ' || title
+FROM digests""",
     "health_alerts": f"""WITH {HEALTH}, {low("LIMIT 5")}
 SELECT {ALERT_LIST}, health_score, threshold FROM lows""",
     "health_alerts_all": f"""WITH {HEALTH}, {low()}
@@ -473,6 +640,14 @@ SELECT 'cost_spike_' || workspace_id || '_' || job_id || '_' || usage_date || '_
   CAST(usage_date AS VARCHAR) AS usage_date, '1.5' AS threshold
 FROM (SELECT costs.*, coalesce(nullif(job_name, ''), 'Job ' || costs.job_id) AS shown
       FROM costs LEFT JOIN jobs USING (workspace_id, job_id) WHERE cost_ratio > 1.5)""",
+    "costs_incremental": f"""WITH {C.replace("FROM orders", "FROM orders WHERE o_orderdate < TIMESTAMP '1999-02-01'")}
+SELECT {COST_COLUMNS}, strftime(usage_date, '%Y-%m') AS usage_month FROM costs""",
+    "run_costs": f"""WITH {B}, {RUN_COSTS}
+SELECT *, round(cost_units / 1000000, 6) AS cost FROM shares""",
+    "cost_efficiency": f"""WITH {B}, {RUN_COSTS}
+SELECT workspace_id, job_id,
+  round(CASE WHEN sum(cost_units) > 0 THEN coalesce(sum(cost_units) FILTER (succeeded), 0) / sum(cost_units) END, 6) AS score
+FROM shares WHERE run_id IS NOT NULL GROUP BY 1, 2""",
     "runs_upsert": f"""WITH {A} SELECT {RUN_COLUMNS}, CAST(period_start_time AS DATE) AS run_date
 FROM a""",
     "metrics_stream": f"""WITH {N}, w AS ({FIVE_MINUTES}) SELECT * FROM w""",

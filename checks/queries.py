@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
-from jobtide.functions.clock import elapsed_ms
+from jobtide.functions.clock import elapsed_ms, within_days
 from jobtide.operators import alerts as al
 from jobtide.operators.anomalies import job_anomalies, recent_stats
 from jobtide.operators.baselines import job_baselines, run_totals
@@ -19,9 +19,19 @@ from jobtide.operators.jobs import latest_jobs, sample_jobs
 from jobtide.operators.limits import rate_limited
 from jobtide.operators.metrics import daily_metrics, window_metrics
 from jobtide.operators.routing import alert_history, alert_payloads, route_alerts
+from jobtide.operators.runcosts import cost_efficiency, run_costs
 from jobtide.operators.runs import job_runs
-from jobtide.plans.pipeline import Settings, collect_incremental, run_collection
+from jobtide.operators.sketches import merged_baselines
+from jobtide.operators.utilisation import job_utilisation
+from jobtide.plans.pipeline import (
+    Settings,
+    collect_costs,
+    collect_duration_days,
+    collect_incremental,
+    run_collection,
+)
 from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
+from jobtide.sinks.alertlog import append_history, marked_alerts
 from jobtide.sinks.store import Store, shared_folder
 from jobtide.sources import testdata as td
 from jobtide.sources.probe import count_sources, probe_sources
@@ -34,6 +44,13 @@ SNAPSHOT = "2024-01-20 00:00:00"
 CONFIGURED = ("slack", "webhook")
 LIMITS = {"cooldown_minutes": 720, "max_per_hour": 2, "max_per_day": 20}
 COOLDOWN_MINUTES = 720
+#: Moments of collections that follow each other, the second before anything can be sent again.
+COLLECTIONS = ("2024-01-20 00:00:00", "2024-01-20 00:05:00", "2024-01-20 11:00:00", "2024-01-20 12:30:00")
+LIMITS_ACROSS = {"cooldown_minutes": 720, "max_per_hour": 25, "max_per_day": 40}
+#: A moment inside of the orders' change log, and how late changes are known there.
+MIDWAY = "1998-06-17 00:00:00"
+CHANGE_DELAY_DAYS = 45
+SAMPLE_SECONDS = 600
 LATENESS = "10 days"
 
 
@@ -96,6 +113,11 @@ def jobs_latest(spark, sf):
     return tidy(_jobs(spark, sf).drop("job_type"))
 
 
+def jobs_latest_midway(spark, sf):
+    """Metadata as of a moment that many changes are later than."""
+    return tidy(latest_jobs(td.job_changes(spark, sf), MIDWAY, ["change_id"]))
+
+
 def job_type(spark, sf):
     jobs = _jobs(spark, sf)
     return jobs.select("workspace_id", "job_id", "job_type")
@@ -133,6 +155,19 @@ def baselines_exclude_recent(spark, sf):
     return tidy(job_baselines(td.run_slices(spark, sf), AS_OF, exclude_recent_days=7))
 
 
+def baselines_20_days(spark, sf):
+    """A window that leaves out a third of the runs."""
+    return tidy(job_baselines(td.run_slices(spark, sf), AS_OF, days=20))
+
+
+def job_baselines_merged(spark, sf):
+    """Daily statistics stored by one collection and brought up to date by the next, then merged."""
+    store = Store(spark, folder=shared_folder(spark))
+    for as_of in (SNAPSHOT, AS_OF):
+        collect_duration_days(store, td.run_slices(spark, sf), as_of)
+    return tidy(merged_baselines(store.read("job_duration_days"), AS_OF))
+
+
 def success_rate(spark, sf):
     return tidy(success_rates(_runs(spark, sf)))
 
@@ -157,6 +192,24 @@ def job_health_trend(spark, sf):
     return tidy(health.select("workspace_id", "job_id", "health_score", "health_category"))
 
 
+def _utilisation(spark, sf):
+    return job_utilisation(
+        _runs(spark, sf), td.node_samples(spark, sf), td.job_clusters(spark, sf), SAMPLE_SECONDS
+    )
+
+
+def job_utilisation_query(spark, sf):
+    return tidy(_utilisation(spark, sf))
+
+
+def job_health_components(spark, sf):
+    """Health with utilisation and trend in place of their fixed parts."""
+    runs = _runs(spark, sf)
+    parts = {"resource_utilization": _utilisation(spark, sf), "trend_analysis": duration_trend(runs)}
+    health = job_health(_jobs(spark, sf), runs, _baselines(spark, sf), AS_OF, components=parts)
+    return tidy(health.select("workspace_id", "job_id", "health_score", "health_category"))
+
+
 def recent_stats_query(spark, sf):
     return tidy(recent_stats(_runs(spark, sf), AS_OF))
 
@@ -191,6 +244,62 @@ def failure_alerts_all(spark, sf):
     return tidy(_flat(found, "error_message", "rule_threshold"))
 
 
+def failures_named_at_start(spark, sf):
+    """Failed runs up to a moment inside of the change log, with the names their jobs had at the start."""
+    slices = td.multi_slices(spark, sf)
+    delay = F.make_dt_interval(days=F.lit(CHANGE_DELAY_DAYS))
+    changes = td.job_changes(spark, sf).withColumn("change_time", F.col("change_time") + delay)
+    runs = (
+        slices.where(within_days(slices, "period_start_time", MIDWAY, 365))
+        .select("workspace_id", "job_id", "run_id", "period_start_time", "result_state")
+        .distinct()
+        .withColumn("state_message", F.lit(None).cast("string"))
+    )
+    found = al.failure_alerts(
+        runs, latest_jobs(changes, MIDWAY, ["change_id"]), at_event_time=True, changes=changes, tie_break=["change_id"]
+    )
+    return tidy(found.select("id", "workspace_id", "job_id", "job_name", "title", "created_at"))
+
+
+def alerts_across_collections(spark, sf):
+    """The history after four collections: what each sent, and which limit held the others back."""
+    store = Store(spark, folder=shared_folder(spark))
+    for as_of in COLLECTIONS:
+        jobs = latest_jobs(td.job_changes(spark, sf), as_of, ["change_id"])
+        found = al.failure_alerts(job_runs(td.run_slices(spark, sf), as_of), jobs, as_of)
+        marked = marked_alerts(store, found, as_of, limits=LIMITS_ACROSS).persist()
+        append_history(store, marked, CONFIGURED)
+        marked.unpersist()
+    return tidy(store.read("job_alerts").select("id", "workspace_id", "job_id", "created_at", "suppressed_by", "alert_date"))
+
+
+def alert_colours(spark, sf):
+    """All severities, and alerts that are about no job."""
+    rules = {k: replace(al.RULES[k], severity=s) for k, s in (("job_failure", "critical"), ("health_score_low", "low"))}
+    alerts = al.combine_alerts(
+        [
+            al.failure_alerts(_runs(spark, sf), _jobs(spark, sf), AS_OF, rules["job_failure"]),
+            al.health_alerts(_health(spark, sf), AS_OF, rules["health_score_low"]),
+            al.anomaly_alerts(_anomalies(spark, sf, 1.0), _jobs(spark, sf), AS_OF),
+        ]
+    )
+    count = F.count(F.lit(1)).cast("string")
+    digests = alerts.groupBy("alert_type").agg(
+        F.concat(F.lit("digest_"), F.first("alert_type")).alias("id"),
+        F.lit("high").alias("severity"),
+        F.concat(count, F.lit(" alerts")).alias("title"),
+        F.concat(F.lit("Jobs: "), F.count_distinct("workspace_id", "job_id").cast("string")).alias("message"),
+        F.lit(None).cast("string").alias("job_id"),
+        F.lit(None).cast("string").alias("job_name"),
+        F.lit(None).cast("string").alias("workspace_id"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        F.lit(AS_OF).cast("timestamp").alias("created_at"),
+    )
+    found = alert_payloads(alerts.unionByName(digests))
+    chat = F.when(F.col("id").startswith("digest_"), F.col("chat_payload")).alias("chat_payload")
+    return found.select("id", "colour", chat, "email_subject")
+
+
 def health_alerts(spark, sf):
     rule = replace(al.RULES["health_score_low"], limit=5)
     found = al.health_alerts(_health(spark, sf), AS_OF, rule)
@@ -319,6 +428,31 @@ def cost_alerts(spark, sf):
     return tidy(_flat(found, "usage_date", "threshold").drop("message"))
 
 
+def costs_incremental(spark, sf):
+    """The cost table after two collections, the second reading only newer usage."""
+    store = Store(spark, folder=shared_folder(spark))
+    for as_of in (MIDWAY, "1999-01-31 00:00:00"):
+        collect_costs(store, td.usage(spark, sf), as_of)
+    return tidy(store.read("job_costs"))
+
+
+def _run_costs(spark, sf):
+    """Usage of orders shared to their runs, which start half an hour before midnight."""
+    late = F.make_dt_interval(mins=F.lit(1410))
+    slices = td.multi_slices(spark, sf).withColumns(
+        {c: F.col(c) + late for c in ("period_start_time", "period_end_time")}
+    )
+    return run_costs(slices, td.usage(spark, sf))
+
+
+def run_costs_query(spark, sf):
+    return tidy(_run_costs(spark, sf))
+
+
+def cost_efficiency_query(spark, sf):
+    return tidy(cost_efficiency(_run_costs(spark, sf)))
+
+
 def _with_repeats(slices: DataFrame, open_since: str) -> DataFrame:
     """Every third slice twice, first without state and shorter; no states from a moment on."""
     version = F.explode(
@@ -440,6 +574,7 @@ def alert_cooldown_stream(spark, sf):
 
 QUERIES = {
     "jobs_latest": jobs_latest,
+    "jobs_latest_midway": jobs_latest_midway,
     "job_type": job_type,
     "jobs_sample": jobs_sample,
     "job_runs_window": job_runs_window,
@@ -448,16 +583,21 @@ QUERIES = {
     "job_baselines": job_baselines_query,
     "job_baselines_bounded": job_baselines_bounded,
     "baselines_exclude_recent": baselines_exclude_recent,
+    "baselines_20_days": baselines_20_days,
+    "job_baselines_merged": job_baselines_merged,
     "success_rate": success_rate,
     "stability": stability_query,
     "job_health": job_health_query,
     "job_health_trend": job_health_trend,
+    "job_utilisation": job_utilisation_query,
+    "job_health_components": job_health_components,
     "recent_stats": recent_stats_query,
     "anomalies_t2": anomalies_t2,
     "anomalies_t1": anomalies_t1,
     "anomalies_run_grain": anomalies_run_grain,
     "failure_alerts": failure_alerts,
     "failure_alerts_all": failure_alerts_all,
+    "failures_named_at_start": failures_named_at_start,
     "health_alerts": health_alerts,
     "health_alerts_all": health_alerts_all,
     "anomaly_alerts": anomaly_alerts,
@@ -466,6 +606,8 @@ QUERIES = {
     "alert_history": alert_history_query,
     "alert_counts": alert_counts,
     "alerts_rate_limited": alerts_rate_limited,
+    "alerts_across_collections": alerts_across_collections,
+    "alert_colours": alert_colours,
     "source_counts": source_counts,
     "source_probe": source_probe,
     "collection_counts": collection_counts,
@@ -477,6 +619,9 @@ QUERIES = {
     "cost_daily": cost_daily,
     "cost_spikes": cost_spikes_query,
     "cost_alerts": cost_alerts,
+    "costs_incremental": costs_incremental,
+    "run_costs": run_costs_query,
+    "cost_efficiency": cost_efficiency_query,
     "runs_upsert": runs_upsert,
     "metrics_stream": metrics_stream,
     "runs_stream_dedup": runs_stream_dedup,

@@ -24,25 +24,26 @@ def moment(as_of: AsOf = None, dtype: str = "timestamp") -> Column:
     return F.lit(str(as_of)).cast(dtype)
 
 
-def _type_of(df: DataFrame, column: str) -> str:
+def column_type(df: DataFrame, column: str) -> str:
+    """The type of a column, as text."""
     return df.schema[column].dataType.simpleString()
 
 
 def days_before(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
     """The moment ``days`` days before ``as_of``, typed like ``df[column]``."""
-    return moment(as_of, _type_of(df, column)) - F.make_dt_interval(days=F.lit(days))
+    return moment(as_of, column_type(df, column)) - F.make_dt_interval(days=F.lit(days))
 
 
 def within_days(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
     """Predicate: ``column`` is at most ``days`` times 24 hours older than ``as_of``, and not later."""
-    latest = moment(as_of, _type_of(df, column))
+    latest = moment(as_of, column_type(df, column))
     return (F.col(column) >= days_before(df, column, as_of, days)) & (F.col(column) <= latest)
 
 
 def within_calendar_days(df: DataFrame, column: str, as_of: AsOf, days: int) -> Column:
     """Predicate: from the midnight ``days`` dates before ``as_of`` up to ``as_of``."""
     day = F.date_sub(moment(as_of).cast("date"), days)
-    kind = _type_of(df, column)
+    kind = column_type(df, column)
     return (F.col(column) >= day.cast(kind)) & (F.col(column) <= moment(as_of, kind))
 
 

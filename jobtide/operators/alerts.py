@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.alert_text import display_name, error_text
 from jobtide.functions.clock import AsOf, epoch_seconds, moment
+from jobtide.operators.jobs import with_metadata_at
 from jobtide.schemas import JOB_KEYS, TABLES
 
 
@@ -110,11 +111,14 @@ def failure_alerts(
     as_of: AsOf = None,
     rule: AlertRule = RULES["job_failure"],
     at_event_time: bool = False,
+    changes: DataFrame | None = None,
+    tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """One alert per failed run; the newest of them where the rule has a limit.
 
     The limit comes before the join, so names are looked up for a handful of rows.
-    ``at_event_time`` stamps alerts with the run's start instead of ``as_of``.
+    ``at_event_time`` stamps alerts with the run's start instead of ``as_of``. With ``changes``, the change log,
+    an alert carries the name that its job had when the run started, in place of that in ``jobs``.
     """
     if not rule.enabled:
         return no_alerts(runs.sparkSession)
@@ -125,9 +129,12 @@ def failure_alerts(
         failed = failed.orderBy(
             F.col("period_start_time").desc(), *JOB_KEYS, "run_id", "state_message"
         ).limit(rule.limit)
-    named = _with_name(failed, jobs).withColumn(
-        "_error", error_text(F.col("state_message"))
-    )
+    if changes is None:
+        named = _with_name(failed, jobs)
+    else:
+        dated = with_metadata_at(failed, changes, "period_start_time", ("name",), tie_break)
+        named = dated.withColumn("_name", display_name(F.col("name"), F.col("job_id")))
+    named = named.withColumn("_error", error_text(F.col("state_message")))
     return _alert_rows(
         named,
         kind="job_failure",

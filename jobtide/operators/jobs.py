@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from jobtide.functions.clock import AsOf, moment
+from jobtide.functions.clock import AsOf, column_type, moment
+from jobtide.operators.temporal import value_at
 from jobtide.schemas import JOB_KEYS
 
 # Settings fields in order of precedence, and the type each one means.
@@ -44,10 +45,13 @@ def job_type(settings: str = "settings") -> Column:
 def latest_jobs(
     changes: DataFrame, as_of: AsOf = None, tie_break: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per job: its latest change record as job metadata.
+    """One row per job: its latest change record up to ``as_of`` as job metadata.
 
-    ``tie_break`` names further columns, largest first, for equal change times.
+    Later changes are not read; a job without an earlier one is not there. ``tie_break`` names further columns,
+    largest first, for equal change times.
     """
+    if as_of is not None:
+        changes = changes.where(F.col("change_time") <= moment(as_of, column_type(changes, "change_time")))
     described = changes.select(
         *JOB_KEYS,
         "change_time",
@@ -69,6 +73,16 @@ def latest_jobs(
     )
 
 
+def with_metadata_at(
+    rows: DataFrame, changes: DataFrame, at: str, names: Sequence[str] = ("name",), tie_break: Sequence[str] = ()
+) -> DataFrame:
+    """``rows`` with the ``names`` columns of their job's change log that held at the moment ``at`` of each.
+
+    Null where the job had no change record by then.
+    """
+    return value_at(rows, changes, JOB_KEYS, at, "change_time", names, tie_break)
+
+
 def sample_jobs(jobs: DataFrame, n: int = 10) -> DataFrame:
     """The first ``n`` jobs by key, as a readable sample."""
     return jobs.select(*JOB_KEYS, "job_name", "owned_by", "created_time").orderBy(*JOB_KEYS).limit(n)

@@ -12,7 +12,7 @@ from operator import and_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.functions.clock import days_before, moment, within_calendar_days, within_days
+from jobtide.functions.clock import column_type, days_before, moment, within_calendar_days, within_days
 from jobtide.functions.scores import HEALTH_WEIGHTS
 from jobtide.operators.alerts import (
     RULES,
@@ -26,28 +26,41 @@ from jobtide.operators.alerts import (
 )
 from jobtide.operators.anomalies import RECENT_DAYS, Z_LIMIT, job_anomalies
 from jobtide.operators.baselines import job_baselines
-from jobtide.operators.costs import cost_spikes, daily_costs
-from jobtide.operators.health import job_health
+from jobtide.operators.costs import cost_spikes, costs_since, daily_costs
+from jobtide.operators.health import duration_trend, job_health
 from jobtide.operators.jobs import latest_jobs, latest_per_key
 from jobtide.operators.limits import (
     COOLDOWN_MINUTES,
     MAX_PER_DAY,
     MAX_PER_HOUR,
-    rate_limited,
 )
 from jobtide.operators.metrics import daily_metrics, window_metrics
-from jobtide.operators.routing import alert_history
+from jobtide.operators.runcosts import cost_efficiency, run_costs
 from jobtide.operators.runs import job_runs, project_runs
-from jobtide.schemas import SLICE_KEYS
+from jobtide.operators.sketches import duration_days, merged_baselines
+from jobtide.operators.utilisation import SAMPLE_SECONDS, job_utilisation
+from jobtide.schemas import JOB_KEYS, SLICE_KEYS
+from jobtide.sinks.alertlog import append_history, marked_alerts
 from jobtide.sinks.runlog import append_run_log, run_record
 from jobtide.sinks.store import Store
-from jobtide.sinks.upsert import VERSION, high_water_mark, newer_slices, stored_runs, upsert_runs
+from jobtide.sinks.upsert import (
+    VERSION,
+    high_water_mark,
+    newer_slices,
+    stored_runs,
+    upsert_partitions,
+    upsert_runs,
+)
 from jobtide.sources.probe import require_sources
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Windows, limits and rules of a collection."""
+    """Windows, limits and rules of a collection.
+
+    ``components`` names the fixed parts of the health score that are computed instead: ``trend_analysis``,
+    ``resource_utilization`` (which needs a source ``job_clusters``) and ``cost_efficiency``.
+    """
 
     collection_window_days: int = 30
     metrics_days: int = 7
@@ -60,12 +73,16 @@ class Settings:
     weights: Mapping[str, float] = field(default_factory=lambda: dict(HEALTH_WEIGHTS))
     rules: Mapping[str, AlertRule] = field(default_factory=lambda: dict(RULES))
     alerting_enabled: bool = True
+    names_at_start: bool = False
     anomaly_alerts: bool = False
     costs: bool = False
     cost_alert_days: int = 1
     channels: Sequence[str] = ()
     tie_break: Sequence[str] = ()
     environment: str = "development"
+    components: Sequence[str] = ()
+    sample_seconds: int = SAMPLE_SECONDS
+    sketch_baselines: bool = False
     incremental_runs: bool = False
     overlap_days: int = 1
     changed_column: str | None = None
@@ -128,37 +145,58 @@ def collect_tables(
         recent = samples.where(within_calendar_days(samples, "start_time", as_of, s.metrics_days))
         stage("job_window_metrics", window_metrics(recent, s.metrics_width))
     covered = s.baseline_days <= s.collection_window_days
-    baselines = stage(
-        "job_baselines",
-        job_baselines(
+    if s.sketch_baselines:
+        rows = collect_duration_days(store, slices, as_of, s.baseline_days, s.overlap_days)
+        done["job_duration_days"] = (rows, store.read("job_duration_days"))
+        found = merged_baselines(
+            done["job_duration_days"][1], as_of, s.baseline_days, s.min_runs, s.exclude_recent_days
+        )
+    else:
+        found = job_baselines(
             runs if covered else slices,
             as_of,
             s.baseline_days,
             s.min_runs,
             exclude_recent_days=s.exclude_recent_days,
-        ),
-    )
-    stage("job_health", job_health(jobs, runs, baselines, as_of, s.weights))
+        )
+    baselines = stage("job_baselines", found)
+    parts = {}
+    if "trend_analysis" in s.components:
+        parts["trend_analysis"] = duration_trend(runs)
+    if "resource_utilization" in s.components:
+        samples = sources["node_samples"]
+        recent = samples.where(within_days(samples, "start_time", as_of, s.collection_window_days + 1))
+        used = job_utilisation(runs, recent, sources["job_clusters"], s.sample_seconds)
+        parts["resource_utilization"] = stage("job_utilisation", used)
+    if "cost_efficiency" in s.components:
+        usage = sources["usage"]
+        recent = usage.where(within_calendar_days(usage, "usage_date", as_of, s.collection_window_days))
+        parts["cost_efficiency"] = cost_efficiency(stage("run_costs", run_costs(runs, recent)))
+    stage("job_health", job_health(jobs, runs, baselines, as_of, s.weights, parts))
     stage(
         "job_anomalies",
         job_anomalies(runs, baselines, as_of, s.threshold, s.recent_days, s.grain),
     )
     if s.costs:
-        stage("job_costs", daily_costs(sources["usage"]))
+        rows = collect_costs(store, sources["usage"], as_of, s.overlap_days)
+        done["job_costs"] = (rows, store.read("job_costs"))
     return done
 
 
 def collect_alerts(
-    tables: Mapping[str, DataFrame], as_of: str, settings: Settings
+    tables: Mapping[str, DataFrame], as_of: str, settings: Settings, changes: DataFrame | None = None
 ) -> DataFrame:
     """All alerts of one collection, from its result tables.
 
-    With rate limits ``suppressed_by`` names the limit that keeps an alert from being sent; it stays a row.
+    With ``names_at_start``, failures carry the name that ``changes`` has for the start of the run.
     """
     rules = settings.rules
     jobs = tables["jobs_metadata"]
+    dated = changes if settings.names_at_start else None
     kinds = [
-        failure_alerts(tables["job_runs"], jobs, as_of, rules["job_failure"]),
+        failure_alerts(
+            tables["job_runs"], jobs, as_of, rules["job_failure"], changes=dated, tie_break=settings.tie_break
+        ),
         health_alerts(tables["job_health"], as_of, rules["health_score_low"]),
     ]
     if settings.anomaly_alerts:
@@ -170,12 +208,18 @@ def collect_alerts(
         rule = rules["cost_spike"]
         spikes = cost_spikes(costs.where(recent), rule.threshold)
         kinds.append(cost_alerts(spikes, jobs, as_of, rule))
-    alerts = combine_alerts(kinds, settings.alerting_enabled)
-    if not settings.rate_limits:
-        return alerts.withColumn("suppressed_by", F.lit(None).cast("string"))
-    return rate_limited(
-        alerts, settings.cooldown_minutes, settings.max_per_hour, settings.max_per_day, ["id"]
-    )
+    return combine_alerts(kinds, settings.alerting_enabled)
+
+
+def alert_limits(settings: Settings) -> dict[str, int] | None:
+    """Arguments of ``rate_limited``, or None without rate limits."""
+    names = ("cooldown_minutes", "max_per_hour", "max_per_day")
+    return {n: getattr(settings, n) for n in names} if settings.rate_limits else None
+
+
+def known_days(settings: Settings) -> int:
+    """How far back an alert of a collection can have been made before, in dates."""
+    return 1 + max(settings.collection_window_days, settings.cost_alert_days)
 
 
 def run_collection(
@@ -186,7 +230,8 @@ def run_collection(
 ) -> dict:
     """Probe sources, write all tables, record alerts, append and return the run record.
 
-    A failure is logged as a failed run and raised again.
+    Alerts that the history has already are neither counted as sent nor stored again, and what earlier
+    collections sent counts for the rate limits. A failure is logged as a failed run and raised again.
     """
     run_id, started = str(uuid.uuid4()), datetime.now(UTC)
     facts = {
@@ -199,15 +244,15 @@ def run_collection(
         require_utc(store.spark)
         require_sources(store.spark, loaders)
         now = fixed_as_of(as_of)
-        done = collect_tables(store, {n: load() for n, load in loaders.items()}, now, settings)
-        alerts = collect_alerts({t: df for t, (_, df) in done.items()}, now, settings).persist()
+        sources = {n: load() for n, load in loaders.items()}
+        done = collect_tables(store, sources, now, settings)
+        found = collect_alerts({t: df for t, (_, df) in done.items()}, now, settings, sources["job_changes"])
+        alerts = marked_alerts(store, found, now, known_days(settings), alert_limits(settings)).persist()
         try:
             sent = {kind: 0 for kind in settings.rules}
             passed = alert_counts(alerts.where("suppressed_by is null"))
             sent.update({r["alert_type"]: r["alert_count"] for r in passed.collect()})
-            if not alerts.isEmpty():
-                history = alert_history(alerts, settings.channels, settings.rules)
-                store.write(history, "job_alerts", mode="append")
+            append_history(store, alerts, settings.channels, settings.rules)
         finally:
             alerts.unpersist()
     except Exception as error:
@@ -256,13 +301,63 @@ def collect_incremental(
             store.read(table), column, None if changed else "run_date", as_of=now
         )
         new = newer_slices(slices, mark, 0 if changed else overlap_days, column)
-        new = new.where(F.col("period_start_time") <= moment(now, new.schema["period_start_time"].dataType.simpleString()))
+        new = new.where(F.col("period_start_time") <= moment(now, column_type(new, "period_start_time")))
     else:
         new = slices.where(within_days(slices, "period_start_time", now, first_days))
     fresh = project_runs(new, now, kept)
     return upsert_runs(store, latest_per_key(fresh, SLICE_KEYS, [*kept, *VERSION]), table)
 
 
+def collect_duration_days(
+    store: Store,
+    slices: DataFrame,
+    as_of=None,
+    first_days: int = 30,
+    overlap_days: int = 1,
+    max_run_days: int = 2,
+    table: str = "job_duration_days",
+) -> int:
+    """Bring the daily duration statistics up to ``as_of``; rows of the rewritten dates.
+
+    The first call reads ``first_days``, later ones only the dates from ``overlap_days`` before the newest stored one.
+    Slices are read from ``max_run_days`` earlier, so that runs are whole; a run that goes on for longer
+    counts by its later slices.
+    """
+    now = fixed_as_of(as_of)
+    mark = high_water_mark(store.read(table), "run_date", as_of=now) if store.exists(table) else None
+    today = moment(now).cast("date")
+    since = F.date_sub(today, first_days) if mark is None else F.date_sub(F.lit(mark).cast("date"), overlap_days)
+    kind = column_type(slices, "period_start_time")
+    start = F.col("period_start_time")
+    read = slices.where((start >= F.date_sub(since, max_run_days).cast(kind)) & (start <= moment(now, kind)))
+    days = duration_days(read).where(F.col("run_date") >= since)
+    if not store.exists(table):
+        return store.write(days, table, partition_by=["run_date"])
+    return store.replace_partitions(days, table, ["run_date"])
+
+
+def collect_costs(
+    store: Store, usage: DataFrame, as_of=None, overlap_days: int = 1, table: str = "job_costs"
+) -> int:
+    """Bring the cost table, kept by month, up to ``as_of``; rows in the rewritten months.
+
+    The first call reads all usage up to ``as_of``. Later ones read usage from ``overlap_days`` before the
+    newest stored day on, and take the days before from the table, so trailing averages are the
+    same as those over the whole usage. Usage that comes later than that stays out.
+    """
+    now = fixed_as_of(as_of)
+    mark = high_water_mark(store.read(table), "usage_date", as_of=now) if store.exists(table) else None
+    if mark is None:
+        costs = daily_costs(usage, as_of=now)
+    else:
+        since = F.date_sub(F.lit(mark).cast("date"), overlap_days)
+        costs = costs_since(usage, store.read(table), since, now)
+    monthly = costs.withColumn("usage_month", F.date_format("usage_date", "yyyy-MM"))
+    if not store.exists(table):
+        return store.write(monthly, table, partition_by=["usage_month"])
+    return upsert_partitions(store, table, monthly, [*JOB_KEYS, "usage_date"], "usage_month")
+
+
 def late_slices(
     store: Store, slices: DataFrame, as_of=None, overlap_days: int = 1, table: str = "job_runs"
 ) -> int:

@@ -111,6 +111,19 @@ def node_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_samples(table(spark, sf_dir, "events"))
 
 
+def job_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every job that has runs."""
+    return (
+        table(spark, sf_dir, "events")
+        .selectExpr(
+            "concat('ws-', user_id % 3) AS workspace_id",
+            "concat('job-', user_id) AS job_id",
+            "concat('cl-', user_id % 20) AS cluster_id",
+        )
+        .distinct()
+    )
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One usage record per order."""
     return table(spark, sf_dir, "orders").selectExpr(
