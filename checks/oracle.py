@@ -445,7 +445,7 @@ SELECT {BASELINE_COLUMNS}, {AS_OF} AS calculated_at FROM base""",
 {health(TREND_SCORE, "LEFT JOIN trend USING (workspace_id, job_id)")}
 SELECT workspace_id, job_id, round(score, 6) AS health_score, health_category FROM health""",
     "job_utilisation": f"""WITH {A}, {N}, {UTILISED}
-SELECT workspace_id, job_id, round(coalesce(covered, 0), 6) AS covered_seconds, round(busy, 8) AS busy_percent,
+SELECT workspace_id, job_id, round(coalesce(covered, 0), 6) AS covered_seconds, round(busy, 4) AS busy_percent,
   CASE WHEN busy IS NOT NULL THEN round(greatest(0, least(1, busy / 60)), 6) END AS score
 FROM with_slices LEFT JOIN utilised USING (workspace_id, job_id)""",
     "job_health_components": f"""WITH {J}, {A}, {N}, {A_BASE}, {RATES}, {STABLE}, {TREND}, {UTILISED},

@@ -199,7 +199,8 @@ def _utilisation(spark, sf):
 
 
 def job_utilisation_query(spark, sf):
-    return tidy(_utilisation(spark, sf))
+    # Integrals over long times leave about ten digits.
+    return tidy(_utilisation(spark, sf).withColumn("busy_percent", F.round("busy_percent", 4)))
 
 
 def job_health_components(spark, sf):
