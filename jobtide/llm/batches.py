@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,25 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.r_[0, np.cumsum(lengths, dtype=np.int64)]
 
 
+def segments(texts: list[str], limit: int, border: re.Pattern) -> Iterator[list[tuple[int, str]]]:
+    """Lists of (row, part of its text), about ``limit`` characters each; texts are cut at a border only."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > limit:
+                found = border.search(text, at + limit)
+                stop = found.start() if found else stop
+            held.append((row, text[at:stop]))
+            size, at = size + stop - at, stop
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def pieces(texts: pa.Array, max_rows: int, max_chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``max_rows`` texts and ``max_chars`` characters, or one text."""
     lengths = pc.fill_null(pc.utf8_length(texts.cast(pa.string())), 0).to_numpy(zero_copy_only=False)

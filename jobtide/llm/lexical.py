@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from jobtide.llm.batches import bound_batches
+from jobtide.llm.batches import bound_batches, segments
 from jobtide.llm.text import ascii_lower, whole
 from jobtide.llm.wordscan import range_hashes, spans
 from jobtide.llm.workspace import Workspace
@@ -73,25 +73,6 @@ def term_table(terms: list[str]) -> tuple[list[str], Terms]:
     return [terms[i] for i in order], Terms(keys[order], points, start[order], length[order])
 
 
-def _segments(texts: list[str], limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Lists of (row, part of its text), about ``limit`` characters each; no term is cut."""
-    held, size = [], 0
-    for row, text in enumerate(texts):
-        at = 0
-        while at < len(text):
-            stop = len(text)
-            if stop - at > limit:
-                found = _BREAK.search(text, at + limit)
-                stop = found.start() if found else stop
-            held.append((row, text[at:stop]))
-            size, at = size + stop - at, stop
-            if size >= limit:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices of the ranges ``start[i] .. start[i] + length[i]``, one after another."""
     ends = np.cumsum(length)
@@ -103,7 +84,7 @@ def count_terms(texts: list[str], terms: Terms) -> tuple[np.ndarray, np.ndarray,
     total = np.zeros(len(texts), np.int64)
     keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     size = max(1, len(terms.keys))
-    for part in _segments(texts, SCAN_CHARS):
+    for part in segments(texts, SCAN_CHARS, _BREAK):
         points = _code_points("".join(t for _, t in part))
         points = np.where((points >= 0x41) & (points <= 0x5A), points + 32, points)
         offsets = np.r_[0, np.cumsum([len(t) for _, t in part])]

@@ -6,10 +6,14 @@ class falls back to what all labelled text says, and where neither class
 knows a 5-gram only their back-off masses differ. A word's evidence is the difference of its
 two log-likelihoods. A document has the mean over its words (the length-normalised difference) and
 its strongest words; a logistic function of these, fitted on texts that its models have not seen, is the score.
+
+The 5-grams of all labelled texts are counted by Spark; the driver gets their sums. Only the logistic function is fitted
+on a bounded sample, of which it sees five numbers for each text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,27 +22,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.batches import bound_batches, code_points, pieces
+from jobtide.llm.batches import bound_batches, segments
+from jobtide.llm.wordscan import is_space, range_hashes, spans
+from jobtide.llm.workspace import Workspace
 
-#: Bounds of the fit, the same at every size of the input: labelled rows of a class, and
-#: a length up to which rows are preferred for the sample.
+#: Texts of a class that calibrate the score, about: the same bound at every size of the input.
 MAX_TRAIN = 4000
-SHORT_TEXT = 20_000
+#: Labels up to this number go to the documents as a broadcast; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
 ORDER = 5
+#: A 5-gram is a number of 30 bits, which bounds what the models can hold.
 SYMBOL_BITS = 6
 #: Symbols: 0 before a word, letters by rank, other letters, all else, the end of a word.
 LETTERS, OTHER_LETTER, NO_LETTER, END = 60, 61, 62, 63
 WORD_LIMIT = 8.0
 STRONGEST = 3
-#: Parts of the sample; each is weighed by models of the others when the score is calibrated.
+#: Parts of the sample; each is weighed by models of all other labelled texts when the score is calibrated.
 FOLDS = 5
 THRESHOLD = 0.3
-#: Texts that the driver takes up at once while it fits.
-FIT_ROWS, FIT_CHARS = 512, 1 << 19
-BATCH_ROWS = 2048
-BATCH_CHARS = 2 << 20
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
+#: Characters that a step takes up; a longer text is cut between words.
+STEP_CHARS = 1 << 20
+#: Distinct counts that a task holds before it passes them on.
+HELD_COUNTS = 1 << 20
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 @dataclass
@@ -54,13 +60,10 @@ class ToxicityModel:
     bias: float
 
 
-def _letters(texts: list[str]) -> np.ndarray:
-    number: dict[str, int] = {}
-    for text in texts:
-        for char in text.lower():
-            if char.isalpha():
-                number[char] = number.get(char, 0) + 1
-    rank = {c: i + 1 for i, c in enumerate(sorted(number, key=lambda c: (-number[c], c))[:LETTERS])}
+def letter_table(numbers: dict[int, int]) -> np.ndarray:
+    """The symbol of every code point, from how often the code points of lower-case letters occur."""
+    ranked = sorted(numbers, key=lambda c: (-numbers[c], c))
+    rank = {chr(c): i + 1 for i, c in enumerate(ranked[:LETTERS])}
     table = np.full(0x110000, NO_LETTER, np.uint8)
     for code in range(0x110000):
         char = chr(code)
@@ -69,33 +72,22 @@ def _letters(texts: list[str]) -> np.ndarray:
     return table
 
 
-def _words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and text of every word."""
-    space = (points == 0x20) | ((points >= 0x09) & (points <= 0x0D))
-    first = ~space
-    first[1:] &= space[:-1]
-    inner = offsets[1:-1]
-    inner = inner[inner < len(points)]
-    first[inner] = ~space[inner]
-    start = np.flatnonzero(first)
-    stop = np.r_[np.flatnonzero(space), offsets[1:]]
-    stop.sort()
-    end = stop[np.searchsorted(stop, start, "right")]
-    return start, end - start, np.searchsorted(offsets, start, "right") - 1
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _words(part: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a segment, and start, length and row of every word."""
+    points = _code_points("".join(t for _, t in part))
+    offsets = np.r_[0, np.cumsum([len(t) for _, t in part])]
+    start, end = spans(~is_space(points), offsets)
+    row = np.array([r for r, _ in part], np.int64)[np.searchsorted(offsets, start, "right") - 1]
+    return points, start, end - start, row
 
 
 def _distinct(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First occurrence of every distinct word, and each word's number among them."""
-    power = np.full(len(points) + 1, np.uint64(BASE))
-    power[0] = 1
-    inverse = np.full(len(points) + 1, np.uint64(_INVERSE))
-    inverse[0] = 1
-    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-    mixed = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    prefix = np.r_[np.uint64(0), np.cumsum(mixed * power[:-1])]
-    key = (prefix[start + length] - prefix[start]) * inverse[start] ^ (length.astype(np.uint64) * np.uint64(BASE))
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    _, first, which = np.unique(range_hashes(points, start, start + length), return_index=True, return_inverse=True)
     return first, which
 
 
@@ -152,24 +144,11 @@ def _shared(grams: np.ndarray, wanted: np.ndarray, order: int) -> np.ndarray:
     return np.where(all_ > 0, p + discount * _at(heads, kinds, head, 0.0) / some * below, below)
 
 
-def _language_models(texts: list[str], labels: np.ndarray, symbols: np.ndarray):
-    """Sorted 5-grams and contexts, with the toxic less the ordinary log-probability."""
-    counted = []
-    for label in (0, 1):
-        own = pa.array([t for t, y in zip(texts, labels, strict=True) if y == label], pa.string())
-        keys, counts = np.empty(0, np.int64), np.empty(0)
-        for a, b in pieces(own, FIT_ROWS, FIT_CHARS):
-            points, offsets = code_points(own[a:b])
-            if not len(points):
-                continue
-            start, length, _ = _words(points, offsets)
-            first, which = _distinct(points, start, length)
-            if not len(first):
-                continue
-            code, begin = _grams(points, start[first], length[first], symbols)
-            number = np.repeat(np.bincount(which, minlength=len(first)), np.diff(np.r_[begin, len(code)]))
-            keys, counts = _totals(np.r_[keys, code], np.r_[counts, number])
-        counted.append((keys, counts))
+def language_models(counted: list[tuple[np.ndarray, np.ndarray]]):
+    """Sorted 5-grams and contexts, with the toxic less the ordinary log-probability.
+
+    ``counted`` has the sorted 5-grams of either class and how often they occur.
+    """
     grams = np.union1d(counted[0][0], counted[1][0])
     contexts = np.unique(grams >> SYMBOL_BITS)
     below = _shared(grams, grams & ((1 << SYMBOL_BITS * (ORDER - 1)) - 1), ORDER - 1)
@@ -187,35 +166,36 @@ def _language_models(texts: list[str], labels: np.ndarray, symbols: np.ndarray):
     return grams, log_p[1] - log_p[0], contexts, log_mass[1] - log_mass[0]
 
 
-def features(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
-    """Mean evidence of the words, the strongest ones, and the log of their number, for each text."""
-    points, offsets = code_points(texts)
-    out = np.zeros((len(texts), STRONGEST + 2))
-    if not len(points):
-        return out
-    start, length, owner = _words(points, offsets)
-    if not len(start):
-        return out
+def _evidence(points, start, length, model: ToxicityModel) -> np.ndarray:
+    """Evidence of every word, worked out once for each distinct one."""
     first, which = _distinct(points, start, length)
     code, begin = _grams(points, start[first], length[first], model.symbols)
     known = _at(model.grams, model.gram_evidence, code, np.nan)
     fallen = np.isnan(known)
     known[fallen] = _at(model.contexts, model.context_evidence, code[fallen] >> SYMBOL_BITS, 0.0)
-    evidence = np.clip(np.add.reduceat(known, begin), -WORD_LIMIT, WORD_LIMIT)[which]
-    number = np.bincount(owner, minlength=len(texts))
-    out[:, 0] = np.bincount(owner, weights=evidence, minlength=len(texts)) / np.maximum(number, 1)
-    some = np.flatnonzero(number)
-    bounds = np.r_[0, np.cumsum(number[some])]
-    evidence = evidence.copy()
-    for k in range(STRONGEST):
-        top = np.maximum.reduceat(evidence, bounds[:-1])
-        out[some, 1 + k] = np.maximum(top, 0)
-        hit = np.flatnonzero(evidence == np.repeat(top, np.diff(bounds)))
-        group = np.searchsorted(bounds, hit, "right") - 1
-        _, lead = np.unique(group, return_index=True)
-        evidence[hit[lead]] = -np.inf
-    out[:, -1] = np.log1p(number)
-    return out
+    return np.clip(np.add.reduceat(known, begin), -WORD_LIMIT, WORD_LIMIT)[which]
+
+
+def features(texts: list[str], model: ToxicityModel) -> np.ndarray:
+    """Mean evidence of the words, the strongest ones, and the log of their number, for each text."""
+    number, total = np.zeros(len(texts)), np.zeros(len(texts))
+    top = np.full((len(texts), STRONGEST), -np.inf)
+    for part in segments(texts, STEP_CHARS, _SPACE):
+        points, start, length, row = _words(part)
+        if not len(start):
+            continue
+        evidence = _evidence(points, start, length, model)
+        number += np.bincount(row, minlength=len(texts))
+        total += np.bincount(row, weights=evidence, minlength=len(texts))
+        # Words by row, the strongest first: a row's first few and those found before are held against each other.
+        order = np.lexsort((-evidence, row))
+        ranked = row[order]
+        nth = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+        some = nth < STRONGEST
+        found = np.full((len(texts), STRONGEST), -np.inf)
+        found[ranked[some], nth[some]] = evidence[order[some]]
+        top = -np.sort(-np.c_[top, found], axis=1)[:, :STRONGEST]
+    return np.c_[total / np.maximum(number, 1), np.maximum(top, 0), np.log1p(number)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -234,26 +214,73 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0)
     return beta
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int) -> list:
-    """Rows ``t, y, h`` of at most ``max_train`` labelled documents of either label.
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_train: int) -> tuple[DataFrame, dict]:
+    """``t, y, part`` of all labelled documents, and how many ids have each label.
 
-    A share of the hash range of ids that holds about as many is taken from the labels; these few ids
-    are broadcast to the documents. Texts of more than ``SHORT_TEXT`` characters are left
-    out, unless a label has no other.
+    Part 0 is not in the sample; the others are its folds. A hash of the id decides, so reruns agree.
     """
     known = labels.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    spread, wanted = F.shiftrightunsigned("h", 11), F.lit(False)
+    sampled = F.lit(False)
     for y, n in sizes.items():
-        wanted = wanted | ((F.col("y") == y) & (spread < int(min(1.0, 1.5 * max_train / n) * 2**53)))
-    picked = F.broadcast(known.where(wanted))
+        bound = int(min(1.0, max_train / n) * 2**53)
+        sampled = sampled | ((F.col("y") == y) & (F.shiftrightunsigned("h", 11) < bound))
+    fold = F.pmod(F.shiftright("h", 5), F.lit(FOLDS)) + 1
+    parts = known.select("id", "y", F.when(sampled, fold).otherwise(F.lit(0)).cast("int").alias("part"))
+    if sum(sizes.values()) <= BROADCAST_LABELS:
+        parts = F.broadcast(parts)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found = texts.join(picked, "id")
-    rows = found.where(F.char_length("t") <= SHORT_TEXT).select("t", "y", "h").collect()
-    if len({r.y for r in rows}) < len(sizes):
-        rows = found.select("t", "y", "h").collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.t))
-    return [(r, sizes[y]) for y in sizes for r in [q for q in rows if q.y == y][:max_train]]
+    return texts.join(parts, "id").select("t", "y", "part"), sizes
+
+
+def _letter_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow`` over ``t``: how often each lower-case letter occurs, batch by batch."""
+    for batch in batches:
+        codes, numbers = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part in segments([t or "" for t in batch.column(0).to_pylist()], STEP_CHARS, _SPACE):
+            code, n = np.unique(_code_points("".join(t for _, t in part).lower()), return_counts=True)
+            letter = np.array([chr(c).isalpha() for c in code], bool)
+            codes.append(code[letter])
+            numbers.append(n[letter])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(codes).astype(np.int32)), pa.array(np.concatenate(numbers))], names=["code", "n"]
+        )
+
+
+def count_grams(symbols: np.ndarray):
+    """For ``mapInArrow`` over ``t, y, part``: ``slot, code, n``, where a slot is a part's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = SYMBOL_BITS * ORDER
+        keys, counts = np.empty(0, np.int64), np.empty(0)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array((keys >> bits).astype(np.int32)), pa.array(keys & ((1 << bits) - 1)), pa.array(counts.astype(np.int64))],
+                names=["slot", "code", "n"],
+            )
+
+        for batch in batches:
+            slot = batch.column(2).to_numpy() * 2 + batch.column(1).to_numpy()
+            for part in segments([t or "" for t in batch.column(0).to_pylist()], STEP_CHARS, _SPACE):
+                points, start, length, row = _words(part)
+                if not len(start):
+                    continue
+                first, which = _distinct(points, start, length)
+                code, begin = _grams(points, start[first], length[first], symbols)
+                size = np.diff(np.r_[begin, len(code)])
+                for s in np.unique(slot[row]):
+                    number = np.bincount(which[slot[row] == s], minlength=len(first))
+                    some = np.repeat(number > 0, size)
+                    keys, counts = _totals(
+                        np.r_[keys, code[some] | (int(s) << bits)], np.r_[counts, np.repeat(number, size)[some]]
+                    )
+                if len(keys) >= HELD_COUNTS:
+                    yield rows()
+                    keys, counts = keys[:0], counts[:0]
+        yield rows()
+
+    return run
 
 
 def fit(
@@ -264,39 +291,60 @@ def fit(
     label_col: str = "toxic",
     max_train: int = MAX_TRAIN,
 ) -> ToxicityModel | None:
-    """Fit on a bounded sample of the labelled documents; None without both labels.
+    """Language models of all labelled documents, calibrated on a sample of them; None without both labels.
 
     Labels other than 0 and 1 are left out, an id with both counts as toxic, ids without a
-    document do not matter. The labels' shares weigh the calibration.
+    document do not matter. Texts of any length take part. The labels' shares weigh the calibration, to which
+    about ``max_train`` texts of each label are enough.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    space = Workspace(spark)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    sample = _sample(docs, known, id_col, text_col, max_train)
-    rows = [r for r, _ in sample]
-    sizes = {r.y: (n,) for r, n in sample}
-    labels = np.array([r.y for r in rows])
-    if len(set(labels)) < 2:
+    rows, sizes = _labelled(docs, known, id_col, text_col, max_train)
+    rows = space.save(rows, "labelled")
+    letters = rows.select("t").mapInArrow(_letter_numbers, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    symbols = letter_table({r.code: r.n for r in letters.collect()})
+    counts = rows.mapInArrow(count_grams(symbols), "slot int, code long, n long").groupBy("slot", "code")
+    table = counts.agg(F.sum("n").alias("n")).toArrow()
+    slot, code, n = (table.column(c).to_numpy() for c in ("slot", "code", "n"))
+    order = np.argsort(code, kind="stable")
+    slot, code, n = slot[order], code[order], n[order].astype(np.float64)
+
+    def models(without: int) -> ToxicityModel | None:
+        """Of all parts but one."""
+        own = slot // 2 != without
+        counted = [_totals(code[own & (slot % 2 == y)], n[own & (slot % 2 == y)]) for y in (0, 1)]
+        if not all(len(keys) for keys, _ in counted):
+            return None
+        return ToxicityModel(symbols, *language_models(counted), np.empty(0), np.empty(0), np.empty(0), 0.0)
+
+    whole = models(-1)
+    if whole is None:
+        return None
+    others = [models(k) or whole for k in range(1, FOLDS + 1)]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, part = [t or "" for t in batch.column(0).to_pylist()], batch.column(2).to_numpy()
+            x = np.zeros((len(texts), STRONGEST + 2))
+            for k in np.unique(part):
+                own = np.flatnonzero(part == k)
+                x[own] = features([texts[i] for i in own], others[k - 1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+
+    found = rows.where("part > 0").mapInArrow(weigh, "y int, x array<double>").collect()
+    found.sort(key=lambda r: (r.y, r.x))
+    labels, x = np.array([r.y for r in found]), np.array([r.x for r in found])
+    if len(set(labels.tolist())) < 2:
         return None
-    texts = [r.t for r in rows]
-    symbols = _letters(texts)
-    fold = np.array([(r.h >> 5) % FOLDS for r in rows])
-    empty = np.empty(0)
-    x = np.zeros((len(rows), STRONGEST + 2))
-    for side in range(FOLDS):
-        train, test = np.flatnonzero(fold != side), np.flatnonzero(fold == side)
-        if len(set(labels[train])) < 2:
-            train = np.arange(len(rows))
-        tables = _language_models([texts[i] for i in train], labels[train], symbols)
-        part = ToxicityModel(symbols, *tables, empty, empty, empty, 0.0)
-        if len(test):
-            own = pa.array([texts[i] for i in test], pa.string())
-            found = [features(own[a:b], part) for a, b in pieces(own, FIT_ROWS, FIT_CHARS)]
-            x[test] = np.concatenate(found)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    share = np.array([sizes[y][0] / (labels == y).sum() for y in (0, 1)])
-    weight = share[labels] * len(rows) / share[labels].sum()
+    share = np.array([sizes[y] / (labels == y).sum() for y in (0, 1)])
+    weight = share[labels] * len(x) / share[labels].sum()
     beta = _logistic((x - centre) / scale, labels, weight)
-    return ToxicityModel(symbols, *_language_models(texts, labels, symbols), beta[:-1], centre, scale, float(beta[-1]))
+    whole.weights, whole.centre, whole.scale, whole.bias = beta[:-1], centre, scale, float(beta[-1])
+    return whole
 
 
 def score(text: Column, model: ToxicityModel | None) -> Column:
@@ -305,10 +353,9 @@ def score(text: Column, model: ToxicityModel | None) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             scores = np.zeros(len(texts))
-            if model is not None:
-                for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
-                    x = (features(texts[start:stop], model) - model.centre) / model.scale
-                    scores[start:stop] = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
+            if model is not None and len(texts):
+                x = (features([t or "" for t in texts.to_pylist()], model) - model.centre) / model.scale
+                scores = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
             yield pa.array(scores)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
