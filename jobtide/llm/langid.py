@@ -1,6 +1,7 @@
 """Language identification with string kernels.
 
-A text is the set of its character n-grams of several orders over a learned alphabet.
+A text is the set of its n-grams of several orders, of lower-case letters of any script and one symbol for all
+else. An n-gram's hash is its place in the set, so no alphabet has to be learned.
 The kernel of two texts is the number of n-grams both have, divided by the
 geometric mean of their own numbers. Nyström landmarks, a few training texts, make it a finite
 feature map; one ridge regression for each language on top gives the scores, all
@@ -13,6 +14,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +35,22 @@ FIT_PART = 0.75
 FIT_QUANTILE = 0.05
 MIN_JUDGED = 20
 RIDGE = 1e-3
-#: Letters with a symbol of their own; 0 stands for all that is no letter.
-ALPHABET = 60
-SYMBOLS = 64
 ORDERS = 3
-N_GRAMS = sum(SYMBOLS**n for n in range(1, ORDERS + 1))
+#: Places of n-grams. A text has some hundred to some ten thousand, so few share a place.
+HASH_BITS = 18
+N_GRAMS = 1 << HASH_BITS
+#: Odd multipliers of the hash, by order and distance from the end.
+_FACTORS = [pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 8)]
 BATCH_ROWS = 64
 BATCH_CHARS = 1 << 20
 
 
 @dataclass
 class StringKernelModel:
-    """What scoring needs: bounded by the landmarks and the alphabet, not by the input."""
+    """What scoring needs: bounded by the landmarks and the places, not by the input."""
 
     languages: list[str]
-    symbols: np.ndarray  # symbol of every code point
+    symbols: np.ndarray  # lower-case letter of every code point, 0 for what is no letter
     vocabulary: np.ndarray  # n-grams of the landmarks
     landmarks: np.ndarray  # vocabulary x landmarks, 0 or 1
     norms: np.ndarray  # root of each landmark's number of n-grams
@@ -57,39 +60,41 @@ class StringKernelModel:
     floors: np.ndarray  # least known share of a text's n-grams, by language
 
 
-def symbol_table(letters: list[str]) -> np.ndarray:
-    """The symbol of every code point: letters in lower case by rank, the rest shared."""
-    rank = {c: i + 1 for i, c in enumerate(letters[:ALPHABET])}
-    table = np.zeros(0x110000, np.uint8)
+@lru_cache
+def symbol_table() -> np.ndarray:
+    """The lower-case letter that stands for every code point, 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         char = chr(code)
         if char.isalpha():
-            low = unicodedata.normalize("NFC", char.lower())[0]
-            table[code] = rank.get(low) or ALPHABET + 1 + code % (SYMBOLS - ALPHABET - 1)
+            table[code] = ord(unicodedata.normalize("NFC", char.lower())[0])
     return table
 
 
-def presence(texts: list[str], symbols: np.ndarray) -> np.ndarray:
-    """Which n-grams each text has: texts x N_GRAMS, 0 or 1.
+def presence(texts: list[str], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams each text has, texts x N_GRAMS, 0 or 1; and which texts have a letter.
 
     Texts are padded with a non-letter at both ends and cut into overlapping pieces, so one very long
     text takes no more working memory than a batch.
     """
-    seen = np.zeros((len(texts), N_GRAMS), np.uint8)
+    seen, lettered = np.zeros((len(texts), N_GRAMS), np.uint8), np.zeros(len(texts), bool)
     held, chars = [], 0
 
     def mark(parts: list[tuple[int, str]]) -> None:
         joined = "".join(p for _, p in parts)
-        code = symbols[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+        code = symbols[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
         row = np.repeat([r for r, _ in parts], [len(p) for _, p in parts])
         part = np.repeat(np.arange(len(parts)), [len(p) for _, p in parts])
-        gram, offset = np.zeros_like(code), 0
+        lettered[row[code > 0]] = True
+        mixed = (code + np.uint64(1)) * np.uint64(_FACTORS[0])
+        mixed ^= mixed >> np.uint64(31)
+        gram = np.zeros_like(code)
         flat = seen.reshape(-1)
         for n in range(1, ORDERS + 1):
-            gram = gram[: len(code) - n + 1] * SYMBOLS + code[n - 1 :]
+            gram = (gram[: len(code) - n + 1] + np.uint64(n)) * np.uint64(_FACTORS[1]) + mixed[n - 1 :]
+            place = (gram * np.uint64(_FACTORS[2]) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
             inside = part[: len(gram)] == part[n - 1 :]
-            flat[(row[: len(gram)].astype(np.int64) * N_GRAMS + gram + offset)[inside]] = 1
-            offset += SYMBOLS**n
+            flat[(row[: len(gram)].astype(np.int64) * N_GRAMS + place)[inside]] = 1
 
     for r, text in enumerate(texts):
         padded = f" {text} "
@@ -102,7 +107,7 @@ def presence(texts: list[str], symbols: np.ndarray) -> np.ndarray:
                 held, chars = [], 0
     if held:
         mark(held)
-    return seen
+    return seen, lettered
 
 
 def quotas(sizes: dict[str, int], total: int, least: int = MIN_TRAIN) -> dict[str, int]:
@@ -113,32 +118,14 @@ def quotas(sizes: dict[str, int], total: int, least: int = MIN_TRAIN) -> dict[st
     return out
 
 
-def _letter_shares(text: Column) -> Column:
-    """``code, share`` of the letters of a text in lower case, as shares of its letters."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for text in texts:
-                points = np.frombuffer((text.as_py() or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-                code, n = np.unique(points, return_counts=True)
-                letter = np.array([chr(c).isalpha() for c in code], bool)
-                share = n[letter] / max(1, n[letter].sum())
-                out.append([{"code": int(c), "share": float(x)} for c, x in zip(code[letter], share, strict=True)])
-            yield pa.array(out, pa.list_(pa.struct([("code", pa.int32()), ("share", pa.float64())])))
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<struct<code: int, share: double>>")(text)
-
-
 def _gram_set(text: Column, symbols: np.ndarray) -> Column:
-    """The n-grams of a text as bits, compressed: bounded by the alphabet, not by the text."""
+    """The n-grams of a text as bits, compressed: bounded by their places, not by the text."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             out = []
             for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
-                seen = presence([t or "" for t in texts[start:stop].to_pylist()], symbols)
+                seen, _ = presence([t or "" for t in texts[start:stop].to_pylist()], symbols)
                 out += [zlib.compress(bits.tobytes(), 1) for bits in np.packbits(seen, axis=1)]
             yield pa.array(out, pa.binary())
 
@@ -222,19 +209,14 @@ def fit(
     near = known.join(bound, "l").where(F.shiftrightunsigned("h", 11) < F.col("bound"))
     # Copies are one text before Python sees them.
     near = near.groupBy("h").agg(F.min(F.struct("l", "t")).alias("row")).select("h", "row.*")
-    found = near.select("h", "l", _letter_shares(F.col("t")).alias("letters")).collect()
+    symbols = symbol_table()
+    found = near.select("h", "l", _gram_set(F.col("t"), symbols).alias("grams")).collect()
     left, rows = dict(wanted), []
     for r in sorted(found, key=lambda r: r.h):
         if left[r.l] > 0:
             left[r.l] -= 1
             rows.append(r)
-    letters: dict[str, float] = {}
-    for r in rows:
-        for x in r.letters:
-            letters[chr(x.code)] = letters.get(chr(x.code), 0.0) + x.share
-    symbols = symbol_table(sorted(letters, key=lambda c: (-letters[c], c)))
-    grams = {r.h: r.grams for r in near.select("h", _gram_set(F.col("t"), symbols).alias("grams")).collect()}
-    texts, labels = [grams[r.h] for r in rows], [r.l for r in rows]
+    texts, labels = [r.grams for r in rows], [r.l for r in rows]
     languages = sorted(set(labels))
     turn: dict[str, int] = {}
     order = []
@@ -250,7 +232,7 @@ def fit(
         *_calibrated(texts, labels, languages),
     )
     across = np.concatenate(
-        [kernel(_seen(texts[i : i + BATCH_ROWS]), model)[0] for i in range(0, len(texts), BATCH_ROWS)]
+        [kernel(_seen(texts[i : i + BATCH_ROWS]), model) for i in range(0, len(texts), BATCH_ROWS)]
     ).astype(np.float64)
     value, vector = np.linalg.eigh(across[chosen])
     keep = value > 1e-8 * value[-1]
@@ -266,11 +248,11 @@ def fit(
     return model
 
 
-def kernel(seen: np.ndarray, model: StringKernelModel) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel of texts with the landmarks by their ``presence``, and which texts have a letter."""
+def kernel(seen: np.ndarray, model: StringKernelModel) -> np.ndarray:
+    """Kernel of texts with the landmarks by their ``presence``."""
     own = np.sqrt(seen.sum(axis=1, dtype=np.float64))
     both = seen[:, model.vocabulary].astype(np.float32) @ model.landmarks.astype(np.float32)
-    return both / (own[:, None] * model.norms[None, :]).astype(np.float32), seen[:, 1:SYMBOLS].any(axis=1)
+    return both / (own[:, None] * model.norms[None, :]).astype(np.float32)
 
 
 def predict(text: Column, model: StringKernelModel | None, judge: bool = False) -> Column:
@@ -290,9 +272,8 @@ def predict(text: Column, model: StringKernelModel | None, judge: bool = False)
                     scores += [0.0] * len(part)
                     fits += [None] * len(part)
                     continue
-                seen = presence(part, model.symbols)
-                values, lettered = kernel(seen, model)
-                values = values @ model.weights + model.bias
+                seen, lettered = presence(part, model.symbols)
+                values = kernel(seen, model) @ model.weights + model.bias
                 best = values.argmax(axis=1)
                 top = np.clip(values[np.arange(len(part)), best], 0, 1)
                 langs += [model.languages[b] if some else UNDETERMINED for b, some in zip(best, lettered, strict=True)]
