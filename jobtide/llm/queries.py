@@ -61,8 +61,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens of every document, from flat token files of all of them."""
     folder = Workspace(spark).path("tokens")
-    end = tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), folder, piece_model())
-    counted = tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder), end)
+    end, filler = tokenfiles.write_token_files(_table(spark, sf_dir, "documents"), folder, piece_model())
+    counted = tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder), end, filler=filler)
     return tokenfiles.numbered_counts(counted)
 
 
