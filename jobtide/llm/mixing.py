@@ -1,11 +1,11 @@
 """A mix of sources by target weights, made of fixed-length blocks of words.
 
 The words of a source, its documents in pseudorandom order, are cut into blocks of
-``block_words``. The output is a row of slots in shards; every slot of a shard draws its source
-from the targets, so a shard's counts are multinomial. Draws that a source has beyond
-its own number of slots go to the sources that lack some, so that totals meet the
-targets. A source's i-th slot takes the block that a keyed permutation gives for i, one
-permutation for each pass over the source, and slots are joined with blocks by that index.
+``block_words``. The output is a row of shards of slots. Of a shard's slots each source gets the whole part of its share;
+the others are drawn, one by one, by what is left of the shares, so a shard's counts are multinomial about the targets. A
+source's i-th slot takes the block that a keyed permutation gives for i, one permutation for each
+pass over the source. Slots are joined with blocks by that index and written as shards; how often a
+document is taken is read back from them.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from jobtide.llm.workspace import Workspace
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
-BLOCK_WORDS = 256
+BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
 SEED = 42
 ROUNDS = 16
 #: Rows that one task of a two-level running total sees of a key at once, about.
 SCAN_ROWS = 4096
+#: Parts of a slot in which shares are reckoned.
+FINE = 1 << 20
 #: Cells of an interval lookup; every cell holds one interval and those that begin in it.
 CELLS = 2048
 
@@ -130,15 +132,20 @@ def source_targets(
     )
 
 
-def _quotas(sources: DataFrame, block_words: int) -> DataFrame:
-    """Slots of every source: whole passes, then the words of a last pass."""
+def _quotas(sources: DataFrame, block_words: int, max_repeat: int) -> DataFrame:
+    """Blocks of every source, slots it may fill, and slots that its target asks for, in parts of ``FINE``.
+
+    A slot of a source brings the mean length of its blocks, which differs from the block length by the last block.
+    """
+    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
     return (
-        sources.withColumn("demand", F.floor(F.col("target") + 0.5).cast("long"))
-        .withColumn("passes", F.expr("demand div greatest(source_size, 1L)"))
-        .withColumn("rest", F.col("demand") - F.col("passes") * F.col("source_size"))
-        .withColumn("full_blocks", F.expr(f"source_size div {block_words}"))
-        .withColumn("blocks", F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-        .withColumn("own", F.col("passes") * F.col("blocks") + F.expr(f"(rest + {block_words - 1}) div {block_words}"))
+        sources.withColumn("blocks", blocks)
+        .withColumn("most", F.col("blocks") * max_repeat)
+        .withColumn(
+            "share",
+            F.coalesce(F.round(F.col("target") * F.col("blocks") / F.nullif("source_size", F.lit(0)) * FINE), F.lit(0)).cast("long"),
+        )
+        .withColumn("asked", F.expr(f"(share + {FINE // 2}) div {FINE}"))
     )
 
 
@@ -148,16 +155,39 @@ def _running(frame: DataFrame, value: Column, name: str) -> DataFrame:
     return frame.withColumn(name, F.coalesce(F.sum(value).over(ahead), F.lit(0)))
 
 
-def _slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int, space: Workspace) -> DataFrame:
-    """``slot, shard, sid, i``: which source's how-manieth slot each output slot is."""
-    spark = space.spark
-    drawn = spark.range(0, n_slots, 1, max(1, min(10_000, n_slots // 500_000 + 8))).select(
+def _drawn(quotas: DataFrame, n_shards: int, shard_slots: int, total: int, seed: int, spark) -> DataFrame:
+    """``slot, shard, sid``: the source that each slot has drawn.
+
+    Places of a shard come in a pseudorandom order. The first ones are the whole parts of the sources' shares, the others
+    are drawn by the rests.
+    """
+    fair = quotas.withColumn("whole", F.expr(f"cast(share as decimal(19,0)) * {shard_slots} div {max(1, total)}"))
+    left = f"(cast(share as decimal(19,0)) * {shard_slots} % {max(1, total)})"
+    fair = fair.withColumn("rest", F.expr(f"cast({left} * {FINE} div {max(1, total)} as long)"))
+    fair = _running(_running(fair, F.col("whole"), "whole_lo"), F.col("rest"), "rest_lo")
+    filled, rests = fair.agg(F.coalesce(F.sum("whole"), F.lit(0)), F.coalesce(F.sum("rest"), F.lit(0))).first()
+    n_slots = n_shards * shard_slots
+    shard = F.expr(f"id div {shard_slots}")
+    places = spark.range(0, n_slots, 1, max(1, min(10_000, n_slots // 500_000 + 8))).select(
         F.col("id").alias("slot"),
-        F.expr(f"id div {shard_slots}").alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n_slots))).alias("x"),
+        shard.alias("shard"),
+        permuted(F.col("id") % shard_slots, F.lit(shard_slots), F.xxhash64(F.lit(seed), shard)).alias("x"),
+    )
+    sure = in_interval(
+        places.where(F.col("x") < filled), "x", fair.select("sid", F.col("whole_lo").alias("lo"), F.col("whole").alias("n")), filled
     )
-    shares = _running(quotas, F.col("own"), "lo").select("sid", "lo", F.col("own").alias("n"))
-    drawn = in_interval(drawn, "x", shares, n_slots).select("slot", "shard", "sid")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 2), "slot"), F.lit(max(1, rests)))
+    open_ = places.where(F.col("x") >= filled).withColumn("x", chance)
+    lucky = in_interval(open_, "x", fair.select("sid", F.col("rest_lo").alias("lo"), F.col("rest").alias("n")), rests)
+    return sure.select("slot", "shard", "sid").union(lucky.select("slot", "shard", "sid"))
+
+
+def _slots(quotas: DataFrame, n_shards: int, shard_slots: int, total: int, seed: int, space: Workspace) -> DataFrame:
+    """``slot, shard, sid, i``: which source's how-manieth slot each output slot is.
+
+    A source gives no more than its passes; slots beyond go to the sources that have drawn fewer than their targets ask for.
+    """
+    drawn = space.save(_drawn(quotas, n_shards, shard_slots, total, seed, space.spark), "drawn")
     counts = space.save(drawn.groupBy("shard", "sid").agg(F.count("*").alias("n")), "counts")
     bases = before(counts, ["sid"], F.expr(f"shard div {SCAN_ROWS}"), ["shard"], "n", "base")
     rank = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
@@ -165,45 +195,34 @@ def _slots(quotas: DataFrame, n_slots: int, shard_slots: int, seed: int, space:
         bases.select("shard", "sid", "base"), ["shard", "sid"]
     ).select("slot", "shard", "sid", (F.col("base") + F.col("rank")).alias("i"))
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    balance = quotas.select("sid", "own").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    balance = _running(balance, F.greatest(F.col("got") - F.col("own"), F.lit(0)), "over_base")
-    balance = space.save(_running(balance, F.greatest(F.col("own") - F.col("got"), F.lit(0)), "lo"), "balance")
-    known = ranked.join(balance.select("sid", "own", "over_base"), "sid")
-    kept = known.where("i < own").select("slot", "shard", "sid", "i")
-    over = known.where("i >= own").select(
-        "slot", "shard", (F.col("over_base") + F.col("i") - F.col("own")).alias("x")
+    balance = quotas.select("sid", "most", "asked").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    over, lack = F.greatest(F.col("got") - F.col("most"), F.lit(0)), F.greatest(F.least("asked", "most") - F.col("got"), F.lit(0))
+    balance = balance.withColumns({"over": over, "lack": lack})
+    balance = space.save(_running(_running(balance, F.col("over"), "over_lo"), F.col("lack"), "lo"), "balance")
+    known = ranked.join(balance.select("sid", "most", "over_lo"), "sid")
+    kept = known.where("i < most").select("slot", "shard", "sid", "i")
+    beyond = known.where("i >= most").select(
+        "slot", "shard", (F.col("over_lo") + F.col("i") - F.col("most")).alias("x")
     )
-    lacking = balance.where("own > got").select("sid", "lo", (F.col("own") - F.col("got")).alias("n"), "got")
-    n_over = balance.agg(F.sum(F.greatest(F.col("own") - F.col("got"), F.lit(0)))).first()[0] or 0
-    moved = in_interval(over, "x", lacking, n_over).select(
+    lacking = balance.where("lack > 0").select("sid", "lo", F.col("lack").alias("n"), "got")
+    n_lacking = balance.agg(F.coalesce(F.sum("lack"), F.lit(0))).first()[0]
+    moved = in_interval(beyond, "x", lacking, n_lacking).select(
         "slot", "shard", "sid", (F.col("got") + F.col("x") - F.col("lo")).alias("i")
     )
     return kept.union(moved)
 
 
 def _uses(slots: DataFrame, quotas: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """``slot, shard, sid, block, used``: the words each slot takes, from its block's start.
-
-    The permutation is of the full blocks; a shorter last block closes every pass.
-    """
-    known = slots.join(quotas, "sid").withColumns(
+    """``slot, shard, sid, block, used``: the block each slot takes, and its words."""
+    known = slots.join(quotas.select("sid", "blocks", "source_size"), "sid").withColumns(
         {"pass": F.expr("i div blocks"), "j": F.expr("i % blocks")}
     )
-    block = F.when(
-        F.col("j") < F.col("full_blocks"),
-        permuted(F.col("j"), F.col("full_blocks"), F.xxhash64(F.lit(seed), "sid", "pass")),
-    ).otherwise(F.col("j"))
-    length = F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words)
-    rest = F.greatest(F.least(F.col("rest") - F.col("j") * block_words, F.col("length")), F.lit(0))
-    return (
-        known.withColumn("block", block)
-        .withColumn("length", length)
-        .withColumn("used", F.when(F.col("pass") < F.col("passes"), F.col("length")).otherwise(rest))
-        .select("slot", "shard", "sid", "block", "length", "used")
-    )
+    block = permuted(F.col("j"), F.col("blocks"), F.xxhash64(F.lit(seed), "sid", "pass"))
+    length = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words)
+    return known.withColumn("block", block).select("slot", "shard", "sid", "block", length.alias("used"))
 
 
-def mix(
+def _mixed(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -213,83 +232,96 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """Documents ``id, text_id, source, size, source_size, target, taken`` and the slots.
-
-    Slots are ``slot, shard, source, block, used``. A row of ``docs`` is a document, repeated rows
-    are several. Sizes count words, null texts have none; documents without words take part with
-    ``taken`` 0. Sums of ``taken`` equal the targets to within half a word, and no document
-    is taken more than ``max_repeat`` times. All draws are hashes, so reruns agree. A source
-    without words has target 0; an empty table gives empty results.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their places, rows of the shards, and slots, as ``mix`` and ``mixed_documents`` use them."""
     space = Workspace(docs.sparkSession)
     sized = space.save(
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), whole(text_col).alias("t"))
         .select("id", "source", text_hash(F.col("t")).alias("text_id"), F.size(words(F.col("t"))).cast("long").alias("size")),
         "sized",
     )
-    quotas = space.save(_quotas(source_targets(sized, weights, max_repeat), block_words), "quotas")
-    n_slots, n_docs = quotas.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0], sized.count()
-    slots = _slots(quotas, n_slots, shard_slots, seed, space)
+    quotas = space.save(_quotas(source_targets(sized, weights, max_repeat), block_words, max_repeat), "quotas")
+    total = quotas.agg(F.coalesce(F.sum("share"), F.lit(0))).first()[0]
+    n_slots, n_docs = -(-total // FINE), sized.count()
+    # Equal shards: a short one would have no whole parts of its own.
+    n_shards = -(-n_slots // shard_slots)
+    shard_slots = -(-n_slots // max(1, n_shards))
+    slots = _slots(quotas, n_shards, max(1, shard_slots), total, seed, space)
     uses = space.save(_uses(slots, quotas, block_words, seed), "uses")
-    by_block = uses.groupBy("sid", "block").agg(
-        F.sum((F.col("used") == F.col("length")).cast("long")).alias("whole"),
-        F.max(F.when(F.col("used") < F.col("length"), F.col("used")).otherwise(F.lit(0))).alias("part"),
-    )
     bits = max(0, (n_docs // SCAN_ROWS).bit_length())
     known = sized.join(
         quotas.select("sid", F.col("source").alias("_source"), "source_size", "target"),
         F.col("source").eqNullSafe(F.col("_source")),
-    )
+    ).drop("_source")
     placed = known.where("size > 0").withColumn("h", F.xxhash64(F.lit(seed), "id", "text_id"))
     stretch = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    placed = before(placed, ["sid"], stretch, ["h", "id", "text_id"], "size", "start")
+    placed = space.save(before(placed, ["sid"], stretch, ["h", "id", "text_id"], "size", "start").drop("h"), "placed")
     first, last = f"start div {block_words}", f"(start + size - 1) div {block_words}"
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.expr(first), F.expr(last)))).withColumns(
+    pieces = placed.select(
+        "sid", "start", "size", F.explode(F.sequence(F.expr(first), F.expr(last))).alias("block")
+    ).withColumns(
         {
             "lo": F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0)),
             "hi": F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)),
         }
     )
-    part = F.greatest(F.least("hi", "part") - F.col("lo"), F.lit(0))
-    taken = F.coalesce(F.col("whole") * (F.col("hi") - F.col("lo")) + part, F.lit(0))
-    names = ["id", "text_id", "source", "size", "source_size", "target"]
-    worded = (
-        pieces.join(by_block, ["sid", "block"], "left")
-        .groupBy(*names, "sid", "start")
-        .agg(F.sum(taken).alias("taken"))
-        .select(*names, "taken")
+    shards = space.save(
+        uses.join(pieces, ["sid", "block"]).select(
+            "shard",
+            "slot",
+            "sid",
+            "start",
+            (F.col("block") * block_words + F.col("lo") - F.col("start")).alias("from_word"),
+            (F.col("hi") - F.col("lo")).alias("n"),
+        ),
+        "shards",
     )
-    # Rows without words have no place of their own in the running sum, so equal ones must not be grouped.
-    mixed = worded.union(known.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
+    empty = known.where("size = 0").withColumn("start", F.lit(None).cast("long"))
     named = uses.join(quotas.select("sid", "source"), "sid").select("slot", "shard", "source", "block", "used")
-    return mixed, named
+    return placed.unionByName(empty), shards, named
+
+
+def mix(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Documents ``id, text_id, source, size, source_size, target, taken`` and the slots.
+
+    Slots are ``slot, shard, source, block, used``. A row of ``docs`` is a document, repeated rows
+    are several. Sizes count words, null texts have none; documents without words take part with
+    ``taken`` 0. ``taken`` is the number of a document's words in all shards. Its sums come near the targets: of a shard's
+    slots only those that the whole parts of the shares leave are drawn. No document
+    is taken more than ``max_repeat`` times. All draws are hashes, so reruns agree. A source
+    without words has target 0; an empty table gives empty results. Options are those of ``_mixed``.
+    """
+    placed, shards, slots = _mixed(docs, **options)
+    taken = shards.groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start")).agg(F.sum("n").alias("taken"))
+    # A row with words has a place of its own in its source's running sum; one without has none.
+    mixed = placed.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")), "left")
+    names = ["id", "text_id", "source", "size", "source_size", "target"]
+    return mixed.select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), slots
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` repeated as often as the mix takes them; columns stay.
 
-    A document is taken ``taken / size`` times; the fraction is rounded up or down by a hash, in
-    proportion, so sums stay near the targets and a document stays whole. Documents
-    without words have no place in the mix and go.
+    A document goes, as a whole, with each slot whose block holds its first word, so blocks and draws decide and sums stay
+    near the targets. Documents without words have no place in the mix and go.
     """
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    mixed, _ = mix(docs, text_col=text_col, **options)
-    seed = options.get("seed", SEED)
-    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "text_id"), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("taken") / F.col("size")) + (
-        F.col("taken") % F.col("size") / F.col("size") > chance
-    ).cast("int")
+    placed, shards, _ = _mixed(docs, text_col=text_col, **options)
+    begun = shards.where("from_word = 0").groupBy(F.col("sid").alias("_sid"), F.col("start").alias("_start"))
+    begun = begun.agg(F.count("*").cast("int").alias("times"))
     counted = (
-        mixed.where("size > 0")
-        .groupBy("id", "text_id", "source", "size")
-        .agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-        .withColumn("taken", F.col("taken") / F.col("rows"))
-        .select("id", "text_id", "source", times.cast("int").alias("times"))
-        .where("times > 0")
+        placed.where("start is not null")
+        .join(begun, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")), "left")
+        .groupBy("id", "text_id", "source")
+        .agg(F.coalesce(F.sum("times"), F.lit(0)).alias("all_times"), F.count("*").alias("rows"))
+        .where("all_times > 0")
     )
+    # Rows that agree in id, text and source share what they are taken together; a hash of the row's place shares the rest.
+    chance = F.pmod(F.xxhash64("place"), F.col("rows")) < F.col("all_times") % F.col("rows")
+    times = F.expr("all_times div rows") + chance.cast("long")
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.monotonically_increasing_id().alias("place"),
         F.col(id_col).alias("row_id"),
         F.col(source_col).cast("string").alias("row_source"),
         text_hash(whole(text_col)).alias("row_text"),
@@ -301,6 +333,8 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     )
     return (
         rows.join(counted, same)
-        .select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time"))
+        .select("row", times.alias("times"))
+        .where("times > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
         .select("row.*")
     )
