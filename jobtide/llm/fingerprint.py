@@ -10,6 +10,8 @@ similarity, so the share of equal samples estimates it.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.join(found, "n").select("row.*", "samples", as_text(F.col("samples")).alias("fingerprint"))
 
 
-def _stretch(id_: Column, cuts: list) -> Column:
+def _cuts_above(id_: Column, cuts: list) -> Column:
     """How many of the falling ``cuts`` lie above the id, by binary search; null ids come last."""
     bound = F.array(*(F.lit(c) for c in cuts))
     levels = len(cuts).bit_length()
@@ -118,7 +120,28 @@ def _stretch(id_: Column, cuts: list) -> Column:
         return F.when((ahead <= len(cuts)) & (F.get(bound, ahead - 1) > id_), ahead).otherwise(at)
 
     place = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step)
-    return F.when(id_.isNull(), F.lit(len(cuts))).otherwise(place)
+    return F.when(id_.isNull(), F.lit(len(cuts) + 1)).otherwise(place)
+
+
+def _stretch(points: list, n_null: int, size: int) -> tuple[Column, Column, Column]:
+    """The stretch of ``id, text_id``: between cuts of the id order; ids with many rows are cut by the text's hash.
+
+    A point of the id order that occurs several times is an id of as many stretches. Its rows come behind those of larger
+    ids, in the order of their hashes; rows without id come last.
+    """
+    number = Counter(points)
+    cuts = sorted(number, reverse=True)
+    bits = [(number[c] - 1).bit_length() for c in cuts] + [0]
+    hot = F.array(*(F.lit(b) for b in bits))
+    place = _cuts_above(F.col("id"), cuts) if cuts else F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.lit(0))
+    own = F.get(F.array(*(F.lit(c) for c in cuts)), place) if cuts else F.lit(None).cast("long")
+    null_bits = F.lit((n_null // size).bit_length())
+    cut = F.when(F.col("id").isNull(), null_bits).when(F.col("id") == own, F.get(hot, place)).otherwise(F.lit(0))
+    # The hash's leading bits, in the order of signed numbers.
+    lead = F.expr("shiftrightunsigned(text_id ^ (-9223372036854775807L - 1L), 64 - _bits)")
+    within = F.when(F.col("_bits") > 0, lead).otherwise(F.lit(0))
+    behind = F.when((F.col("id") == own) & (F.col("_bits") > 0), F.lit(1)).otherwise(F.lit(0))
+    return place, cut, (F.col("_place") * 2 + behind) * F.lit(1 << 40) + within
 
 
 def edited_neighbours(
@@ -131,34 +154,45 @@ def edited_neighbours(
     come last, rows of one id are ordered by text hash and text. The edited text has
     its last third replaced by as many code points from the start of the next text. A single document is its own
     next; an empty table gives an empty one. Documents are ordered within
-    stretches of the id order; only the border of a stretch looks up the first document of the next.
+    stretches of the id order, ids with many rows and rows without id within stretches of their hashes; only the border of a
+    stretch looks up the first document of the next.
     """
     space = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("t"))
-    n_docs = rows.count()
+    n_docs, n_null = rows.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
     n = min(max(1, n_docs // STRETCH_DOCS), MAX_STRETCHES)
     points = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10 * n)).first()[0]
-    cuts = sorted({p for p in points or [] if p is not None}, reverse=True)
-    keyed = rows.withColumns(
-        {"s": _stretch(F.col("id"), cuts) if cuts else F.lit(0), "text_id": text_hash(F.col("t"))}
+    place, bits, stretch = _stretch([p for p in points or [] if p is not None], n_null, max(STRETCH_DOCS, n_docs // n))
+    keyed = (
+        rows.withColumn("text_id", text_hash(F.col("t")))
+        .withColumns({"_place": place.cast("long"), "_bits": bits})
+        .withColumn("s", stretch)
+        .select("id", "t", "text_id", "s")
     )
     order = [F.col("id").desc_nulls_last(), "text_id", "t"]
     inside = Window.partitionBy("s").orderBy(*order)
 
-    def after(firsts: DataFrame, name: str) -> DataFrame:
-        """For every stretch what the next one begins with; the last is followed by the first."""
-        along = Window.orderBy("s")
-        every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return firsts.select("s", F.coalesce(F.lead(name).over(along), F.first(name).over(every)).alias("ahead"))
-
-    # A stored table of one row for each stretch: Spark knows its size and need not shuffle the texts.
-    heads = space.save(keyed.groupBy("s").agg(F.max("id").alias("head")), "heads")
+    # One row for each stretch, without texts: where it begins, and which stretch it is behind.
+    first = F.max(F.struct("id", F.bitwise_not("text_id").alias("mirrored"))).alias("head")
+    along = Window.orderBy("s")
+    every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = space.save(keyed.groupBy("s").agg(first), "heads")
+    heads = space.save(
+        heads.select(
+            F.col("s").alias("hs"),
+            F.col("head.id").alias("head_id"),
+            F.bitwise_not("head.mirrored").alias("head_text"),
+            F.coalesce(F.lag("s").over(along), F.last("s").over(every)).alias("behind"),
+        ),
+        "borders",
+    )
+    at_head = (F.col("s") == F.col("hs")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.col("text_id") == F.col("head_text"))
     border = (
-        keyed.join(heads.withColumnRenamed("s", "hs"), (F.col("s") == F.col("hs")) & F.col("id").eqNullSafe(F.col("head")))
+        keyed.join(heads, at_head)
         .withColumn("k", F.row_number().over(inside))
         .where("k = 1")
+        .select(F.col("behind").alias("s"), F.col("t").alias("ahead"))
     )
-    border = after(border.select("s", "t"), "t")
     third = F.expr("n_chars div 3").cast("int")
     edited = (
         keyed.select("s", "id", "t", F.row_number().over(inside).alias("k"), F.lead("t").over(inside).alias("next"))
@@ -181,7 +215,7 @@ def edited_neighbours(
     own, other = found.where("which = 0"), found.where("which = 1").select("s", "k", F.col("samples").alias("edited"))
     joined = own.join(other, ["s", "k"])
     along = Window.partitionBy("s").orderBy("k")
-    ahead = after(own.where("k = 1").select("s", "samples"), "samples")
+    ahead = own.where("k = 1").join(heads, F.col("s") == F.col("hs")).select(F.col("behind").alias("s"), F.col("samples").alias("ahead"))
     return (
         joined.withColumn("next", F.lead("samples").over(along))
         .join(ahead, "s")
