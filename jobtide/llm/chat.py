@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.batches import bound_batches
@@ -75,9 +75,9 @@ class Flattener:
         self._attach("document", part)
 
 
-def format_turn(role: str | None, parts: list[dict] | None) -> dict:
+def format_turn(role: str | None, parts: list[dict] | None, first_attachment: int = 0) -> dict:
     """One turn's text, the span of its content, whether it is trained on, and its attachments."""
-    seen = Flattener()
+    seen = Flattener(first_attachment)
     for part in parts or []:
         seen.visit(part)
     head, body = f"<turn {_escape_role(role or '')}>", "".join(seen.pieces)
@@ -149,16 +149,17 @@ TURN_SCHEMA = (
 )
 
 
-def turn(role: Column, parts: Column) -> Column:
+def turn(role: Column, parts: Column, first_attachment: Column | None = None) -> Column:
     """A struct of the formatted turn; a function of one row, whatever the conversation's size."""
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for roles, contents in batches:
-            found = [format_turn(r, p) for r, p in zip(roles.to_pylist(), contents.to_pylist(), strict=True)]
-            yield pa.array(found, TURN_TYPE)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            rows = zip(*(c.to_pylist() for c in columns), strict=True)
+            yield pa.array([format_turn(r, p, f or 0) for r, p, f in rows], TURN_TYPE)
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, TURN_SCHEMA)(role, parts)
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    first = F.lit(0).cast("long") if first_attachment is None else first_attachment
+    return F.arrow_udf(run, TURN_SCHEMA)(role, parts, first)
 
 
 def text_parts(text: Column) -> Column:
@@ -172,14 +173,35 @@ def text_parts(text: Column) -> Column:
     return F.array(part).cast(PARTS_TYPE)
 
 
-def format_turns(turns: DataFrame, role_col: str = "role", parts_col: str = "parts") -> DataFrame:
+def first_attachments(turns: DataFrame, id_col: str, turn_col: str, role_col: str, parts_col: str) -> DataFrame:
+    """All rows and columns, with ``_first``: how many attachments the turns before have in their conversation.
+
+    Rows of one turn number follow each other by role and content, rows that agree in all in any order.
+    """
+    number = F.size(F.filter(F.coalesce(parts_col, F.array().cast(PARTS_TYPE)), lambda p: F.coalesce(p["type"], F.lit("text")) != "text"))
+    along = Window.partitionBy(id_col).orderBy(turn_col, role_col, F.xxhash64(F.to_json(F.col(parts_col)), F.lit(0)))
+    before = F.sum(F.col("_number")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return turns.withColumn("_number", number.cast("long")).withColumn("_first", F.coalesce(before, F.lit(0))).drop("_number")
+
+
+def format_turns(
+    turns: DataFrame,
+    role_col: str = "role",
+    parts_col: str = "parts",
+    id_col: str | None = None,
+    turn_col: str = "turn",
+) -> DataFrame:
     """All rows and columns, with the formatted turn's columns in place of any of those names.
 
-    Attachment numbers and spans count from the turn's start. A null list of parts is an empty turn, a
+    With ``id_col`` attachments are numbered along the conversation, so that no two of it share a placeholder; else from
+    the turn's start, as are spans. A null list of parts is an empty turn, a
     part without type is text, an unknown type raises. A null role is an empty one.
     """
     bound_batches(turns.sparkSession)
-    found = turns.withColumn("_turn", turn(F.col(role_col), F.col(parts_col)))
+    first = None
+    if id_col is not None:
+        turns, first = first_attachments(turns, id_col, turn_col, role_col, parts_col), F.col("_first")
+    found = turns.withColumn("_turn", turn(F.col(role_col), F.col(parts_col), first)).drop("_first")
     names = TURN_TYPE.names
     return found.withColumns({n: F.col(f"_turn.{n}") for n in names}).drop("_turn")
 
@@ -247,7 +269,8 @@ def digest_conversations(
             F.col(turn_col).alias("turn"),
             F.col(role_col).alias("role"),
             F.col(parts_col).alias("parts"),
-        )
+        ),
+        id_col="conv_id",
     )
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return ordered.select(

@@ -32,8 +32,9 @@ LITERAL_MARK = 0x110000
 UNKNOWN_PENALTY = 10.0
 BASE = 0x9E3779B97F4A7C15
 FILTER_BITS = 18
-#: Longer words are searched one by one, with their matches found at all positions at once.
+#: Longer words are searched in windows of equal length that overlap, all windows of a word together.
 LONG_WORD = 64
+WINDOW, OVERLAP = 512, 128
 BATCH_ROWS = 4096
 BATCH_CHARS = 4 << 20
 
@@ -283,8 +284,45 @@ def _search(table: PieceTable, words: np.ndarray, borders: Borders | None) -> tu
     return tokens[order], np.bincount(owner, minlength=n)
 
 
+def _widths(table: PieceTable, tokens: np.ndarray) -> np.ndarray:
+    """Characters of tokens."""
+    known = np.maximum(tokens, 0)
+    return np.where(tokens < 0, 1, (table.points[known] > 0).sum(axis=1))
+
+
 def _search_long(table: PieceTable, word: np.ndarray, borders: Borders | None) -> np.ndarray:
-    """Tokens of one long word."""
+    """Tokens of one long word.
+
+    With a merge model, whether a sequence of pieces is the word's own shows in its neighbouring pairs. So the
+    tokens of two windows go together wherever both have the same piece in their overlap. Where they
+    have none, and for a model of scores, the word is searched character by character.
+    """
+    n, step = len(word), WINDOW - OVERLAP
+    if borders is None or n <= WINDOW:
+        return _search_steps(table, word, borders)
+    starts = np.arange(0, n - WINDOW + 1, step)
+    tokens, counts = _search(table, word[starts[:, None] + np.arange(WINDOW)], borders)
+    found = np.split(tokens, np.cumsum(counts)[:-1])
+    if starts[-1] + WINDOW < n:
+        starts = np.append(starts, n - WINDOW)
+        found.append(_search(table, word[None, n - WINDOW :], borders)[0])
+    out = [np.empty(0, np.int64)]
+    own, at = found[0], np.r_[0, np.cumsum(_widths(table, found[0]))]
+    for start, other in zip(starts[1:], found[1:], strict=True):
+        place = start + np.r_[0, np.cumsum(_widths(table, other))]
+        both, i, j = np.intersect1d(at[:-1], place[:-1], assume_unique=True, return_indices=True)
+        same = np.flatnonzero((own[i] == other[j]) & (own[i] >= 0))
+        if not len(same):
+            return _search_steps(table, word, borders)
+        # Far from the ends of both windows, where neither lacks what stands around it.
+        middle = same[len(same) // 2]
+        out.append(own[: i[middle]])
+        own, at = other[j[middle] :], place[j[middle] :]
+    return np.concatenate([*out, own])
+
+
+def _search_steps(table: PieceTable, word: np.ndarray, borders: Borders | None) -> np.ndarray:
+    """Tokens of one word, character by character."""
     n = len(word)
     prefix = np.r_[np.uint64(0), np.cumsum(_mixed(word) * _powers(BASE, n))]
     inverse = _powers(_INVERSE, n)
