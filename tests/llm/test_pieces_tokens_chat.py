@@ -69,8 +69,8 @@ def test_token_counts_match_the_library(spark, library, block):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(-5, None), (None, "no id"), (2**62 + 1, "big"), (-(2**63), "least"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     folder = Workspace(spark).path("t")
-    end = tokenfiles.write_token_files(docs, folder, queries.piece_model())
-    found = tokenfiles.numbered_counts(tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder, block), end))
+    end, filler = tokenfiles.write_token_files(docs, folder, queries.piece_model())
+    found = tokenfiles.numbered_counts(tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder, block), end, filler=filler))
     want = sorted((str(i), len(library.encode(t or ""))) for i, t in rows)
     assert sorted((str(r.doc_id), r.n_tokens) for r in found.collect()) == want
 
@@ -85,8 +85,8 @@ def test_files_that_end_without_a_mark(spark, tmp_path):
 
 def test_no_documents_no_tokens(spark, no_docs):
     folder = Workspace(spark).path("none")
-    end = tokenfiles.write_token_files(no_docs, folder, queries.piece_model())
-    assert tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder), end).count() == 0
+    end, filler = tokenfiles.write_token_files(no_docs, folder, queries.piece_model())
+    assert tokenfiles.count_documents(tokenfiles.read_blocks(spark, folder), end, filler=filler).count() == 0
 
 
 PARTS = [

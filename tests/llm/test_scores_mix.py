@@ -43,8 +43,8 @@ def test_language_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
 
 
 def test_kernel_counts_shared_n_grams():
-    symbols = langid.symbol_table(list("abc"))
-    seen = langid.presence(["ab", "abab", "", "a" * 3000], symbols)
+    seen, lettered = langid.presence(["ab", "abab", "", "a" * 3000], langid.symbol_table())
+    assert lettered.tolist() == [True, True, False, True]
     grams = lambda s: {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
     assert seen.sum(axis=1).tolist() == [len(grams(f" {t} ")) for t in ("ab", "abab", "", "a" * 3000)]
 
@@ -164,7 +164,9 @@ def test_mix_meets_its_targets(spark, odd_docs, odd_rows, no_docs, options):
         taken[r.source] += r.taken
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         assert 0 <= r.taken <= 3 * r.size
-    assert len(rows) == len(odd_rows) and all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
+    # Draws are off by about the root of their number.
+    width, shards = options.get("block_words", mixing.BLOCK_WORDS), 1 + slots.agg(F.max("shard")).first()[0]
+    assert len(rows) == len(odd_rows) and all(abs(taken[s] - want[s]) <= width * (2 + 3 * shards**0.5) for s in sizes)
     used = collections.Counter()
     for s in slots.collect():
         used[s.source] += s.used
