@@ -653,6 +653,21 @@ FROM a""",
     "metrics_stream": f"""WITH {N}, w AS ({FIVE_MINUTES}) SELECT * FROM w""",
     "runs_stream_dedup": f"""WITH {A} SELECT {RUN_COLUMNS}, {AS_OF} AS collected_at,
   CAST(period_start_time AS DATE) AS run_date FROM a""",
+    "failure_alerts_stream": f"""WITH {A},
+named AS (
+  SELECT f.*, 'job ' || c.event_id AS name,
+         row_number() OVER (PARTITION BY f.run_id ORDER BY c.ts DESC NULLS LAST, c.event_id DESC) AS nth
+  FROM (SELECT * FROM a WHERE result_state = 'FAILED') AS f
+  LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') AS c
+    ON f.job_id = 'job-' || c.user_id AND c.ts <= f.period_start_time AND c.ts >= f.period_start_time - INTERVAL '40 days'
+)
+SELECT 'job_failure_' || workspace_id || '_' || job_id || '_' || run_id || '_' || (epoch_us(period_start_time) // 1000)
+         || '_' || CAST(floor(epoch(period_start_time)) AS BIGINT) AS id,
+  workspace_id, job_id, coalesce(name, 'Job ' || job_id) AS job_name,
+  'Job ''' || coalesce(name, 'Job ' || job_id) || ''' has failed with error: '
+    || coalesce(nullif(state_message, ''), 'Unknown error') AS message,
+  period_start_time AS created_at, CAST(period_start_time AS DATE) AS alert_date
+FROM named WHERE nth = 1""",
     "alert_cooldown_stream": f"""WITH RECURSIVE {A},
 f AS (
   SELECT DISTINCT workspace_id, job_id, date_trunc('second', period_start_time) AS t

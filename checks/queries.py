@@ -35,6 +35,7 @@ from jobtide.sinks.alertlog import append_history, marked_alerts
 from jobtide.sinks.store import Store, shared_folder
 from jobtide.sources import testdata as td
 from jobtide.sources.probe import count_sources, probe_sources
+from jobtide.streaming.alerts import start_failure_alerts
 from jobtide.streaming.cooldown import start_cooldown
 from jobtide.streaming.metrics import start_metrics
 from jobtide.streaming.runs import start_runs
@@ -555,6 +556,18 @@ def runs_stream_dedup(spark, sf):
     return tidy(store.read("job_runs"))
 
 
+def failure_alerts_stream(spark, sf):
+    """Failures and metadata changes as two streams: every failure with the name of its time."""
+    place = shared_folder(spark)
+    store = Store(spark, folder=place)
+    events = _event_stream(spark, sf, place)
+    start_failure_alerts(
+        td.event_slices(events), td.event_changes(events), store, f"{place}/checkpoint", lateness=LATENESS, names_from="40 days"
+    ).awaitTermination()
+    alerts = store.read("failure_alerts").select("id", "workspace_id", "job_id", "job_name", "message", "created_at", "alert_date")
+    return tidy(alerts)
+
+
 def alert_cooldown_stream(spark, sf):
     place = shared_folder(spark)
     candidates = (
@@ -627,6 +640,7 @@ QUERIES = {
     "metrics_stream": metrics_stream,
     "runs_stream_dedup": runs_stream_dedup,
     "alert_cooldown_stream": alert_cooldown_stream,
+    "failure_alerts_stream": failure_alerts_stream,
 }
 
 

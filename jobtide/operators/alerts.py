@@ -57,6 +57,7 @@ def _alert_rows(
     metadata: Mapping[str, Column],
     created_at: Column,
     subject: Sequence[Column] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Alert columns over a frame that has the job keys and ``_name``.
 
@@ -81,6 +82,7 @@ def _alert_rows(
         "workspace_id",
         F.create_map(*pairs).alias("metadata"),
         F.col("_at").alias("created_at"),
+        *extra,
     )
 
 
@@ -134,6 +136,12 @@ def failure_alerts(
     else:
         dated = with_metadata_at(failed, changes, "period_start_time", ("name",), tie_break)
         named = dated.withColumn("_name", display_name(F.col("name"), F.col("job_id")))
+    created = F.col("period_start_time").cast("timestamp") if at_event_time else moment(as_of)
+    return failure_rows(named, rule, created)
+
+
+def failure_rows(named: DataFrame, rule: AlertRule, created_at: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """Alerts over failed slices that have the ``_name`` of their job, a batch or a stream; ``extra`` columns stay."""
     named = named.withColumn("_error", error_text(F.col("state_message")))
     return _alert_rows(
         named,
@@ -145,13 +153,12 @@ def failure_alerts(
             F.lit("Job '"), "_name", F.lit("' has failed with error: "), "_error"
         ),
         metadata={"error_message": F.col("_error"), "rule_threshold": F.lit(str(rule.threshold))},
-        created_at=F.col("period_start_time").cast("timestamp")
-        if at_event_time
-        else moment(as_of),
+        created_at=created_at,
         subject=[
             F.col("run_id"),
             F.unix_millis(F.col("period_start_time").cast("timestamp")),
         ],
+        extra=extra,
     )
 
 

@@ -37,8 +37,8 @@ ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND", "UNAB
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    """A session setting that catalog inserts take from nowhere else, then put back."""
+def session_setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what takes it from nowhere else, then put back."""
     before = spark.conf.get(key)
     spark.conf.set(key, value)
     try:
@@ -116,7 +116,7 @@ class Store:
         """
         counted, df = self._counted(df, table, partition_by)
         if self.database:
-            with _setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            with session_setting(self.spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
                 self._aligned(df, table).write.insertInto(self.name_of(table), overwrite=True)
         else:
             writer = df.write.format(self.fmt).mode("overwrite").partitionBy(*partition_by)

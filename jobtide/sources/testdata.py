@@ -82,6 +82,17 @@ def event_slices(events: DataFrame) -> DataFrame:
     return events.selectExpr("*", PLANNED_MS).selectExpr(*EVENT_SLICE_COLUMNS)
 
 
+def event_changes(events: DataFrame) -> DataFrame:
+    """Metadata changes from an events frame, batch or streaming: every signup renames the user's job."""
+    return events.where("event_type = 'signup'").selectExpr(
+        "concat('ws-', user_id % 3) AS workspace_id",
+        "concat('job-', user_id) AS job_id",
+        "ts AS change_time",
+        "event_id AS change_id",
+        "concat('job ', event_id) AS name",
+    )
+
+
 def run_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-slice runs: every event is one run of its user's job."""
     return event_slices(table(spark, sf_dir, "events"))

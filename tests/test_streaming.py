@@ -108,3 +108,52 @@ def test_cooldown_resumes_from_its_checkpoint(spark, tmp_path):
         start_cooldown(stream, out, cp, 30).awaitTermination()
     got = sorted(r.sent_at for r in spark.read.parquet(out).collect())
     assert got == [NOW, NOW + timedelta(minutes=40), NOW + timedelta(minutes=80)]
+
+
+def cooldown_state(spark, checkpoint):
+    from jobtide.streaming.cooldown import STATE
+
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", STATE).load(checkpoint)
+    return {tuple(r.key)[2]: r.value[0] for r in state.collect()}
+
+
+def test_cooldown_state_expires_and_late_candidates_stay_silent(spark, tmp_path):
+    at = lambda m: NOW + timedelta(minutes=m)
+    parts = [
+        [("t", "w", "j", at(0)), ("t", "w", "k", at(0))],
+        [("t", "w", "k", at(200))],
+        # Older than k's last alert, but not too late for the watermark.
+        [("t", "w", "k", at(190)), ("t", "w", "k", at(229))],
+        [("t", "w", "k", at(230))],
+    ]
+    frames = [spark.createDataFrame(p, CANDIDATE) for p in parts]
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    start_cooldown(feed(spark, frames, tmp_path), out, cp, 30, "1 hour").awaitTermination()
+    got = sorted((r.job_id, r.sent_at) for r in spark.read.parquet(out).collect())
+    assert got == [("j", at(0)), ("k", at(0)), ("k", at(200)), ("k", at(230))]
+    state = cooldown_state(spark, cp)
+    # The watermark has passed the end of j's silence long ago; k's goes on.
+    assert set(state) == {"k"}
+
+
+def test_streamed_failures_equal_the_batch_after_a_restart(spark, tmp_path):
+    from jobtide.operators.alerts import failure_alerts
+    from jobtide.streaming.alerts import start_failure_alerts
+
+    events = td.table(spark, SF, "events")
+    place, store = str(tmp_path / "in"), Store(spark, folder=shared_folder(spark))
+    for k, bound in enumerate(("ts < '2024-01-11'", "ts >= '2024-01-11' AND ts < '2024-01-21'", "ts >= '2024-01-21'")):
+        events.where(bound).coalesce(1).write.mode("append").parquet(place)
+        if k == 1:
+            # Delivered again, as after a failure of the source.
+            events.where("ts >= '2024-01-10' AND ts < '2024-01-11'").coalesce(1).write.mode("append").parquet(place)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        start_failure_alerts(
+            td.event_slices(stream), td.event_changes(stream), store, str(tmp_path / "cp"), lateness="20 days", names_from="40 days"
+        ).awaitTermination()
+    got = store.read("failure_alerts")
+    runs = td.event_slices(events)
+    want = failure_alerts(runs, None, at_event_time=True, changes=td.event_changes(events), tie_break=["change_id"])
+    names = ["id", "job_name", "title", "message", "severity"]
+    assert sorted(got.select(names).collect()) == sorted(want.select(names).collect()) and got.count() > 50
+    assert got.where("change_time is not null").count() > 10
