@@ -36,7 +36,7 @@ FILTER_BITS = 18
 LONG_WORD = 64
 WINDOW, OVERLAP = 512, 128
 BATCH_ROWS = 4096
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 3 << 20
 
 
 @dataclass
