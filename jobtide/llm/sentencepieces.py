@@ -35,8 +35,12 @@ FILTER_BITS = 18
 #: Longer words are searched in windows of equal length that overlap, all windows of a word together.
 LONG_WORD = 64
 WINDOW, OVERLAP = 512, 128
+#: Words of one length that advance together at most.
+TOGETHER = 1 << 14
 BATCH_ROWS = 4096
-BATCH_CHARS = 3 << 20
+BATCH_CHARS = 1 << 20
+#: Characters of the words whose ids a task keeps for its next batches.
+KNOWN_CHARS = 1 << 20
 
 
 @dataclass
@@ -50,6 +54,7 @@ class PieceTable:
     ids: np.ndarray
     scores: np.ndarray
     points: np.ndarray  # code points, padded with zeros
+    lengths: np.ndarray  # characters of every piece
     maybe: np.ndarray  # which leading bits of a hash occur
     max_length: int
     byte_ids: np.ndarray  # of every byte, or the unknown id 256 times
@@ -133,6 +138,7 @@ def load_pieces(path: str) -> PieceTable:
         # With merges any piece is better than an unknown character; the borders decide the rest.
         np.zeros(len(words)) if by_merges else np.array([score_of[p] for p in words]),
         points[order],
+        np.array([len(p) for p in words], np.int64),
         maybe,
         longest,
         byte_ids,
@@ -224,6 +230,70 @@ class Borders:
         return ok
 
 
+class KnownWords:
+    """Words already searched, with their ids, for the batches to come.
+
+    A word is found by its hash and compared character by character, so the ids do not depend on what
+    is kept. At most ``KNOWN_CHARS`` characters are: beyond them it begins anew with the latest words.
+    """
+
+    def __init__(self) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        none = np.empty(0, np.int64)
+        self.keys = np.empty(0, np.uint64)  # sorted
+        self.start, self.length, self.id_start, self.id_count = none, none, none, none
+        self.points, self.ids = np.empty(0, np.uint32), np.empty(0, np.int32)
+
+    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.keys, keys)
+        place[place == len(self.keys)] = 0
+        return place, self.keys[place] == keys
+
+    def find(
+        self, keys: np.ndarray, points: np.ndarray, start: np.ndarray, length: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are known, and their places here."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place, hit = self._place(keys)
+        rows = np.flatnonzero(hit & (self.length[place] == length))
+        if not len(rows):
+            return rows, rows
+        place, size = place[rows], length[rows]
+        same = points[_spread(start[rows], size)] == self.points[_spread(self.start[place], size)]
+        same = np.logical_and.reduceat(same, np.cumsum(size) - size)
+        return rows[same], place[same]
+
+    def add(
+        self,
+        keys: np.ndarray,
+        points: np.ndarray,
+        start: np.ndarray,
+        length: np.ndarray,
+        ids: np.ndarray,
+        id_start: np.ndarray,
+        id_count: np.ndarray,
+    ) -> None:
+        """Keep words of different hashes; one whose hash another word has is left out."""
+        if int(length.sum()) + len(self.points) > KNOWN_CHARS:
+            self._clear()
+        new = np.flatnonzero(np.cumsum(length) <= KNOWN_CHARS)
+        if len(self.keys):
+            new = new[~self._place(keys[new])[1]]
+        size, number = length[new], id_count[new]
+        merged = np.r_[self.keys, keys[new]]
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.start = np.r_[self.start, len(self.points) + np.cumsum(size) - size][order]
+        self.length = np.r_[self.length, size][order]
+        self.id_start = np.r_[self.id_start, len(self.ids) + np.cumsum(number) - number][order]
+        self.id_count = np.r_[self.id_count, number][order]
+        self.points = np.r_[self.points, points[_spread(start[new], size)]]
+        self.ids = np.r_[self.ids, ids[_spread(id_start[new], number)]]
+
+
 def _probe(table: PieceTable, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which hashes are those of pieces, and the places of these in the table."""
     rows = np.flatnonzero(table.maybe[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
@@ -242,35 +312,39 @@ def _search(table: PieceTable, words: np.ndarray, borders: Borders | None) -> tu
     prefix = np.zeros((length + 1, n), np.uint64)
     np.cumsum(_mixed(words.T) * _powers(BASE, length)[:, None], axis=0, out=prefix[1:])
     inverse = _powers(_INVERSE, length)
-    best = np.full((length + 1, n), -np.inf)
-    best[0] = 0
+    best = np.zeros((length + 1, n))
     width = np.ones((length + 1, n), np.int8)
     token = np.zeros((length + 1, n), np.int64)
+    letters, spelt = words.ravel(), table.points.ravel()
     for end in range(1, length + 1):
         best[end] = best[end - 1] + table.unknown_score
         token[end] = -1 - words[:, end - 1].astype(np.int64)
-        for size in range(min(table.max_length, end), 0, -1):
-            start = end - size
-            rows, place = _probe(table, (prefix[end] - prefix[start]) * inverse[start])
-            if not len(rows):
-                continue
-            exact = (table.points[place, :size] == words[rows, start:end]).all(axis=1)
-            if size < table.max_length:
-                exact &= table.points[place, size] == 0
-            if borders is not None:
-                before = token[start, rows]
-                exact &= np.isfinite(best[start, rows])
-                if start:
-                    open_ = np.flatnonzero(exact & (before >= 0))
-                    exact[open_] = borders(before[open_], place[open_])
-            rows, place = rows[exact], place[exact]
-            score = best[start, rows] + table.scores[place]
-            # A piece for the single character always replaces the unknown one.
-            better = (score > best[end, rows]) | ((size == 1) & (token[end, rows] < 0))
-            rows, place = rows[better], place[better]
-            best[end, rows] = score[better]
-            width[end, rows] = size
-            token[end, rows] = place
+        # All substrings that end here, the longest first, in one probe.
+        low = max(0, end - table.max_length)
+        found, place = _probe(table, ((prefix[end] - prefix[low:end]) * inverse[low:end, None]).ravel())
+        start, rows = np.divmod(found, n)
+        start += low
+        size = end - start
+        fits = np.flatnonzero(table.lengths[place] == size)
+        rows, place, start, size = rows[fits], place[fits], start[fits], size[fits]
+        if not len(rows):
+            continue
+        same = letters[_spread(rows * length + start, size)] == spelt[_spread(place * table.max_length, size)]
+        exact = np.logical_and.reduceat(same, np.cumsum(size) - size)
+        if borders is not None:
+            before = token[start, rows]
+            open_ = np.flatnonzero(exact & (start > 0) & (before >= 0))
+            exact[open_] = borders(before[open_], place[open_])
+        score = best[start, rows] + table.scores[place]
+        # A piece for the single character always replaces the unknown one.
+        kept = np.flatnonzero(exact & ((score > best[end, rows]) | (size == 1)))
+        rows, place, size, score = rows[kept], place[kept], size[kept], score[kept]
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, rows, score)
+        # Among equals the longest is written last.
+        won = np.flatnonzero(score == top[rows])[::-1]
+        rows = rows[won]
+        best[end, rows], width[end, rows], token[end, rows] = score[won], size[won], place[won]
     at = np.full(n, length)
     found, rows = [], np.arange(n)
     while len(rows):
@@ -388,9 +462,12 @@ def _with_bytes(tokens: np.ndarray, counts: np.ndarray, table: PieceTable) -> tu
     return out.astype(np.int32), np.bincount(owner, weights=repeat, minlength=len(counts)).astype(np.int64)
 
 
-def encode_batch(texts: list[str], table: PieceTable, borders: Borders | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and ``n + 1`` offsets. ``borders`` may be kept between batches."""
+def encode_batch(
+    texts: list[str], table: PieceTable, borders: Borders | None = None, known: KnownWords | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and ``n + 1`` offsets. ``borders`` and ``known`` may be kept between batches."""
     borders = borders or (Borders(table.merges) if table.merges else None)
+    known = KnownWords() if known is None else known
     spaced = [" " + t if t else "" for t in texts]
     lengths = np.array([len(t) for t in spaced], np.int64)
     points = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -405,39 +482,54 @@ def encode_batch(texts: list[str], table: PieceTable, borders: Borders | None =
     begins[1:] &= ~mark[:-1]
     begins[text_start[lengths > 0]] = True
     start = np.flatnonzero(begins)
+    word_of_text = np.searchsorted(start, np.r_[text_start, len(points)])
     length = np.diff(np.r_[start, len(points)])
     prefix = np.r_[np.uint64(0), np.cumsum(_mixed(points) * _powers(BASE, len(points)))]
     key = (prefix[start + length] - prefix[start]) * _powers(_INVERSE, len(points))[start]
     key ^= length.astype(np.uint64) * np.uint64(BASE)
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    if not (points == points[_spread(start[first[which]], length)]).all() or (length[first[which]] != length).any():
+    del prefix, mark, begins, literal
+    keys, first, which = np.unique(key, return_index=True, return_inverse=True)
+    apart = (points == points[_spread(start[first[which]], length)]).all() and (length[first[which]] == length).all()
+    if not apart:
         first = which = np.arange(len(start))  # two words of one hash: each word for itself
     start, length_of = start[first], length[first]
-    order = np.argsort(length_of, kind="stable")
-    tokens, counts = [], np.zeros(len(first), np.int64)
+    counts, begin = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    todo = np.ones(len(first), bool)
+    if apart:
+        rows, place = known.find(keys, points, start, length_of)
+        counts[rows], begin[rows], todo[rows] = known.id_count[place], known.id_start[place], False
+    todo = np.flatnonzero(todo)
+    flat = np.empty(0, np.int32)
+    if len(todo):
+        order = todo[np.argsort(length_of[todo], kind="stable")]
+        flat, counts[order] = _with_bytes(*_search_words(table, points, start[order], length_of[order], borders), table)
+        begin[order] = len(known.ids) + np.cumsum(counts[order]) - counts[order]
+    found = np.r_[known.ids, flat]
+    ids = found[_spread(begin[which], counts[which])]
+    if apart:
+        short = todo[length_of[todo] <= LONG_WORD]
+        known.add(keys[short], points, start[short], length_of[short], found, begin[short], counts[short])
+    return ids, np.r_[0, np.cumsum(counts[which])][word_of_text]
+
+
+def _search_words(
+    table: PieceTable, points: np.ndarray, start: np.ndarray, length: np.ndarray, borders: Borders | None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words in the order of their lengths, and each word's number; words of one length together."""
+    tokens, counts = [], []
     at = 0
-    while at < len(order):
-        size = int(length_of[order[at]])
+    while at < len(start):
+        size = int(length[at])
         if size > LONG_WORD:
-            found = _search_long(table, points[start[order[at]] : start[order[at]] + size], borders)
-            counts[order[at]] = len(found)
-            tokens.append(found)
-            at += 1
-            continue
-        stop = int(np.searchsorted(length_of[order], size, "right"))
-        group = order[at:stop]
-        found, number = _search(table, points[start[group][:, None] + np.arange(size)[None, :]], borders)
+            found = _search_long(table, points[start[at] : start[at] + size], borders)
+            number, stop = np.array([len(found)]), at + 1
+        else:
+            stop = min(int(np.searchsorted(length, size, "right")), at + TOGETHER)
+            found, number = _search(table, points[start[at:stop, None] + np.arange(size)], borders)
         tokens.append(found)
-        counts[group] = number
+        counts.append(number)
         at = stop
-    flat, sizes = _with_bytes(np.concatenate(tokens), counts[order], table)
-    counts[order] = sizes
-    begin = np.empty(len(first), np.int64)
-    begin[order] = np.cumsum(sizes) - sizes
-    ids = flat[_spread(begin[which], counts[which])]
-    ends = np.r_[0, np.cumsum(counts[which])]
-    word_of_text = np.searchsorted(np.flatnonzero(begins), np.r_[text_start, len(points)])
-    return ids, ends[word_of_text]
+    return np.concatenate(tokens), np.concatenate(counts)
 
 
 def decode_batch(ids: np.ndarray, offsets: np.ndarray, table: PieceTable) -> list[str]:
@@ -453,13 +545,16 @@ def decode_batch(ids: np.ndarray, offsets: np.ndarray, table: PieceTable) -> lis
     return out
 
 
-def _rows(batches: Iterator[pa.Array], table: PieceTable) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _rows(batches: Iterator[pa.Array], table: PieceTable) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each batch its parts: which texts are null, the ids of all, and offsets."""
     borders = Borders(table.merges) if table.merges else None
+    known = KnownWords()
     for texts in batches:
         parts = []
         for start, stop in pieces(texts, BATCH_ROWS, BATCH_CHARS):
-            part = texts[start:stop].to_pylist()
-            parts.append((part, *encode_batch([t or "" for t in part], table, borders)))
+            part = texts[start:stop]
+            found = encode_batch([t or "" for t in part.to_pylist()], table, borders, known)
+            parts.append((part.is_null().to_numpy(zero_copy_only=False), *found))
         yield parts
 
 
@@ -469,10 +564,8 @@ def encode(text: Column, table: PieceTable) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for parts in _rows(batches, table):
             arrays = [
-                pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(ids), mask=pa.array([t is None for t in part])
-                )
-                for part, ids, offsets in parts
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=pa.array(nulls))
+                for nulls, ids, offsets in parts
             ]
             yield pa.concat_arrays(arrays) if arrays else pa.array([], pa.list_(pa.int32()))
 

@@ -33,6 +33,31 @@ def test_ids_are_those_of_the_library(spark, table, library):
     assert encoded(texts, table) == library.encode(texts)
 
 
+@pytest.mark.parametrize("kept", [0, 500, 1 << 20])
+def test_kept_words_change_no_id(spark, table, library, monkeypatch, kept):
+    monkeypatch.setattr(sp, "KNOWN_CHARS", kept)
+    monkeypatch.setattr(sp, "TOGETHER", 7)
+    texts = TEXTS + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    known, found = sp.KnownWords(), []
+    for at in range(0, len(texts), 20):
+        ids, offsets = sp.encode_batch(texts[at : at + 20], table, known=known)
+        found += [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert len(known.points) == known.length.sum() <= kept
+    assert found == library.encode(texts)
+
+
+def test_a_word_with_the_hash_of_a_kept_one_is_not_taken_for_it():
+    known = sp.KnownWords()
+    points, one = np.array([65, 66, 65, 67], np.uint32), np.array([1])
+    key, at, size = np.array([9], np.uint64), np.array([0]), np.array([2])
+    known.add(key, points, at, size, np.array([5, 6], np.int32), at, one)
+    assert known.find(key, points, at, size)[0].tolist() == [0]
+    for start, length in ((2, 2), (0, 1)):
+        assert not len(known.find(key, points, np.array([start]), np.array([length]))[0])
+    known.add(key, points, np.array([2]), size, np.array([7], np.int32), at, one)
+    assert known.ids.tolist() == [5] and known.length.tolist() == [2]
+
+
 def test_a_literal_mark_comes_back(table):
     text = "▁ a▁b ▁▁"
     ids, offsets = sp.encode_batch([text], table)
