@@ -37,6 +37,7 @@ from jobtide.sources import testdata as td
 from jobtide.sources.probe import count_sources, probe_sources
 from jobtide.streaming.alerts import start_failure_alerts
 from jobtide.streaming.cooldown import start_cooldown
+from jobtide.streaming.counts import batch_counts, batch_log
 from jobtide.streaming.metrics import start_metrics
 from jobtide.streaming.runs import start_runs
 
@@ -520,15 +521,15 @@ def collection_run_log(spark, sf):
     )
 
 
-def _event_stream(spark, sf, place):
-    """The events written quarter by quarter of their time, and read file by file.
+def _event_stream(spark, sf, place, quarters=range(4)):
+    """The events, or some quarters of them, written quarter by quarter of their time, and read file by file.
 
     Several micro-batches come of it; a quarter is shorter than the streams' lateness.
     """
     events = td.table(spark, sf, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     step = (last - first) / 4
-    for k in range(4):
+    for k in quarters:
         part = F.col("ts") >= F.lit(first + k * step).cast("timestamp_ntz")
         if k < 3:
             part &= F.col("ts") < F.lit(first + (k + 1) * step).cast("timestamp_ntz")
@@ -568,10 +569,9 @@ def failure_alerts_stream(spark, sf):
     return tidy(alerts)
 
 
-def alert_cooldown_stream(spark, sf):
-    place = shared_folder(spark)
-    candidates = (
-        td.event_slices(_event_stream(spark, sf, place))
+def _failures(events):
+    return (
+        td.event_slices(events)
         .where("result_state = 'FAILED'")
         .select(
             F.lit("job_failure").alias("alert_type"),
@@ -580,12 +580,40 @@ def alert_cooldown_stream(spark, sf):
             F.col("period_start_time").alias("created_at"),
         )
     )
+
+
+def alert_cooldown_stream(spark, sf):
+    place = shared_folder(spark)
+    candidates = _failures(_event_stream(spark, sf, place))
     start_cooldown(
         candidates, f"{place}/out", f"{place}/checkpoint", COOLDOWN_MINUTES, LATENESS
     ).awaitTermination()
     return tidy(spark.read.parquet(f"{place}/out"))
 
 
+def stream_batch_counts(spark, sf):
+    """Alerts sent as the run log counts them by micro-batch, over a restart, beside the rows of the table."""
+    place = shared_folder(spark)
+    store = Store(spark, folder=place)
+    with batch_log(store) as log:
+        for quarters in (range(2), range(2, 4)):
+            candidates = _failures(_event_stream(spark, sf, place, quarters))
+            query = start_cooldown(
+                candidates, f"{place}/out", f"{place}/checkpoint", COOLDOWN_MINUTES, LATENESS
+            )
+            query.awaitTermination()
+            log.wait_for(query)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    logged = batch_counts(store.read("pipeline_runs")).select(
+        F.col("table").alias("name"), F.col("row_count").alias("rows_logged"), zero.alias("rows_stored")
+    )
+    stored = spark.read.parquet(f"{place}/out").select(
+        F.lit("alerts_sent").alias("name"), zero.alias("rows_logged"), one.alias("rows_stored")
+    )
+    sums = [F.sum(c).alias(c) for c in ("rows_logged", "rows_stored")]
+    return logged.unionByName(stored).groupBy("name").agg(*sums)
+
+
 QUERIES = {
     "jobs_latest": jobs_latest,
     "jobs_latest_midway": jobs_latest_midway,
@@ -641,6 +669,7 @@ QUERIES = {
     "runs_stream_dedup": runs_stream_dedup,
     "alert_cooldown_stream": alert_cooldown_stream,
     "failure_alerts_stream": failure_alerts_stream,
+    "stream_batch_counts": stream_batch_counts,
 }
 
 

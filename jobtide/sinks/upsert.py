@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -18,6 +18,8 @@ from jobtide.sinks.store import Store
 
 #: What tells versions of one slice apart, the later one last.
 VERSION = ("period_end_time", "collected_at")
+#: Partitions that the scan of the old rows is given by name; more of them are found by a join.
+NAMED_PARTITIONS = 366
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -42,6 +44,21 @@ def upsert_copy(
     return store.write(upserted(store.read(table), new, keys), target)
 
 
+def _one_of(column: str, values: Sequence) -> Column:
+    """Whether a column has one of the values, null among them; a filter that prunes partitions."""
+    found = F.coalesce(F.col(column).isin([v for v in values if v is not None]), F.lit(False))
+    return found | F.col(column).isNull() if None in values else found
+
+
+def _touched_rows(old: DataFrame, touched: DataFrame, partition: str) -> DataFrame:
+    """Rows of any number of partitions: first and last prune the scan, a semi join leaves out those between."""
+    first, last = touched.agg(F.min(partition), F.max(partition)).first()
+    between = F.col(partition).between(F.lit(first), F.lit(last))
+    old = old.where(F.coalesce(between, F.col(partition).isNull()))
+    dates = touched.select(F.col(partition).alias("_date"))
+    return old.join(dates, old[partition].eqNullSafe(dates["_date"]), "left_semi")
+
+
 def upsert_partitions(
     store: Store,
     table: str,
@@ -53,22 +70,20 @@ def upsert_partitions(
     """Upsert ``new`` into a stored, date-partitioned table, rewriting touched dates only.
 
     ``partition`` must follow from ``keys``, so that both versions of a row share a
-    partition. ``new`` is computed once, into the workspace's memory and disk. Its first and
-    last date prune the scan of the old rows; of those between, dates without new rows are
-    left out by a semi join. With ``version`` columns the later of both versions of a row
+    partition. ``new`` is computed once, into the workspace's memory and disk, and only the
+    partitions it has rows for are read. With ``version`` columns the later of both versions of a row
     stays, by these columns in order, nulls first; of equal ones the new row.
     """
     kept = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first, last, missing = kept.agg(
-            F.min(partition), F.max(partition), F.count_if(F.col(partition).isNull())
-        ).first()
-        if first is None and not missing:
+        touched = kept.select(partition).distinct()
+        named = [row[0] for row in touched.limit(NAMED_PARTITIONS + 1).collect()]
+        if not named:
             return 0
-        between = F.col(partition).between(F.lit(first), F.lit(last))
-        old = store.read(table).where(F.coalesce(between, F.col(partition).isNull()))
-        dates = kept.select(F.col(partition).alias("_date")).distinct()
-        old = old.join(dates, old[partition].eqNullSafe(dates["_date"]), "left_semi")
+        if len(named) <= NAMED_PARTITIONS:
+            old = store.read(table).where(_one_of(partition, named))
+        else:
+            old = _touched_rows(store.read(table), touched, partition)
         if not version:
             return store.replace_partitions(upserted(old, kept, keys), table, [partition])
         both = old.withColumn("_new", F.lit(0)).unionByName(

@@ -11,6 +11,7 @@ from jobtide.operators.jobs import latest_per_key
 from jobtide.schemas import JOB_KEYS
 from jobtide.sinks.store import Store
 from jobtide.sinks.upsert import upsert_partitions
+from jobtide.streaming.counts import counted
 
 #: Which of two versions of an alert is the later: that of the later change.
 VERSION = ("change_time", "change_id")
@@ -75,7 +76,7 @@ def start_failure_alerts(
             upsert_partitions(store, table, fresh, ["id"], "alert_date", VERSION)
 
     return (
-        named_failures(slices, changes, lateness, names_from)
+        counted(named_failures(slices, changes, lateness, names_from), table)
         .writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from jobtide.operators.limits import ALERT_SUBJECT, COOLDOWN_MINUTES
 from jobtide.sinks.store import session_setting
+from jobtide.streaming.counts import counted
 
 # The processor below reaches the Python workers whole: they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -99,7 +100,7 @@ def start_cooldown(
 ):
     """Write the alerts to send to parquet files, exactly once; the running query."""
     writer = (
-        stream_cooldown(candidates, minutes, lateness)
+        counted(stream_cooldown(candidates, minutes, lateness), "alerts_sent")
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", output)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobtide.operators.metrics import window_metrics
 from jobtide.sinks.store import Store
 from jobtide.sinks.upsert import upsert_partitions
+from jobtide.streaming.counts import counted
 
 
 def stream_metrics(
@@ -48,7 +49,7 @@ def start_metrics(
             upsert_partitions(store, table, changed, WINDOW_KEYS, "day")
 
     return (
-        stream_metrics(samples, width, lateness)
+        counted(stream_metrics(samples, width, lateness), table)
         .writeStream.outputMode("update")
         .foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)

@@ -10,6 +10,7 @@ from jobtide.operators.runs import project_runs
 from jobtide.schemas import SLICE_KEYS
 from jobtide.sinks.store import Store
 from jobtide.sinks.upsert import VERSION, upsert_runs
+from jobtide.streaming.counts import counted
 
 
 def start_runs(
@@ -28,15 +29,10 @@ def start_runs(
     """
 
     def absorb(batch: DataFrame, _batch_id: int) -> None:
-        fresh = latest_per_key(batch, SLICE_KEYS, VERSION).persist()
-        try:
-            if not fresh.isEmpty():
-                upsert_runs(store, fresh, table, VERSION)
-        finally:
-            fresh.unpersist()
+        upsert_runs(store, latest_per_key(batch, SLICE_KEYS, VERSION), table, VERSION)
 
     return (
-        project_runs(slices, as_of)
+        counted(project_runs(slices, as_of), table)
         .writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))

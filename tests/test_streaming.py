@@ -1,14 +1,17 @@
 import random
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pytest
 from conftest import NOW, SF
 from pyspark.sql import functions as F
 
 from jobtide.operators.metrics import window_metrics
+from jobtide.sinks import upsert
+from jobtide.sinks.runlog import run_log_rows, run_record
 from jobtide.sinks.store import Store, shared_folder
 from jobtide.sources import testdata as td
 from jobtide.streaming.cooldown import start_cooldown
+from jobtide.streaming.counts import batch_counts, batch_log
 from jobtide.streaming.metrics import start_metrics
 from jobtide.streaming.runs import start_runs
 
@@ -157,3 +160,55 @@ def test_streamed_failures_equal_the_batch_after_a_restart(spark, tmp_path):
     names = ["id", "job_name", "title", "message", "severity"]
     assert sorted(got.select(names).collect()) == sorted(want.select(names).collect()) and got.count() > 50
     assert got.where("change_time is not null").count() > 10
+
+
+def test_run_log_counts_every_micro_batch_over_a_restart(spark, slices, tmp_path):
+    """Rows handed to an upsert, repeats too, and sent alerts; a query without a counter leaves no record."""
+    store = Store(spark, folder=shared_folder(spark))
+    parts = [
+        slices(("j1", "a", 3, 5, "SUCCESS"), ("j1", "b", 3, 5, "SUCCESS"), ("j1", "b", 3, 5, "SUCCESS")),
+        slices(("j1", "c", 2, 5, "SUCCESS")),
+        slices(("j1", "d", 1, 5, "SUCCESS"), ("j1", "a", 3, 5, "SUCCESS")),
+    ]
+    with batch_log(store) as log:
+        for some in (parts[:2], parts[2:]):
+            stream = feed(spark, some, tmp_path)
+            query = start_runs(stream, store, str(tmp_path / "cp"))
+            query.awaitTermination()
+            log.wait_for(query)
+        plain = stream.writeStream.format("noop").trigger(availableNow=True)
+        query = plain.option("checkpointLocation", str(tmp_path / "cp-plain")).start()
+        query.awaitTermination()
+        log.wait_for(query)
+    counts = batch_counts(store.read("pipeline_runs"))
+    assert sorted((r.batch, r.table, r.row_count) for r in counts.collect() if r.row_count) == [
+        (0, "job_runs", 3), (1, "job_runs", 1), (2, "job_runs", 2),
+    ]
+    assert counts.select("query_id").distinct().count() == 1
+    assert store.read("job_runs").count() == 4
+
+
+def test_batch_that_ran_again_counts_once(spark):
+    rows = [
+        run_record(
+            run_id="stream-q-7", status="completed", start_time=NOW, end_time=NOW + timedelta(minutes=m),
+            records_processed={"t": n},
+        )
+        for m, n in ((1, 5), (2, 6))
+    ]
+    rows.append(run_record(run_id="c", status="completed", start_time=NOW, end_time=NOW, records_processed={"t": 9}))
+    assert [tuple(r) for r in batch_counts(run_log_rows(spark, rows)).collect()] == [("q", 7, "t", 6)]
+
+
+@pytest.mark.parametrize("most", [1, 366])
+def test_touched_partitions_by_name_or_by_join(spark, monkeypatch, most):
+    """Both ways replace the same rows, null partitions among them."""
+    monkeypatch.setattr(upsert, "NAMED_PARTITIONS", most)
+    store = Store(spark, folder=shared_folder(spark))
+    schema = "k int, v int, day date"
+    old = [(1, 0, date(2024, 1, 1)), (2, 0, date(2024, 1, 2)), (3, 0, date(2024, 1, 3)), (4, 0, None)]
+    store.write(spark.createDataFrame(old, schema), "t", partition_by=["day"])
+    new = [(1, 1, date(2024, 1, 1)), (3, 1, date(2024, 1, 3)), (4, 1, None), (5, 1, date(2024, 1, 5))]
+    upsert.upsert_partitions(store, "t", spark.createDataFrame(new, schema), ["k"], "day")
+    assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 1)]
+    assert upsert.upsert_partitions(store, "t", spark.createDataFrame([], schema), ["k"], "day") == 0
