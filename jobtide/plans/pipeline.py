@@ -11,6 +11,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from jobtide.functions.clock import column_type, days_before, moment, within_calendar_days, within_days
 from jobtide.functions.scores import HEALTH_WEIGHTS
@@ -53,6 +54,10 @@ from jobtide.sinks.upsert import (
 )
 from jobtide.sources.probe import require_sources
 
+#: What a collection can do about late slices, and the name it counts them under.
+LATE_RUNS = ("count", "repair", "ignore")
+LATE = "late_slices"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -60,6 +65,9 @@ class Settings:
 
     ``components`` names the fixed parts of the health score that are computed instead: ``trend_analysis``,
     ``resource_utilization`` (which needs a source ``job_clusters``) and ``cost_efficiency``.
+    ``late_runs`` says what incremental runs without a change column do about slices of the window that came or changed
+    after the overlap: "count" them into the run record, "repair" the run table with them, or "ignore" them,
+    which saves a scan of the window.
     """
 
     collection_window_days: int = 30
@@ -86,12 +94,17 @@ class Settings:
     incremental_runs: bool = False
     overlap_days: int = 1
     changed_column: str | None = None
+    late_runs: str = "count"
     metrics_width: str | None = None
     rate_limits: bool = False
     cooldown_minutes: int = COOLDOWN_MINUTES
     max_per_hour: int = MAX_PER_HOUR
     max_per_day: int = MAX_PER_DAY
 
+    def __post_init__(self):
+        if self.late_runs not in LATE_RUNS:
+            raise ValueError(f"late_runs is {self.late_runs!r}, not one of {', '.join(LATE_RUNS)}")
+
 
 def require_utc(spark: SparkSession) -> None:
     """All moments are naive UTC; a session in another zone would shift every window."""
@@ -135,6 +148,11 @@ def collect_tables(
             store, slices, as_of, s.collection_window_days, s.overlap_days, s.changed_column
         )
         runs = stored_runs(store, as_of, s.collection_window_days)
+        if s.late_runs != "ignore" and not s.changed_column:
+            look = collect_late if s.late_runs == "repair" else late_slices
+            late = look(store, slices, as_of, s.overlap_days, s.collection_window_days)
+            runs = stored_runs(store, as_of, s.collection_window_days)
+            done[LATE] = (late, runs)
         done["job_runs"] = (rows, runs)
     else:
         window = job_runs(slices, as_of, s.collection_window_days)
@@ -269,7 +287,7 @@ def run_collection(
         status="completed",
         end_time=datetime.now(UTC),
         records_processed={t: rows for t, (rows, _) in done.items()},
-        tables_updated=[store.name_of(t) for t, (rows, _) in done.items() if rows],
+        tables_updated=[store.name_of(t) for t, (rows, _) in done.items() if rows and t != LATE],
         alerts_sent=sent,
     )
     append_run_log(store, record)
@@ -291,7 +309,7 @@ def collect_incremental(
     the latest version of each slice. With ``changed``, a column of the source that says when
     a row came or changed, the mark is of that column, which is stored along, and no late change is missed.
     Without it the mark is the latest start and reaches back ``overlap_days``; changes later than
-    that have to wait for ``late_slices`` to show them.
+    that are found by ``late_slices`` and brought in by ``collect_late``.
     """
     now = fixed_as_of(as_of)
     kept = [changed] if changed else []
@@ -358,15 +376,71 @@ def collect_costs(
     return upsert_partitions(store, table, monthly, [*JOB_KEYS, "usage_date"], "usage_month")
 
 
+def late_rows(
+    store: Store,
+    slices: DataFrame,
+    as_of=None,
+    overlap_days: int = 1,
+    days: int | None = None,
+    table: str = "job_runs",
+) -> DataFrame:
+    """Source slices older than the overlap that the stored table lacks, or has in an older version only.
+
+    A stored version is older if it ends earlier, or ends at the same moment without a state where the source has
+    one. Of several versions in the source the latest counts. ``days`` bounds the scan of both sides; without it they are
+    read from the first stored start on.
+    """
+    now = fixed_as_of(as_of)
+    mark = high_water_mark(store.read(table), partition="run_date", as_of=now)
+    if mark is None:
+        return slices.where(F.lit(False))
+    start = F.col("period_start_time")
+    older = slices.where(start < days_before(slices, "period_start_time", mark, overlap_days))
+    if days is None:
+        stored = store.read(table)
+        first = stored.agg(F.min("period_start_time")).first()[0]
+        older = older.where(start >= F.lit(first))
+    else:
+        stored = stored_runs(store, now, days, table)
+        older = older.where(within_days(older, "period_start_time", now, days))
+    older = latest_per_key(older, SLICE_KEYS, ["period_end_time", "result_state"])
+    known = stored.select(*(F.col(k).alias(f"_{k}") for k in (*SLICE_KEYS, "period_end_time", "result_state")))
+    same = reduce(and_, (older[k].eqNullSafe(known[f"_{k}"]) for k in SLICE_KEYS))
+    end, state = older["period_end_time"], older["result_state"]
+    finished = state.isNull() | known["_result_state"].isNotNull()
+    newer = (known["_period_end_time"] > end) | ((known["_period_end_time"] == end) & finished)
+    unfinished = end.isNull() & (known["_period_end_time"].isNotNull() | finished)
+    return older.join(known, same & F.coalesce(newer | unfinished, unfinished), "left_anti")
+
+
 def late_slices(
-    store: Store, slices: DataFrame, as_of=None, overlap_days: int = 1, table: str = "job_runs"
+    store: Store,
+    slices: DataFrame,
+    as_of=None,
+    overlap_days: int = 1,
+    days: int | None = None,
+    table: str = "job_runs",
 ) -> int:
-    """Source slices older than the overlap that the stored table lacks."""
-    mark = high_water_mark(store.read(table), partition="run_date", as_of=fixed_as_of(as_of))
-    older = slices.where(F.col("period_start_time") < days_before(slices, "period_start_time", mark, overlap_days))
-    stored = store.read(table)
-    first = stored.agg(F.min("period_start_time")).first()[0]
-    older = older.where(F.col("period_start_time") >= F.lit(first)).select(*SLICE_KEYS)
-    known = stored.select(*(F.col(k).alias(f"_{k}") for k in SLICE_KEYS))
-    same = reduce(and_, (older[k].eqNullSafe(known[f"_{k}"]) for k in SLICE_KEYS))
-    return older.join(known, same, "left_anti").count()
+    """How many source slices came or changed after the overlap had passed them; see ``late_rows``."""
+    return late_rows(store, slices, as_of, overlap_days, days, table).count()
+
+
+def collect_late(
+    store: Store,
+    slices: DataFrame,
+    as_of=None,
+    overlap_days: int = 1,
+    days: int | None = None,
+    table: str = "job_runs",
+) -> int:
+    """Bring the late slices into the run table too; how many there were."""
+    now = fixed_as_of(as_of)
+    late = project_runs(late_rows(store, slices, now, overlap_days, days, table), now)
+    late = late.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = late.count()
+        if rows:
+            upsert_runs(store, late, table, VERSION)
+        return rows
+    finally:
+        late.unpersist()

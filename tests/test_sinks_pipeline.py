@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.queries import tidy
 from jobtide.operators.baselines import job_baselines
 from jobtide.operators.runs import job_runs
-from jobtide.plans.pipeline import Settings, collect_incremental, late_slices, run_collection
+from jobtide.plans.pipeline import Settings, collect_incremental, collect_late, late_slices, run_collection
 from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
 from jobtide.schemas import SLICE_KEYS, TABLES
 from jobtide.sinks.runlog import append_run_log, run_record
@@ -218,6 +218,45 @@ def test_late_slices_are_counted(spark, store, slices):
     assert late_slices(store, late, AS_OF) == 1
 
 
+def test_late_changes_are_counted_and_repaired(spark, store, slices):
+    """Of old slices: one new, one longer, one with its state at last, one unchanged, one in an older version."""
+    first = slices(
+        ("j1", "same", 9, 1, "SUCCESS"), ("j1", "longer", 8, 1, "FAILED"), ("j1", "open", 7, 2, None),
+        ("j1", "old", 6, 9, "SUCCESS"), ("j1", "b", 1, 1, "SUCCESS"),
+    )
+    collect_incremental(store, first, AS_OF)
+    source = first.where("run_id <> 'old'").union(slices(
+        ("j1", "late", 5, 1, "FAILED"), ("j1", "longer", 8, 4, "SUCCESS"), ("j1", "open", 7, 2, "FAILED"),
+        ("j1", "old", 6, 3, None), ("j1", "late", 5, 1, "FAILED"),
+    ))
+    collect_incremental(store, source, AS_OF)
+    assert late_slices(store, source, AS_OF) == late_slices(store, source, AS_OF, days=30) == 3
+    assert late_slices(store, source, AS_OF, days=6) == 1
+    assert collect_late(store, source, AS_OF, days=30) == 3
+    assert late_slices(store, source, AS_OF) == collect_late(store, source, AS_OF) == 0
+    got = sorted((r.run_id, r.result_state, r.duration_ms // 60_000) for r in store.read("job_runs").collect())
+    assert got == [
+        ("b", "SUCCESS", 1), ("late", "FAILED", 1), ("longer", "SUCCESS", 4), ("old", "SUCCESS", 9),
+        ("open", "FAILED", 2), ("same", "SUCCESS", 1),
+    ]
+
+
+def test_collection_logs_late_slices(spark, store):
+    """Slices that only come after the first collection, earlier than its overlap; then the repair of them."""
+    late = "CAST(period_start_time AS DATE) = '2024-01-10'"
+    early = {**loaders(spark), "run_slices": lambda: td.run_slices(spark, SF).where(f"NOT {late}")}
+    n = td.run_slices(spark, SF).where(late).count()
+    found = []
+    for sources, way in ((early, "count"), (loaders(spark), "count"), (loaders(spark), "repair")):
+        settings = Settings(tie_break=["change_id"], incremental_runs=True, late_runs=way)
+        record = run_collection(store, sources, AS_OF, settings)
+        found.append(json.loads(record["records_processed"])["late_slices"])
+    assert found == [0, n, n] and n > 0
+    assert store.read("job_runs").where(late).count() == n
+    with pytest.raises(ValueError, match="late_runs"):
+        Settings(late_runs="all")
+
+
 def test_a_backfill_sees_nothing_later(spark):
     runs = job_runs(td.run_slices(spark, SF), "2024-01-15 00:00:00")
     assert runs.agg(F.max("period_start_time")).first()[0] <= datetime(2024, 1, 15)
