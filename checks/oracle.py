@@ -692,3 +692,6 @@ SELECT 'job_failure' AS alert_type, workspace_id, job_id, t AS sent_at FROM sent
 
 ORACLE["stream_batch_counts"] = f"""SELECT 'alerts_sent' AS name, count(*) AS rows_logged, count(*) AS rows_stored
 FROM ({ORACLE['alert_cooldown_stream']}) AS sent"""
+
+#: Late states end up where those that come in time do.
+ORACLE["runs_late_repaired"] = ORACLE["runs_upsert"]

@@ -28,6 +28,7 @@ from jobtide.plans.pipeline import (
     collect_costs,
     collect_duration_days,
     collect_incremental,
+    collect_late,
     run_collection,
 )
 from jobtide.plans.reports import recent_pipeline_runs, unhealthiest_jobs
@@ -486,6 +487,17 @@ def runs_upsert(spark, sf):
     return tidy(store.read("job_runs").drop("collected_at"))
 
 
+def runs_late_repaired(spark, sf):
+    """States of ten days that only come after the overlap has passed them, brought in as late slices."""
+    store = Store(spark, folder=shared_folder(spark))
+    slices = td.run_slices(spark, sf)
+    collect_incremental(store, _with_repeats(slices, "2024-01-10 00:00:00"), SNAPSHOT, 30)
+    whole = _with_repeats(slices, "2100-01-01 00:00:00")
+    collect_incremental(store, whole, AS_OF, overlap_days=0)
+    collect_late(store, whole, AS_OF, overlap_days=0, days=40)
+    return tidy(store.read("job_runs").drop("collected_at"))
+
+
 def _collection(spark, sf) -> Store:
     """A store with everything that one collection writes."""
     store = Store(spark, folder=shared_folder(spark))
@@ -665,6 +677,7 @@ QUERIES = {
     "run_costs": run_costs_query,
     "cost_efficiency": cost_efficiency_query,
     "runs_upsert": runs_upsert,
+    "runs_late_repaired": runs_late_repaired,
     "metrics_stream": metrics_stream,
     "runs_stream_dedup": runs_stream_dedup,
     "alert_cooldown_stream": alert_cooldown_stream,
