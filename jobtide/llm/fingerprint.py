@@ -55,22 +55,36 @@ def _value(h: Column, log_weight: Column, draw: int) -> Column:
     return F.ln(c) - r * (t - b + 1)
 
 
+def _least(terms: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """The least value of every draw, ``v0`` and on, over the terms ``h, log_weight`` of equal keys."""
+    return terms.groupBy(*keys).agg(
+        *(F.min(_value(F.col("h"), F.col("log_weight"), k)).alias(f"v{k}") for k in range(samples))
+    )
+
+
+def _small(values: list[Column]) -> Column:
+    """The samples of a text by the least values of its draws."""
+    return F.array(*(F.when(v.isNull(), F.lit(NO_WORDS)).otherwise(F.hash(v)) for v in values))
+
+
+def _starts(hashes: str) -> Column:
+    """Where runs of equal hashes start, and the end of the array: past it every element is null."""
+    at = F.sequence(F.lit(0), F.size(hashes))
+    return F.filter(at, lambda i: (i == 0) | ~F.get(hashes, i).eqNullSafe(F.get(hashes, i - 1)))
+
+
 def sample_texts(frame: DataFrame, keys: list[str], text: Column, samples: int = SAMPLES, width: int = SHINGLE) -> DataFrame:
     """``keys`` and ``samples``, an array of 32-bit hashes, for every row; ``keys`` tell rows apart.
 
     Shingles are counted within the row, over its sorted hashes; values and least values
     are made where the row is read, without a shuffle of shingles.
     """
-    # Where runs of equal hashes start, and the end of the array: past it every element is null.
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("hs")), lambda i: (i == 0) | ~F.get("hs", i).eqNullSafe(F.get("hs", i - 1))
-    )
     runs = F.when(F.size("hs") > 0, F.sequence(F.lit(0), F.size("starts") - 2))
     weight = F.get("starts", F.col("j") + 1) - F.get("starts", F.col("j"))
     terms = (
         frame.select(*keys, words(text).alias("w"))
         .select(*keys, _hashes(width).alias("hs"))
-        .select(*keys, "hs", starts.alias("starts"))
+        .select(*keys, "hs", _starts("hs").alias("starts"))
         .select(*keys, "hs", "starts", F.explode_outer(runs).alias("j"))
         .select(
             *keys,
@@ -78,13 +92,92 @@ def sample_texts(frame: DataFrame, keys: list[str], text: Column, samples: int =
             F.when(weight > 1, F.ln(weight.cast("double"))).otherwise(F.lit(0.0)).alias("log_weight"),
         )
     )
-    least = terms.groupBy(*keys).agg(
-        *(F.min(_value(F.col("h"), F.col("log_weight"), k)).alias(f"v{k}") for k in range(samples))
+    least = _least(terms, keys, samples)
+    return least.select(*keys, _small([F.col(f"v{k}") for k in range(samples)]).alias("samples"))
+
+
+def sample_pairs(
+    frame: DataFrame, keys: list[str], one: Column, two: Column, samples: int = SAMPLES, width: int = SHINGLE
+) -> DataFrame:
+    """As ``sample_texts`` for two texts of every row: ``keys``, ``samples`` and ``others``.
+
+    A shingle that both texts have once has its values made once. Others are terms of their own
+    text; the least values of these three kinds of terms are put together at the end.
+    """
+
+    both, first, second = 0, 1, 2
+    pair = ("1", "2")
+    no_hashes = F.array().cast("array<bigint>")
+
+    def often(x: str) -> Column:
+        """Hashes that a text has several times, with their numbers; most texts have none."""
+        place = F.sequence(F.lit(0), F.size(f"starts{x}") - 2)
+
+        def weight(j: Column) -> Column:
+            return F.get(f"starts{x}", j + 1) - F.get(f"starts{x}", j)
+
+        several = F.filter(place, lambda j: weight(j) > 1)
+        runs = F.transform(several, lambda j: F.struct(F.get(f"hs{x}", F.get(f"starts{x}", j)).alias("h"), weight(j).alias("n")))
+        return F.when(F.col(f"starts{x}").isNotNull(), runs)
+
+    def once(x: str) -> Column:
+        return F.when(F.col(f"often{x}").isNull(), F.col(f"hs{x}")).otherwise(F.array_except(f"hs{x}", F.col(f"often{x}.h")))
+
+    ends = [F.size("both"), F.size("both") + F.size("only1"), F.size("both") + F.size("only1") + F.size("only2")]
+    terms = (
+        frame.select(*keys, words(one).alias("w"), two.alias("_two"))
+        .select(*keys, _hashes(width).alias("hs1"), words(F.col("_two")).alias("w"))
+        .select(*keys, "hs1", _hashes(width).alias("hs2"))
+        .select(
+            *keys,
+            "hs1",
+            "hs2",
+            *(
+                F.when(F.size(F.array_distinct(f"hs{x}")) < F.size(f"hs{x}"), _starts(f"hs{x}")).alias(f"starts{x}")
+                for x in pair
+            ),
+        )
+        .select(*keys, "hs1", "hs2", *(often(x).alias(f"often{x}") for x in pair))
+        .select(*keys, "often1", "often2", *(once(x).alias(f"once{x}") for x in pair))
+        .select(
+            *keys,
+            "often1",
+            "often2",
+            F.array_intersect("once1", "once2").alias("both"),
+            F.array_except("once1", "once2").alias("only1"),
+            F.array_except("once2", "once1").alias("only2"),
+        )
+        .select(
+            *keys,
+            *(end.alias(f"end{k}") for k, end in enumerate(ends)),
+            (ends[2] + F.coalesce(F.size("often1.h"), F.lit(0))).alias("end3"),
+            F.concat(F.coalesce("often1.n", F.array().cast("array<int>")), F.coalesce("often2.n", F.array().cast("array<int>"))).alias("n"),
+            F.posexplode_outer(
+                F.concat("both", "only1", "only2", F.coalesce("often1.h", no_hashes), F.coalesce("often2.h", no_hashes))
+            ).alias("at", "h"),
+        )
+        .select(
+            *keys,
+            "h",
+            F.when(F.col("at") >= F.col("end2"), F.ln(F.get("n", F.col("at") - F.col("end2")).cast("double")))
+            .otherwise(F.lit(0.0))
+            .alias("log_weight"),
+            F.when(F.col("at") < F.col("end0"), both)
+            .when((F.col("at") < F.col("end1")) | F.col("at").between(F.col("end2"), F.col("end3") - 1), first)
+            .otherwise(second)
+            .alias("side"),
+        )
+    )
+    values = [F.col(f"v{k}") for k in range(samples)]
+    least = _least(terms, [*keys, "side"], samples)
+    least = least.groupBy(*keys).agg(
+        *(F.min(F.when(F.col("side") != second, v)).alias(f"a{k}") for k, v in enumerate(values)),
+        *(F.min(F.when(F.col("side") != first, v)).alias(f"b{k}") for k, v in enumerate(values)),
     )
-    small = [
-        F.when(F.col(f"v{k}").isNull(), F.lit(NO_WORDS)).otherwise(F.hash(f"v{k}")) for k in range(samples)
-    ]
-    return least.select(*keys, F.array(*small).alias("samples"))
+    # A text without words has the values of no hash, as where it is sampled alone.
+    nothing = [_value(F.lit(None).cast("bigint"), F.lit(0.0), k) for k in range(samples)]
+    own, other = ([F.coalesce(f"{x}{k}", nothing[k]) for k in range(samples)] for x in "ab")
+    return least.select(*keys, _small(own).alias("samples"), _small(other).alias("others"))
 
 
 def likeness(a: Column, b: Column, samples: int) -> Column:
@@ -208,24 +301,22 @@ def edited_neighbours(
                 F.substring("t", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next", F.lit(1), third)
             ).alias("edited"),
         )
-        .select("s", "id", "k", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.posexplode(F.array("t", "edited")).alias("which", "t"))
+        .withColumn("edited_sha256", F.sha2("edited", 256))
     )
-    keys = ["s", "k", "which", "id", "n_chars", "edited_sha256"]
-    found = space.save(sample_texts(edited, keys, F.col("t"), samples, width), "samples")
-    own, other = found.where("which = 0"), found.where("which = 1").select("s", "k", F.col("samples").alias("edited"))
-    joined = own.join(other, ["s", "k"])
+    keys = ["s", "k", "id", "n_chars", "edited_sha256"]
+    found = space.save(sample_pairs(edited, keys, F.col("t"), F.col("edited"), samples, width), "samples")
     along = Window.partitionBy("s").orderBy("k")
-    ahead = own.where("k = 1").join(heads, F.col("s") == F.col("hs")).select(F.col("behind").alias("s"), F.col("samples").alias("ahead"))
+    ahead = found.where("k = 1").join(heads, F.col("s") == F.col("hs")).select(F.col("behind").alias("s"), F.col("samples").alias("ahead"))
     return (
-        joined.withColumn("next", F.lead("samples").over(along))
+        found.withColumn("next", F.lead("samples").over(along))
         .join(ahead, "s")
         .select(
             "id",
             F.col("n_chars").cast("long").alias("n_chars"),
             "edited_sha256",
             as_text(F.col("samples")).alias("fingerprint"),
-            as_text(F.col("edited")).alias("edited_fingerprint"),
-            likeness(F.col("samples"), F.col("edited"), samples).alias("near_edited"),
+            as_text(F.col("others")).alias("edited_fingerprint"),
+            likeness(F.col("samples"), F.col("others"), samples).alias("near_edited"),
             likeness(F.col("samples"), F.coalesce("next", "ahead"), samples).alias("near_next"),
         )
     )

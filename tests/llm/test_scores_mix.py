@@ -126,6 +126,24 @@ def test_weights_count_in_fingerprints(spark):
     assert got["a"] == got["c"] and abs(near - 16 / 56) < 0.15
 
 
+def test_pairs_make_shared_values_once(spark, monkeypatch):
+    """Both texts of a row get the samples that each has alone; a shingle of both is one term."""
+    rng = random.Random(8)
+    prose = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(n)) for n in (60, 90, 7, 4, 0)]
+    texts = [*prose, "p q " * 30, prose[0][:150] + " p q" * 9, prose[1] + " " + prose[1], " \n "]
+    rows = [(f"{i}-{j}", a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "k string, a string, b string")
+    alone = {
+        t: r.samples
+        for t, r in zip(texts, fingerprint.sample_texts(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), ["k"], F.col("t")).orderBy("k").collect(), strict=True)
+    }
+    terms, least = [], fingerprint._least
+    monkeypatch.setattr(fingerprint, "_least", lambda found, *how: terms.append(found) or least(found, *how))
+    found = {r.k: (r.samples, r.others) for r in fingerprint.sample_pairs(frame, ["k"], F.col("a"), F.col("b")).collect()}
+    assert found == {k: (alone[a], alone[b]) for k, a, b in rows}
+    assert terms[0].where("k = '0-0'").count() == 56 and terms[0].where("k = '0-1'").count() == 56 + 86
+
+
 def test_fingerprints_of_odd_rows(spark, odd_docs, odd_rows, no_docs):
     found = fingerprint.edited_neighbours(odd_docs).collect()
     assert len(found) == len(odd_rows) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
