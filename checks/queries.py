@@ -534,9 +534,10 @@ def collection_run_log(spark, sf):
 
 
 def _event_stream(spark, sf, place, quarters=range(4)):
-    """The events, or some quarters of them, written quarter by quarter of their time, and read file by file.
+    """The events, or some quarters of them, written quarter by quarter of their time, and read in micro-batches.
 
-    Several micro-batches come of it; a quarter is shorter than the streams' lateness.
+    A micro-batch has about as many files as a quarter: the batches grow with the table, not their number, as each has
+    its state to commit and dates to rewrite. A quarter is shorter than the streams' lateness.
     """
     events = td.table(spark, sf, "events")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
@@ -546,8 +547,10 @@ def _event_stream(spark, sf, place, quarters=range(4)):
         if k < 3:
             part &= F.col("ts") < F.lit(first + (k + 1) * step).cast("timestamp_ntz")
         events.where(part).write.mode("append").parquet(f"{place}/events")
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(f"{place}/events")
+    # Earlier quarters, if any, lie in the folder already.
+    files = len(spark.read.schema(events.schema).parquet(f"{place}/events").inputFiles())
+    of_quarter = max(1, -(-files // (max(quarters) + 1)))
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", of_quarter).parquet(f"{place}/events")
 
 
 def metrics_stream(spark, sf):

@@ -212,3 +212,20 @@ def test_touched_partitions_by_name_or_by_join(spark, monkeypatch, most):
     upsert.upsert_partitions(store, "t", spark.createDataFrame(new, schema), ["k"], "day")
     assert sorted((r.k, r.v) for r in store.read("t").collect()) == [(1, 1), (2, 0), (3, 1), (4, 1), (5, 1)]
     assert upsert.upsert_partitions(store, "t", spark.createDataFrame([], schema), ["k"], "day") == 0
+
+
+def test_micro_batches_grow_with_the_table_not_their_number(spark, tmp_path):
+    """A table of several files gives as many micro-batches as one of one file: one for each quarter."""
+    from checks.queries import _event_stream
+
+    events = td.table(spark, SF, "events")
+    for files in (1, 8):
+        sf = str(tmp_path / f"sf-{files}")
+        events.repartition(files).write.parquet(f"{sf}/events.parquet")
+        place = str(tmp_path / f"stream-{files}")
+        for quarters, batches in ((range(2), 2), (range(2, 4), 2)):
+            stream = _event_stream(spark, sf, place, quarters).writeStream.format("noop")
+            stream = stream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+            stream.awaitTermination()
+            assert sum(p["numInputRows"] > 0 for p in stream.recentProgress) == batches
+        assert len({r[0] for r in spark.read.parquet(f"{place}/events").select("_metadata.file_path").distinct().collect()}) >= 4
