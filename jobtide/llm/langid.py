@@ -5,7 +5,8 @@ else. An n-gram's hash is its place in the set, so no alphabet has to be learned
 The kernel of two texts is the number of n-grams both have, divided by the
 geometric mean of their own numbers. Nyström landmarks, a few training texts, make it a finite
 feature map; one ridge regression for each language on top gives the scores, all
-as products of whole batches with the landmark and coefficient matrices.
+as products of whole batches with the landmark and coefficient matrices. The regression is solved from sums over
+all labelled texts, which Spark adds up; only these and the landmarks reach the driver.
 """
 
 from __future__ import annotations
@@ -18,22 +19,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobtide.llm.batches import bound_batches, pieces
+from jobtide.llm.workspace import Workspace
 
 UNDETERMINED = "und"
-#: Bounds of the fit, the same at every size of the input: labelled rows, shared out over the
-#: languages, the least share of a language that has so many, and landmarks.
+#: What all texts weigh in the regression, shared out over the languages, the least share of a language that
+#: has so many texts, and landmarks. Every labelled text takes part; the weights say how much.
 MAX_TRAIN = 2000
 MIN_TRAIN = 8
 LANDMARKS = 192
-#: A text fits while the known share of its n-grams is at least this part of what all but a few
-#: labelled texts outside of the sample reach; with fewer such texts a language is not judged.
+#: An n-gram is known to a language if more than one and more than this part of its texts have it.
+KNOWN_PART = 0.004
+#: A text fits while the known share of its n-grams is at least this part of what all but a few labelled
+#: texts reach, each judged by the others; with fewer texts than the least number a language is not judged.
 FIT_PART = 0.75
 FIT_QUANTILE = 0.05
-MIN_JUDGED = 20
+MIN_JUDGED = 40
+#: Whole numbers that sums over texts are kept in: of products of two kernels, of kernels, and of known shares.
+PRODUCT_UNIT = 1 << 22
+SUM_UNIT = 1 << 40
+SHARE_UNIT = 1 << 16
+#: Places of n-grams that a task holds before it counts them, and counts before it hands them on.
+HELD_PLACES = 1 << 20
 RIDGE = 1e-3
 ORDERS = 3
 #: Places of n-grams. A text has some hundred to some ten thousand, so few share a place.
@@ -56,7 +66,7 @@ class StringKernelModel:
     norms: np.ndarray  # root of each landmark's number of n-grams
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
-    known: np.ndarray  # languages x n-grams that several texts have, as bits
+    known: np.ndarray  # languages x n-grams that enough of its texts have, as bits
     floors: np.ndarray  # least known share of a text's n-grams, by language
 
 
@@ -139,29 +149,11 @@ def _seen(sets: list[bytes]) -> np.ndarray:
     return np.unpackbits(bits, axis=1, count=N_GRAMS)
 
 
-def _calibrated(sets: list[bytes], labels: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each language's n-grams from half of its texts, and its floor from the other half."""
-    known = np.zeros((len(languages), N_GRAMS // 8), np.uint8)
-    floors = np.zeros(len(languages))
-    for k, lang in enumerate(languages):
-        own = [x for x, label in zip(sets, labels, strict=True) if label == lang]
-        learned, judged = own[::2], own[1::2]
-        if len(judged) < MIN_JUDGED:
-            continue
-        number = np.zeros(N_GRAMS, np.int32)
-        for i in range(0, len(learned), BATCH_ROWS):
-            number += _seen(learned[i : i + BATCH_ROWS]).sum(axis=0, dtype=np.int32)
-        known[k] = np.packbits(number > 1)
-        several = number > 1
-        shares = np.concatenate(
-            [_known_share(_seen(judged[i : i + BATCH_ROWS]), several) for i in range(0, len(judged), BATCH_ROWS)]
-        )
-        floors[k] = FIT_PART * np.quantile(shares, FIT_QUANTILE)
-    return known, floors
-
-
 def _known_share(seen: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return (seen & known).sum(axis=1, dtype=np.int64) / np.maximum(seen.sum(axis=1, dtype=np.int64), 1)
+    """Part of each text's n-grams that ``known`` has, a row of bits for each text."""
+    bits = np.packbits(seen, axis=1)
+    both = np.bitwise_count((bits & known).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return both / np.maximum(np.bitwise_count(bits.view(np.uint64)).sum(axis=1, dtype=np.int64), 1)
 
 
 def fitting(seen: np.ndarray, values: np.ndarray, model: StringKernelModel) -> np.ndarray:
@@ -173,9 +165,90 @@ def fitting(seen: np.ndarray, values: np.ndarray, model: StringKernelModel) -> n
     first = values.argmax(axis=1)
     rest = values.copy()
     rest[np.arange(len(values)), first] = -np.inf
-    known = model.known[first] | model.known[rest.argmax(axis=1)]
-    shares = [_known_share(seen[i : i + 1], np.unpackbits(bits, count=N_GRAMS))[0] for i, bits in enumerate(known)]
-    return np.array(shares) >= model.floors[first]
+    return _known_share(seen, model.known[first] | model.known[rest.argmax(axis=1)]) >= model.floors[first]
+
+
+def _marked(batches: Iterator[pa.RecordBatch], model: StringKernelModel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of batches of ``l, t`` the numbers of the languages and the ``presence`` of the texts, part by part."""
+    number = {lang: k for k, lang in enumerate(model.languages)}
+    for batch in batches:
+        own = np.array([number[lang] for lang in batch.column(0).to_pylist()], np.int64)
+        for start, stop in pieces(batch.column(1), BATCH_ROWS, BATCH_CHARS):
+            yield own[start:stop], presence(batch.column(1)[start:stop].to_pylist(), model.symbols)[0]
+
+
+def _places(seen: np.ndarray) -> np.ndarray:
+    """As ``np.flatnonzero``, looking at eight places at once first."""
+    eights = np.flatnonzero(seen.reshape(-1).view(np.uint64))
+    at = np.flatnonzero(seen.reshape(-1, 8)[eights].view(bool))
+    return eights[at >> 3] * 8 + (at & 7)
+
+
+def _tallies(model: StringKernelModel, weights: np.ndarray):
+    """For ``mapInArrow`` over ``l, t``: ``slot, place, n``, to be summed.
+
+    A slot from 0 on is a language and ``n`` the number of its texts with the n-gram. Slot -1 has the weighted products of two
+    landmarks' kernels, slot -2 - k the weighted kernels of language k, both in whole numbers, so that sums do not depend on the order.
+    """
+    upper = np.triu_indices(model.landmarks.shape[1])
+
+    def rows(slot: np.ndarray, place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(slot, pa.int32()), pa.array(place, pa.int32()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["slot", "place", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        products = np.zeros((len(model.norms), len(model.norms)), np.int64)
+        sums = np.zeros((len(model.languages), len(model.norms)), np.int64)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            both, at = np.unique(np.r_[keys, new], return_inverse=True)
+            return both, np.bincount(at, np.r_[counts, n], len(both)).astype(np.int64)
+
+        for own, seen in _marked(batches, model):
+            across = kernel(seen, model).astype(np.float64)
+            # Of at most 64 rows, so the product is exact.
+            x = np.rint(across * np.sqrt(weights[own])[:, None] * PRODUCT_UNIT)
+            products += (x.T @ x).astype(np.int64)
+            np.add.at(sums, own, np.rint(across * weights[own][:, None] * SUM_UNIT).astype(np.int64))
+            place = _places(seen)
+            held.append(own[place >> HASH_BITS] * N_GRAMS + (place & (N_GRAMS - 1)))
+            size += len(place)
+            if size >= HELD_PLACES:
+                keys, counts = merged()
+                held, size = [], 0
+                if len(keys) >= HELD_PLACES:
+                    yield rows(keys >> HASH_BITS, keys & (N_GRAMS - 1), counts)
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        yield rows(keys >> HASH_BITS, keys & (N_GRAMS - 1), counts)
+        if products.any():
+            yield rows(np.full(len(upper[0]), -1), np.arange(len(upper[0])), products[upper])
+            lang, place = np.nonzero(sums)
+            yield rows(-2 - lang, place, sums[lang, place])
+
+    return run
+
+
+def _shares(model: StringKernelModel, others: np.ndarray):
+    """For ``mapInArrow`` over ``l, t``: ``slot, share``, the known share of a text in whole ``SHARE_UNIT``s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, seen in _marked(batches, model):
+            share = np.rint(_known_share(seen, others[own]) * SHARE_UNIT).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(share)], names=["slot", "share"])
+
+    return run
+
+
+def _quantile(values: np.ndarray, numbers: np.ndarray, q: float) -> float:
+    """``np.quantile`` of sorted values that occur so many times."""
+    ends = np.cumsum(numbers)
+    at = (ends[-1] - 1) * q
+    low, high = values[np.searchsorted(ends, [np.floor(at), np.ceil(at)], "right")]
+    return low + (high - low) * (at - np.floor(at))
 
 
 def fit(
@@ -186,71 +259,92 @@ def fit(
     n_landmarks: int = LANDMARKS,
     ridge: float = RIDGE,
 ) -> StringKernelModel | None:
-    """Fit on about ``max_train`` rows with text and language; None if there is none.
+    """Fit on all distinct texts with a language; None if there is none.
 
-    The sample holds distinct texts of least hash, by ``quotas`` for each language, texts of any length,
-    and is the same at each run. Only a share of a language's hash range that holds somewhat more texts than its quota
-    is read closely, and a text reaches the driver as the set of its n-grams. Landmarks are dealt to the languages in turn.
+    The regression, the n-gram counts and the floors take every such text, of any length. A language's texts together
+    weigh in the regression what ``quotas`` gives it of ``max_train``. Landmarks are texts of least hash, dealt to
+    the languages in turn. The model is the same at each run, however the rows are dealt to tasks.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text_col).alias("h")
     )
-    sizes = {r.l: r.n for r in known.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    bound_batches(labelled.sparkSession)
+    space = Workspace(labelled.sparkSession)
+    try:
+        # Copies are one text before Python sees them.
+        texts = known.groupBy("h").agg(F.min(F.struct("l", "t")).alias("row")).select("h", "row.*")
+        return _fitted(space.save(texts, "labelled"), max_train, n_landmarks, ridge)
+    finally:
+        space.drop("labelled")
+
+
+def _fitted(texts: DataFrame, max_train: int, n_landmarks: int, ridge: float) -> StringKernelModel | None:
+    """As ``fit``, of distinct texts ``t`` with hash ``h`` and language ``l``."""
+    sizes = {r.l: r.n for r in texts.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    spark = labelled.sparkSession
-    bound_batches(spark)
-    # The counts are approximate, so small languages are taken whole.
-    wanted = quotas({lang: 2 * n for lang, n in sizes.items()}, max_train)
-    bounds = [
-        (lang, int(min(1.0, (1.5 * wanted[lang] + 16) / max(1, n)) * 2**53)) for lang, n in sizes.items()
-    ]
-    bound = F.broadcast(spark.createDataFrame(bounds, "l string, bound long"))
-    near = known.join(bound, "l").where(F.shiftrightunsigned("h", 11) < F.col("bound"))
-    # Copies are one text before Python sees them.
-    near = near.groupBy("h").agg(F.min(F.struct("l", "t")).alias("row")).select("h", "row.*")
-    symbols = symbol_table()
-    found = near.select("h", "l", _gram_set(F.col("t"), symbols).alias("grams")).collect()
-    left, rows = dict(wanted), []
-    for r in sorted(found, key=lambda r: r.h):
-        if left[r.l] > 0:
-            left[r.l] -= 1
-            rows.append(r)
-    texts, labels = [r.grams for r in rows], [r.l for r in rows]
-    languages = sorted(set(labels))
-    turn: dict[str, int] = {}
-    order = []
-    for i, label in enumerate(labels):
-        order.append((turn.setdefault(label, 0), i))
-        turn[label] += 1
-    chosen = [i for _, i in sorted(order)[:n_landmarks]]
-    marked = _seen([texts[i] for i in chosen])
+    languages, symbols = sorted(sizes), symbol_table()
+    size = np.array([sizes[lang] for lang in languages])
+    share = quotas(sizes, max_train)
+    weight = np.array([share[lang] for lang in languages], np.float64)
+
+    turn = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    dealt = texts.select("h", "l", turn.alias("turn")).where(F.col("turn") <= n_landmarks)
+    order = [r.h for r in dealt.orderBy("turn", "h").limit(n_landmarks).collect()]
+    sets = {r.h: r.grams for r in texts.where(F.col("h").isin(order)).select("h", _gram_set(F.col("t"), symbols).alias("grams")).collect()}
+    marked = _seen([sets[h] for h in order])
     vocabulary = np.flatnonzero(marked.any(axis=0))
     landmarks = np.ascontiguousarray(marked[:, vocabulary].T)
+    norms = np.sqrt(marked.sum(axis=1, dtype=np.float64))
+    n_known = (len(languages), N_GRAMS // 8)
     model = StringKernelModel(
-        languages, symbols, vocabulary, landmarks, np.sqrt(marked.sum(axis=1, dtype=np.float64)), np.empty(0), np.empty(0),
-        *_calibrated(texts, labels, languages),
+        languages, symbols, vocabulary, landmarks, norms, np.empty(0), np.empty(0), np.zeros(n_known, np.uint8), np.zeros(len(languages))
     )
-    across = np.concatenate(
-        [kernel(_seen(texts[i : i + BATCH_ROWS]), model) for i in range(0, len(texts), BATCH_ROWS)]
-    ).astype(np.float64)
-    value, vector = np.linalg.eigh(across[chosen])
+
+    # An n-gram is known if more texts than this have it; ``others`` leaves the judged text itself out.
+    least = np.maximum(1, KNOWN_PART * size)
+    tallies = texts.select("l", "t").mapInArrow(_tallies(model, weight / size), "slot int, place int, n long")
+    tallies = tallies.groupBy("slot", "place").agg(F.sum("n").alias("n"))
+    table = tallies.where((F.col("slot") < 0) | (F.col("n") > F.get(F.lit(least.tolist()), "slot"))).toArrow()
+    slot, place, n = (table.column(c).to_numpy() for c in ("slot", "place", "n"))
+    others = np.zeros(n_known, np.uint8)
+    judged = [k for k in range(len(languages)) if size[k] >= MIN_JUDGED]
+    for k in judged:
+        own = slot == k
+        for bits, some in ((model.known, own), (others, own & (n - 1 > max(1, KNOWN_PART * (size[k] - 1))))):
+            has = np.zeros(N_GRAMS, bool)
+            has[place[some]] = True
+            bits[k] = np.packbits(has)
+    if judged:
+        shares = texts.where(F.col("l").isin([languages[k] for k in judged])).select("l", "t")
+        shares = shares.mapInArrow(_shares(model, others), "slot int, share int").groupBy("slot", "share").count()
+        found = np.array(sorted((r.slot, r.share, r["count"]) for r in shares.collect()), np.int64)
+        for k in judged:
+            _, value, number = found[found[:, 0] == k].T
+            model.floors[k] = FIT_PART * _quantile(value / SHARE_UNIT, number, FIT_QUANTILE)
+
+    products, sums = np.zeros((len(order), len(order))), np.zeros((len(languages), len(order)))
+    upper = np.triu_indices(len(order))
+    product = slot == -1
+    products[upper[0][place[product]], upper[1][place[product]]] = n[product] / PRODUCT_UNIT**2
+    products += np.triu(products, 1).T
+    sums[-2 - slot[slot < -1], place[slot < -1]] = n[slot < -1] / SUM_UNIT
+    value, vector = np.linalg.eigh(kernel(marked, model).astype(np.float64))
     keep = value > 1e-8 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])
-    features = across @ root
-    target = np.array([[1.0 if lang == label else 0.0 for lang in languages] for label in labels])
-    mean_x, mean_y = features.mean(axis=0), target.mean(axis=0)
-    centred = features - mean_x
-    gram = centred.T @ centred + ridge * len(texts) * np.eye(centred.shape[1])
-    coef = np.linalg.solve(gram, centred.T @ (target - mean_y))
+    total, mean_y = weight.sum(), weight / weight.sum()
+    mean_x = sums.sum(axis=0) / total
+    centred = root.T @ (products - total * np.outer(mean_x, mean_x)) @ root
+    across = root.T @ (sums - weight[:, None] * mean_x).T
+    coef = np.linalg.solve(centred + ridge * total * np.eye(len(centred)), across)
     model.weights = (root @ coef).astype(np.float32)
-    model.bias = (mean_y - mean_x @ coef).astype(np.float32)
+    model.bias = (mean_y - mean_x @ root @ coef).astype(np.float32)
     return model
 
 
 def kernel(seen: np.ndarray, model: StringKernelModel) -> np.ndarray:
     """Kernel of texts with the landmarks by their ``presence``."""
-    own = np.sqrt(seen.sum(axis=1, dtype=np.float64))
+    own = np.sqrt(np.array([np.count_nonzero(row) for row in seen.view(bool)], np.float64))
     both = seen[:, model.vocabulary].astype(np.float32) @ model.landmarks.astype(np.float32)
     return both / (own[:, None] * model.norms[None, :]).astype(np.float32)
 
